@@ -24,6 +24,8 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 NOT_ALNUM = np.zeros(256, bool)
 NOT_ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 UPPER = np.arange(ord("A"), ord("Z") + 1)
+#: For text that is lowered by its byte values: A-Z stand for a-z.
+NOT_ALNUM[UPPER] = False
 
 
 def byte_values(lower: bool = False, digits_alike: bool = False) -> np.ndarray:
