@@ -41,3 +41,24 @@ def utf8_bytes(column: str):
 def code_point_rank(column: str):
     """Sort key: nulls last, then by code point (Spark's binary order of UTF-8 is code point order)."""
     return F.col(column).asc_nulls_last()
+
+
+LOWEST = -(1 << 63)
+#: Most ids that are sent to every task to thin a scan before its shuffle; beyond it the scan is shuffled whole.
+MOST_IDS = 500_000
+
+
+def with_keys(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, id_key (null first), text_key and text: the two keys together tell rows apart by content."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LOWEST)).alias("id_key"), F.xxhash64(text).alias("text_key"), text.alias("text"), *more)
+
+
+def with_text(keyed: DataFrame, docs: DataFrame) -> DataFrame:
+    """keyed (written; unique by id_key and text_key) with each row's text from ``docs`` (of with_keys)."""
+    texts = docs.select("id_key", "text_key", "text")
+    ids = keyed.select("id_key").distinct()
+    if ids.count() <= MOST_IDS:
+        texts = texts.join(F.broadcast(ids), "id_key", "left_semi")
+    return keyed.join(texts, ["id_key", "text_key"])

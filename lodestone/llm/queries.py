@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontamination, mixing, quality, sharding, tokencounts
+from lodestone.llm import decontamination, mixing, quality, sharding, substrings, tokencounts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.query,
     "op2_mixing": mixing.query,
     "op3_decontamination": decontamination.query,
     "op6_token_counts": tokencounts.query,
+    "op7_substrings": substrings.query,
     "op8_quality": quality.query,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op3_decontamination": decontamination.ORACLE,
+    "op7_substrings": substrings.ORACLE,
     "op8_quality": quality.ORACLE,
 }
