@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontamination, mixing, quality, sharding, substrings, tokencounts
+from lodestone.llm import decontamination, mixing, quality, sharding, similarity, substrings, tokencounts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": tokencounts.query,
     "op7_substrings": substrings.query,
     "op8_quality": quality.query,
+    "op10_similarity": similarity.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -22,4 +23,5 @@ ORACLES: dict[str, str] = {
     "op3_decontamination": decontamination.ORACLE,
     "op7_substrings": substrings.ORACLE,
     "op8_quality": quality.ORACLE,
+    "op10_similarity": similarity.ORACLE,
 }
