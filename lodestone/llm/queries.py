@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontamination, mixing, quality, sharding, similarity, substrings, tokencounts, toxicity
+from lodestone.llm import decontamination, mixing, quality, sharding, similarity, substrings, tokencounts, tokenfiles, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.query,
     "op2_mixing": mixing.query,
     "op3_decontamination": decontamination.query,
     "op4_toxicity": toxicity.query,
+    "op5_token_files": tokenfiles.query,
     "op6_token_counts": tokencounts.query,
     "op7_substrings": substrings.query,
     "op8_quality": quality.query,
