@@ -97,9 +97,9 @@ def search(table: Table, hashes: np.ndarray):
         at += 1
 
 
-def scan(docs: DataFrame, items: list[tuple[str, str | None]], window: int = WINDOW) -> DataFrame:
-    """Columns of ``docs`` but text, n_words, hits (word indexes inside an occurrence) and items."""
-    keep = [c for c in docs.columns if c != "text"]
+def scan(docs: DataFrame, items: list[tuple[str, str | None]], window: int = WINDOW, with_text: bool = False) -> DataFrame:
+    """Columns of ``docs`` (text only if asked), n_words, hits (word indexes inside an occurrence) and items."""
+    keep = [c for c in docs.columns if c != "text" or with_text]
     schema = docs.select(*keep).withColumn("n_words", F.lit(0).cast("long")).withColumn("hits", F.lit(None).cast("array<int>")).withColumn("items", F.lit(None).cast("array<string>")).schema
     shared = docs.sparkSession.sparkContext.broadcast(tables(items, window))
 
@@ -129,11 +129,11 @@ def scan(docs: DataFrame, items: list[tuple[str, str | None]], window: int = WIN
                 names=[*keep, "n_words", "hits", "items"],
             )
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 32 << 20) -> DataFrame:
-    """The columns of ``docs`` but text, with n_words, hits and items over the whole benchmark."""
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 32 << 20, with_text: bool = False) -> DataFrame:
+    """The columns of ``docs`` (text only if asked), with n_words, hits and items over the whole benchmark."""
     blocks: list[list[tuple[str, str | None]]] = [[]]
     size = 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL").toLocalIterator():
@@ -144,10 +144,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
         blocks[-1].append((row["item_id"], row["text"]))
         size += more
     if len(blocks) == 1:
-        return scan(docs, blocks[0], window)
+        return scan(docs, blocks[0], window, with_text)
     base = docs.withColumn("row_key", F.monotonically_increasing_id())
-    keep = [c for c in docs.columns if c != "text"]
-    parts = [_shared.written(scan(base, b, window), "decontaminate") for b in blocks]
+    keep = [c for c in docs.columns if c != "text" or with_text]
+    parts = [_shared.written(scan(base, b, window, with_text), "decontaminate") for b in blocks]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
@@ -159,8 +159,8 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    found = hits(docs, benchmark)
+def judged(docs: DataFrame, benchmark: DataFrame, with_text: bool = False) -> DataFrame:
+    found = hits(docs, benchmark, with_text=with_text)
     return found.withColumn("n_hit", F.size("hits").cast("long")).withColumn("contaminated", is_contaminated(F.col("n_hit"), F.col("n_words")))
 
 

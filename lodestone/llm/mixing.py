@@ -62,13 +62,15 @@ def word_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*names).mapInArrow(count, schema)
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, rows_per_range: int = 250_000) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, copies.
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, rows_per_range: int = 250_000, with_text_key: bool = False) -> DataFrame:
+    """One row for each document: doc_id, source, size, source_size, target, copies, and text_key if asked.
 
     The sources and their sizes are the only thing collected: one row for each source.
     """
     spark = docs.sparkSession
-    sized = word_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), ["doc_id", "source"])
+    more = ["text_key"] if with_text_key else []
+    text_key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
+    sized = word_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", *([text_key] if more else [])), ["doc_id", "source", *more])
     base = _shared.written(sized.withColumn("row_key", F.monotonically_increasing_id()), "mix-base")
     by_source = base.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).collect()
     by_source.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -88,7 +90,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.
     placed = _ranges.with_prefix(placed, stats, KEYS, "one")
     rank = F.col("row_rank") - F.col("rows_before")
     copies = F.floor((rank + 1) * F.col("rate") + F.col("shift")) - F.floor(rank * F.col("rate") + F.col("shift"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), *more)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
