@@ -32,11 +32,6 @@ def counts(documents: DataFrame, links: DataFrame | None, query: SearchQuery, ex
     return rows.groupBy("attr_id", "value_id", "value").agg(number.alias("cnt"))
 
 
-def labelled(found: DataFrame) -> DataFrame:
-    """One row for each value id: spellings are added up under the label of the most frequent one."""
-    return found.groupBy("attr_id", "value_id").agg(F.max_by("value", F.struct("cnt", "value")).alias("value"), F.sum("cnt").alias("cnt"))
-
-
 def rollup_counts(documents: DataFrame, links: DataFrame | None, rollup: DataFrame, query: SearchQuery, expander: Expander, settings: Settings, attributes: tuple[str, ...]) -> DataFrame:
     """The product path: distinct matching products joined to the materialised roll-up.
 

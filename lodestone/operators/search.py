@@ -58,7 +58,7 @@ class Engine:
         else:
             found = facets.counts(self.index.documents, self.index.categories, query, self.expander, self.settings, attributes, unit)
         chosen = {f.attribute: f.values for f in query.used_filters}
-        return facets.top_values(facets.labelled(found), self.settings.facet_values, chosen)
+        return facets.top_values(found, self.settings.facet_values, chosen)
 
     def facets(self, query: SearchQuery, titles: dict[str, str] | None = None, custom: dict[str, str] | None = None, unit: str = "groups"):
         if not self.settings.facet_attributes:

@@ -14,12 +14,11 @@ def completions(dictionary: DataFrame, prefix: str, limit: int) -> DataFrame:
 
 
 def completed(dictionary: DataFrame, shop_id: int, lang_id: int, term: str, limit: int) -> list[str]:
-    """The last word of a term completed, its earlier words kept."""
-    *before, last = normalized(term).split(" ")
-    if not last:
+    """Spellings of the terms that begin like the whole input."""
+    if not normalized(term) or limit < 1:
         return []
     scope = dictionary.where((F.col("shop_id") == shop_id) & (F.col("lang_id") == lang_id))
-    return [" ".join([*before, r["term"]]) for r in completions(scope, last, limit).collect()]
+    return [r["term_raw"] for r in completions(scope, normalized(term), limit).collect()]
 
 
 def categories(tree: DataFrame, typed: str, limit: int) -> DataFrame:
