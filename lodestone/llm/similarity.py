@@ -7,10 +7,11 @@ agree, one of them not empty in both unless more than E are empty; documents wit
 use those too. Sizes fall into bands with a D of their own; a document near the lower edge of its band takes
 part in the band below as well. Documents that agree in a part are candidates.
 
-Candidates are united into blocks; each block's texts meet in tasks of bounded size, where pairs not yet
-connected are compared by the Hamming distance of parity bit sketches, which never exceeds the symmetric
-difference, and the pairs that pass are verified on the sets themselves. Blocks too large for one task are
-cut into chunks and every pair of chunks is compared, so nothing is capped.
+Candidates are united into blocks. Each block's parity bit sketches (twice as many bits as shingles, to the
+next power of two; a longer one folds to a shorter by XOR) meet in tasks of bounded size, where the Hamming
+distance, which never exceeds the symmetric difference, leaves the pairs that may link: they make smaller
+blocks. Then those blocks' texts meet, and pairs not yet connected are verified on the sets themselves.
+Blocks too large for one task are cut into chunks and every pair of chunks is compared: nothing is capped.
 
 Equal sets are one class from the start: only its smallest id is sketched. Shingles are 64-bit hashes.
 Texts with fewer words than a shingle are one shingle; null and empty texts have none and link with nothing.
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import _components, _shared, _words
@@ -104,7 +105,22 @@ def part_keys(owner: np.ndarray, values: np.ndarray, n: int, bands: Bands) -> tu
     return o[order], k[order]
 
 
-BASE = "doc_id long, id_key long, text_key long, n_shingles long, n_bytes long, set_hash long, set_check long, part_keys array<long>"
+BASE = "doc_id long, id_key long, text_key long, n_shingles long, n_bytes long, set_hash long, set_check long, sketch binary, part_keys array<long>"
+LEAST_BITS, MOST_BITS = 256, 1 << 15
+
+
+def bit_sketch(values: np.ndarray) -> bytes:
+    """Parity of the hashes that fall on each bit."""
+    bits = int(np.clip(1 << int(np.ceil(np.log2(max(1, 2 * len(values))))), LEAST_BITS, MOST_BITS))
+    return np.packbits(np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch at a smaller number of bytes: halves XORed."""
+    out = np.frombuffer(sketch, np.uint64)
+    while len(out) * 8 > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
 
 
 def sketched(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -122,75 +138,121 @@ def sketched(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
                 row[:] = total[edge[1:]] - total[edge[:-1]]
             o, k = part_keys(owner, values, n, bands)
             split = np.searchsorted(o, np.arange(n + 1)).astype(np.int32)
+            sketches = [bit_sketch(v) for v in np.split(values, np.searchsorted(owner, np.arange(1, n)))]
             yield pa.RecordBatch.from_arrays(
-                [*(chunk.column(c) for c in ("doc_id", "id_key", "text_key")), pa.array(sizes), pa.array(np.diff(chunk.offsets) - 1), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(split), pa.array(k.view(np.int64)))],
-                names=["doc_id", "id_key", "text_key", "n_shingles", "n_bytes", "set_hash", "set_check", "part_keys"],
+                [*(chunk.column(c) for c in ("doc_id", "id_key", "text_key")), pa.array(sizes), pa.array(np.diff(chunk.offsets) - 1), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(split), pa.array(k.view(np.int64)))],
+                names=["doc_id", "id_key", "text_key", "n_shingles", "n_bytes", "set_hash", "set_check", "sketch", "part_keys"],
             )
 
     return docs.mapInArrow(run, BASE)
 
 
-def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Root of each set after uniting all linked pairs; with two sides only pairs across them are compared."""
-    n = len(sets)
-    root = np.arange(n)
-    sizes = np.array([len(s) for s in sets])
-    bits = 1 << int(np.clip(np.ceil(np.log2(4 * max(1, int(sizes.max())))), 8, 15))
-    sketch = np.zeros((n, bits // 64), np.uint64)
-    for i, s in enumerate(sets):
-        odd = np.flatnonzero(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1)
-        np.bitwise_or.at(sketch[i], odd >> 6, np.uint64(1) << (odd & 63).astype(np.uint64))
+def may_link(sketches: list[bytes], sizes: np.ndarray, i: int, others: np.ndarray, folds: dict[int, np.ndarray], percent: int) -> np.ndarray:
+    """Those of ``others`` whose sketch and size allow a link with set i."""
+    others = others[np.minimum(sizes[others], sizes[i]) * 100 >= np.maximum(sizes[others], sizes[i]) * percent]
+    if not len(others):
+        return others
+    lengths = np.array([len(sketches[j]) for j in others])
+    keep = np.zeros(len(others), bool)
+    for length in np.unique(lengths):
+        # Both at the shorter length.
+        size = min(int(length), len(sketches[i]))
+        own = lengths == length
+        for j in others[own]:
+            if (j, size) not in folds:
+                folds[j, size] = folded(sketches[j], size)
+        if (i, size) not in folds:
+            folds[i, size] = folded(sketches[i], size)
+        apart = np.bitwise_count(np.stack([folds[j, size] for j in others[own]]) ^ folds[i, size]).sum(1, dtype=np.int64)
+        keep[own] = apart * (100 + percent) <= (sizes[others[own]] + sizes[i]) * (100 - percent)
+    return others[keep]
+
+
+def linked(sketches: list[bytes], sizes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray] | None = None, percent: int = PERCENT) -> np.ndarray:
+    """Root of each set after uniting all linked pairs; with two sides only pairs across them are compared.
+
+    Without the sets themselves a pair whose sketches allow a link counts as linked.
+    """
+    n = len(sketches)
+    root, folds = np.arange(n), {}
     across = sides.min() != sides.max()
     for i in range(n):
         later = (sides > sides[i]) if across else (np.arange(n) > i)
-        others = np.flatnonzero(later & (root != root[i]) & (np.minimum(sizes, sizes[i]) * 100 >= np.maximum(sizes, sizes[i]) * percent))
-        if not len(others):
-            continue
-        apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1, dtype=np.int64)
-        others = others[apart * (100 + percent) <= (sizes[others] + sizes[i]) * (100 - percent)]
-        for j in others:
+        for j in may_link(sketches, sizes, i, np.flatnonzero(later & (root != root[i])), folds, percent):
             if root[j] == root[i]:
                 continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                a, b = sorted((root[i], root[j]))
-                root[root == b] = a
+            if sets is not None:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both < percent * (sizes[i] + sizes[j] - both):
+                    continue
+            a, b = sorted((root[i], root[j]))
+            root[root == b] = a
     return root
 
 
-def verified(rows: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Edges (a, b) that span the linked documents of each group (block, left_chunk, right_chunk)."""
-
-    def settle(ids, texts, chunk_ids):
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-        sets: list[np.ndarray] = []
-        for chunk in _words.chunks(iter([batch])):
-            owner, values = shingles(chunk, size)
-            sets += np.split(values, np.searchsorted(owner, np.arange(1, len(chunk.texts))))
-        root = linked(sets, np.array(chunk_ids), percent)
+def united(rows: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Edges (a, b) that span what is linked in each group (block, left_chunk, right_chunk).
+
+    rows have a column ``text``, for links, or ``sketch`` and ``n_shingles``, for pairs that may link.
+    """
+    whole = "text" in rows.columns
+
+    def settle(ids, data, sizes, chunk_ids):
+        sets = None
+        if whole:
+            batch = pa.RecordBatch.from_arrays([pa.array(data, pa.string())], names=["text"])
+            sets = []
+            for chunk in _words.chunks(iter([batch])):
+                owner, values = shingles(chunk, size)
+                sets += np.split(values, np.searchsorted(owner, np.arange(1, len(chunk.texts))))
+            data = [bit_sketch(v) for v in sets]
+            sizes = [len(v) for v in sets]
+        root = linked(data, np.array(sizes, np.int64), np.array(chunk_ids), sets, percent)
         least: dict[int, int] = {}
         for i, r in zip(ids, root.tolist(), strict=True):
             least[r] = min(i, least.get(r, i))
         return [(i, least[r]) for i, r in zip(ids, root.tolist(), strict=True) if i != least[r]]
 
+    def batch_of(edges):
+        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+
     def run(batches):
-        group, held = None, ([], [], [])
+        group, held = None, ([], [], [], [])
         for batch in batches:
             edges: list[tuple[int, int]] = []
-            for block, a, b, chunk_id, i, text in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+            for block, a, b, chunk_id, *row in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
                 if (block, a, b) != group:
                     if len(held[0]) > 1:
                         edges += settle(*held)
-                    group, held = (block, a, b), ([], [], [])
-                for x, v in zip(held, (i, text, chunk_id), strict=True):
+                    group, held = (block, a, b), ([], [], [], [])
+                for x, v in zip(held, (*row, chunk_id), strict=True):
                     x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+            yield batch_of(edges)
         if len(held[0]) > 1:
-            edges = settle(*held)
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+            yield batch_of(settle(*held))
 
     keys = ["block", "left_chunk", "right_chunk"]
-    return rows.select(*keys, "chunk", "id_key", "text").repartition(*keys).sortWithinPartitions(*keys, "chunk", "id_key").mapInArrow(run, "a long, b long")
+    columns = [*keys, "chunk", "id_key", "text" if whole else "sketch", F.col("n_shingles").cast("long")]
+    return rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "chunk", "id_key").mapInArrow(run, "a long, b long")
+
+
+def blocked(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """members (by id_key) with the component of ``edges`` they are in; the rest drops out."""
+    found = _components.components(edges)
+    nodes = found.select(F.col("node").alias("id_key"), F.col("root").alias("block")).unionByName(found.select(F.col("root").alias("id_key"), F.col("root").alias("block")).distinct())
+    return members.join(nodes, "id_key")
+
+
+def dealt(members: DataFrame, weight: str, chunk_docs: int, chunk_bytes: int) -> DataFrame:
+    """Columns chunk and chunks: blocks above the limits are dealt to several chunks by a hash."""
+    weights = members.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / chunk_docs), F.ceil(F.sum(weight) / chunk_bytes), F.lit(1)).cast("int").alias("chunks"))
+    return members.join(weights, "block").withColumn("chunk", F.pmod(F.xxhash64("id_key", "text_key"), F.col("chunks")).cast("int"))
+
+
+def paired(rows: DataFrame) -> DataFrame:
+    """Every row once for each pair of chunks of its block that holds its own."""
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return rows.withColumn("left_chunk", F.least("chunk", "other")).withColumn("right_chunk", F.greatest("chunk", "other"))
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk_docs: int = 2000, chunk_bytes: int = 12 << 20) -> DataFrame:
@@ -199,24 +261,25 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk_
     base = _shared.written(sketched(keyed, size, percent), "similarity-base")
     sets = ["set_hash", "set_check", "n_shingles"]
     heads = base.where("n_shingles > 0").groupBy(*sets).agg(F.min("id_key").alias("head"))
-    rows = base.drop("part_keys").join(heads, sets, "left").withColumn("head", F.coalesce("head", "id_key"))
-    # One row of each class: its smallest id, and of that id's rows one text.
-    first = base.where(F.size("part_keys") > 0).join(heads, sets).where("id_key = head").groupBy("id_key", *sets).agg(F.min("text_key").alias("text_key"))
-    parts = base.select("id_key", "text_key", *sets, "n_bytes", F.explode("part_keys").alias("part_key")).join(first.select("id_key", "text_key", *sets), ["id_key", "text_key", *sets], "left_semi")
-    parts = parts.select("id_key", "part_key")
-    meets = parts.groupBy("part_key").agg(F.min("id_key").alias("low"), F.max("id_key").alias("high")).where("low < high").select("part_key", "low")
-    edges = parts.join(meets, "part_key").select(F.col("id_key").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-    found = _components.components(edges)
-    blocks = found.select(F.col("node").alias("id_key"), F.col("root").alias("block")).unionByName(found.select(F.col("root").alias("id_key"), F.col("root").alias("block")).distinct())
-    members = blocks.join(base.join(first.select("id_key", "text_key", *sets), ["id_key", "text_key", *sets], "left_semi").select("id_key", "text_key", "n_bytes").distinct(), "id_key")
-    members = _shared.written(members, "similarity-members")
-    weights = members.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / chunk_docs), F.ceil(F.sum("n_bytes") / chunk_bytes), F.lit(1)).cast("int").alias("chunks"))
-    dealt = members.join(weights, "block").withColumn("chunk", F.pmod(F.xxhash64("id_key", "text_key"), F.col("chunks")).cast("int"))
-    dealt = _shared.with_text(dealt, keyed)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.withColumn("left_chunk", F.least("chunk", "other")).withColumn("right_chunk", F.greatest("chunk", "other"))
-    united = _components.components(verified(dealt, size, percent))
-    return rows.join(united, rows["head"] == united["node"], "left").select("doc_id", "id_key", "text_key", "n_shingles", F.coalesce("root", "head").alias("component"))
+    rows = base.select("doc_id", "id_key", "text_key", *sets).join(heads, sets, "left").withColumn("head", F.coalesce("head", "id_key"))
+    rows = _shared.written(rows.drop("set_hash", "set_check"), "similarity-rows")
+    # Of each class its smallest id, and of that id's rows one text, goes on; the others are copies.
+    lead = rows.where("n_shingles > 0 AND id_key = head").groupBy("id_key").agg(F.min("text_key").alias("lead_key"))
+    copies = rows.where("n_shingles > 0").join(lead, "id_key", "left").where("lead_key IS NULL OR lead_key <> text_key").select("id_key", "text_key").distinct()
+    copies = _shared.written(copies, "similarity-copies")
+    few = copies.count() <= _shared.MOST_IDS
+    alone = base.where(F.size("part_keys") > 0).join(F.broadcast(copies) if few else copies, ["id_key", "text_key"], "left_anti")
+    parts = alone.select("id_key", F.explode("part_keys").alias("part_key"))
+    # One shuffle, and a running first value that holds no group in memory.
+    order = Window.partitionBy("part_key").orderBy("id_key").rowsBetween(Window.unboundedPreceding, 0)
+    edges = parts.withColumn("low", F.first("id_key").over(order)).where("id_key <> low").select(F.col("id_key").alias("a"), F.col("low").alias("b")).distinct()
+    members = alone.select("id_key", "text_key", "n_shingles", "n_bytes", "sketch", F.octet_length("sketch").alias("n_sketch")).dropDuplicates(["id_key"])
+    members = _shared.written(blocked(members, edges), "similarity-members")
+    near = united(paired(dealt(members, "n_sketch", 2 * chunk_docs, chunk_bytes)), size, percent)
+    members = _shared.written(blocked(members.drop("block", "sketch"), near), "similarity-near")
+    texts = _shared.with_text(dealt(members, "n_bytes", chunk_docs, chunk_bytes), keyed)
+    links = _components.components(united(paired(texts), size, percent))
+    return rows.join(links, rows["head"] == links["node"], "left").select("doc_id", "id_key", "text_key", "n_shingles", F.coalesce("root", "head").alias("component"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

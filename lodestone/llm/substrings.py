@@ -195,7 +195,9 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, per_salt:
     heads = base.where(F.size("anchors") > 0).join(smallest, "words_sha256").where(F.col("id_key") == F.col("first_id"))
     seeds = heads.select("id_key", "text_key", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("id_key", "text_key", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
     seeds = _shared.written(seeds, "substring-seeds")
+    # Written, so that the join below reads plain shuffles, which are split where an anchor is frequent.
     joint = seeds.groupBy("anchor").agg(F.min("id_key").alias("a"), F.max("id_key").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", F.ceil(F.col("n") / per_salt).cast("int").alias("salts"))
+    joint = _shared.written(joint, "substring-joint")
     shared = seeds.join(joint, "anchor").groupBy("id_key", "text_key").agg(F.collect_set(F.struct("place", "salts")).alias("x"))
     shared = _shared.written(shared.select("id_key", "text_key", F.col("x.place").alias("places"), F.col("x.salts").alias("salts")), "substring-shared")
     starts = matched(extended(_shared.with_text(shared, keyed), length, gram))
