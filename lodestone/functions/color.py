@@ -23,6 +23,11 @@ FAMILIES = {
 SHAPE = r"^(.*)_(#[0-9A-Fa-f]{3,8})$"
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with the value computed once: a tree that names it often would grow with each name."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def parse(value: Column) -> Column:
     """Struct of name and hex; without a code the whole value is the name and hex is null."""
     fits = value.rlike(SHAPE)
@@ -30,32 +35,37 @@ def parse(value: Column) -> Column:
 
 
 def channels(code: Column) -> Column:
-    """Struct r, g, b in 0..1, or nulls where the code can't be read."""
+    """Struct r, g, b in 0..1 with nulls where the code can't be read."""
     bare = F.regexp_replace(code, "^#", "")
     full = F.when(bare.rlike("^[0-9A-Fa-f]{3}$"), F.regexp_replace(bare, "(.)", "$1$1")).when(bare.rlike("^[0-9A-Fa-f]{6}"), F.substring(bare, 1, 6))
-    return F.struct(*(F.conv(F.substring(full, at, 2), 16, 10).cast("double").__truediv__(255).alias(c) for c, at in (("r", 1), ("g", 3), ("b", 5))))
+    return let(full, lambda x: F.struct(*((F.conv(F.substring(x, at, 2), 16, 10).cast("double") / 255).alias(c) for c, at in (("r", 1), ("g", 3), ("b", 5)))))
 
 
 def hsl(rgb: Column) -> Column:
     """Struct of chroma, lightness, saturation and hue (0 to 360)."""
     r, g, b = rgb["r"], rgb["g"], rgb["b"]
-    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    ends = F.struct(r.alias("r"), g.alias("g"), b.alias("b"), F.greatest(r, g, b).alias("top"), F.least(r, g, b).alias("low"))
+    return let(ends, _hsl)
+
+
+def _hsl(ends: Column) -> Column:
+    r, g, b, top, low = (ends[c] for c in ("r", "g", "b", "top", "low"))
     chroma, light = top - low, (top + low) / 2
     spread = 1 - F.abs(2 * light - 1)
     saturation = F.when((chroma == 0) | (spread == 0), 0.0).otherwise(chroma / spread)
     sector = F.when(chroma == 0, 0.0).when(top == r, ((g - b) / chroma) % 6).when(top == g, (b - r) / chroma + 2).otherwise((r - g) / chroma + 4)
-    hue = sector * 60
-    return F.struct(chroma.alias("c"), light.alias("l"), saturation.alias("s"), F.when(hue < 0, hue + 360).otherwise(hue).alias("h"))
+    return let(sector * 60, lambda hue: F.struct(chroma.alias("c"), light.alias("l"), saturation.alias("s"), F.when(hue < 0, hue + 360).otherwise(hue).alias("h")))
 
 
 def classify(code: Column) -> Column:
     """Family of a colour code, null where it can't be read; the first rule that holds decides."""
-    rgb = channels(code)
-    x = hsl(rgb)
+    return let(channels(code), lambda rgb: F.when(rgb["r"].isNotNull(), let(hsl(rgb), _classify)))
+
+
+def _classify(x: Column) -> Column:
     c, light, s, h = x["c"], x["l"], x["s"], x["h"]
     red = (h < 15) | (h >= 330)
-    return F.when(
-        rgb["r"].isNotNull(),
+    return (
         F.when(light <= 0.16, "schwarz")
         .when((light >= 0.93) & (c <= 0.10), "weiss")
         .when(c <= 0.10, "grau")
@@ -69,15 +79,14 @@ def classify(code: Column) -> Column:
         .when(h < 165, "gruen")
         .when(h < 255, "blau")
         .when(h < 290, "lila")
-        .otherwise(F.when(light <= 0.35, "lila").otherwise("rosa")),
+        .otherwise(F.when(light <= 0.35, "lila").otherwise("rosa"))
     )
 
 
 def group(value: Column) -> Column:
     """``Label_#hex`` of the value's family, or null."""
     names = F.create_map(*(F.lit(x) for slug, (label, swatch) in FAMILIES.items() for x in (slug, f"{label}_{swatch}")))
-    family = classify(parse(value)["hex"])
-    return F.when(family.isNotNull(), names[family])
+    return let(classify(parse(value)["hex"]), lambda family: F.when(family.isNotNull(), F.element_at(names, family)))
 
 
 MODES = ("default", "color", "groupedcolortile")

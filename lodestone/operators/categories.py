@@ -12,22 +12,30 @@ ROOTS = ("oxrootid", "")
 DEEPEST, BREADCRUMB = 20, 10
 
 
-def paths(tree: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """id, path, titles of the active categories: the way from the root, blank titles left out, `` > `` between.
+#: Trees up to this size are walked on the driver; larger ones as a recursive query.
+SMALL_TREE = 100_000
+
+
+def way(start: str, rows: dict[str, tuple[str, str]], deepest: int = DEEPEST) -> list[str]:
+    """Titles from the root to a category, blanks left out; a circle ends after ``deepest`` steps."""
+    titles: list[str] = []
+    at = start
+    while at in rows and deepest > 0:
+        parent, title = rows[at]
+        titles.append(title)
+        at, deepest = parent, deepest - 1
+    return [t for t in reversed(titles) if t]
 
-    The tree is walked upwards, one join of the small tree with itself a level, at most ``deepest`` levels, so
-    categories that point at each other end there.
-    """
+
+def paths(tree: DataFrame, deepest: int = DEEPEST) -> DataFrame:
+    """id, path, titles of the active categories: the way from the root, `` > `` between."""
     active = tree.where("active").select("id", "parent_id", F.trim(F.coalesce("title", F.lit(""))).alias("title"))
-    up = active.select(F.col("id").alias("p_id"), F.col("parent_id").alias("p_parent"), F.col("title").alias("p_title"))
-    walk = active.select("id", F.array("title").alias("titles"), F.col("parent_id").alias("next"))
-    done = walk.limit(0)
-    for _ in range(deepest - 1):
-        step = walk.join(up, walk["next"] == up["p_id"], "left")
-        done = done.unionByName(step.where("p_id IS NULL").select("id", "titles", "next"))
-        walk = step.where("p_id IS NOT NULL").select("id", F.concat(F.array("p_title"), "titles").alias("titles"), F.col("p_parent").alias("next"))
-    kept = done.unionByName(walk).withColumn("titles", F.filter("titles", lambda t: t != ""))
-    return kept.select("id", "titles", F.array_join("titles", " > ").alias("path"))
+    found = active.limit(SMALL_TREE + 1).collect()
+    if len(found) > SMALL_TREE:
+        return paths_sql(tree.sparkSession, tree, deepest)
+    rows = {r["id"]: (r["parent_id"], r["title"]) for r in found}
+    ways = {i: way(i, rows, deepest) for i in rows}
+    return tree.sparkSession.createDataFrame([(i, t, " > ".join(t)) for i, t in ways.items()], "id string, titles array<string>, path string")
 
 
 def paths_sql(spark, tree: DataFrame, deepest: int = DEEPEST) -> DataFrame:

@@ -71,13 +71,17 @@ def facet_copy(attributes: Column, settings: Settings) -> Column:
     grouped = [a for a, mode in settings.display_modes.items() if color.is_grouped(mode)]
 
     def recolored(a: Column) -> Column:
+        def entry(value: Column) -> Column:
+            return F.struct(a["attr_id"].alias("attr_id"), a["title"].alias("title"), keys.value_id(value).alias("value_id"), value.alias("value"), a["pos"].alias("pos"))
+
         family = F.when(a["attr_id"].isin(*grouped), color.group(a["value"])) if grouped else F.lit(None).cast("string")
-        value = F.coalesce(family, a["value"])
-        return F.struct(a["attr_id"].alias("attr_id"), a["title"].alias("title"), keys.value_id(value).alias("value_id"), value.alias("value"), a["pos"].alias("pos"))
+        return color.let(F.coalesce(family, a["value"]), entry)
+
+    def first_only(found: Column) -> Column:
+        key = F.transform(found, lambda a: F.concat_ws("_", a["attr_id"], a["value_id"]))
+        return color.let(F.struct(found.alias("found"), key.alias("key")), lambda x: F.filter(x["found"], lambda a, i: F.array_position(x["key"], F.concat_ws("_", a["attr_id"], a["value_id"])) == i + 1))
 
-    found = F.transform(only(attributes, settings.facet_attributes), recolored)
-    key = F.transform(found, lambda a: F.concat_ws("_", a["attr_id"], a["value_id"]))
-    return F.filter(found, lambda a, i: F.array_position(key, F.concat_ws("_", a["attr_id"], a["value_id"])) == i + 1)
+    return color.let(F.transform(only(attributes, settings.facet_attributes), recolored), first_only)
 
 
 def build(tables: dict[str, DataFrame], shop_id: int, lang_id: int, settings: Settings, now: datetime) -> DataFrame:

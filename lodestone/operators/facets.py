@@ -25,7 +25,7 @@ def counts(documents: DataFrame, links: DataFrame | None, query: SearchQuery, ex
         base.withColumn("failed", failed)
         .where(F.size("failed") <= 1)
         .select("id", "group_id", "failed", F.explode("attributes").alias("a"))
-        .where(F.col("a.attr_id").isin(*attributes) & ((F.size("failed") == 0) | (F.element_at("failed", 1) == F.col("a.attr_id"))))
+        .where(F.col("a.attr_id").isin(*attributes) & ((F.size("failed") == 0) | (F.get("failed", F.lit(0)) == F.col("a.attr_id"))))
         .select("id", "group_id", F.col("a.attr_id").alias("attr_id"), F.col("a.value_id").alias("value_id"), F.col("a.value").alias("value"))
     )
     number = F.countDistinct("group_id") if unit == "groups" else F.countDistinct("id")
@@ -58,7 +58,8 @@ def top_values(found: DataFrame, limit: int, selected: dict[str, tuple[str, ...]
 def worth_showing(shown: DataFrame) -> DataFrame:
     """Facets with a selection or at least two values to choose from."""
     own = Window.partitionBy("attr_id")
-    return shown.where(F.max("selected").over(own) | (F.count(F.when((F.col("cnt") > 0) | F.col("selected"), 1)).over(own) >= 2))
+    offers = F.count(F.when((F.col("cnt") > 0) | F.col("selected"), 1)).over(own)
+    return shown.withColumn("worth", F.max("selected").over(own) | (offers >= 2)).where("worth").drop("worth")
 
 
 def assembled(shown: list, attributes: tuple[str, ...], titles: dict[str, str], custom: dict[str, str], query: SearchQuery, settings: Settings, labels: dict[tuple[str, str], str] | None = None) -> tuple[Facet, ...]:

@@ -114,10 +114,13 @@ class IndexWriter:
         out = self._files().create(draft, True)
         out.write(bytearray(json.dumps({"version": version}).encode()))
         out.close()
-        files = self._files()
-        files.delete(self._path(POINTER), False)
-        if not files.rename(draft, self._path(POINTER)):
-            raise OSError("the pointer could not be moved")
+        context = self.spark.sparkContext
+        fs = context._jvm.org.apache.hadoop.fs
+        how = getattr(fs, "Options$Rename")
+        options = context._gateway.new_array(how, 1)
+        options[0] = how.OVERWRITE
+        # One rename that replaces: a reader finds the old version or the new one.
+        fs.FileContext.getFileContext(draft.toUri(), context._jsc.hadoopConfiguration()).rename(draft, self._path(POINTER), options)
 
     def rollback(self) -> None:
         if self.staging is not None:
