@@ -1,6 +1,6 @@
 """Global order without a global sort in one task: sampled splitters and exact offsets.
 
-Rows get a fixed-width byte key; a size-weighted sample of keys gives quantile boundaries; rows fall into
+Keys are tuples of long columns; a size-weighted sample of keys gives quantile boundaries; rows fall into
 the ranges between them; exact statistics of the ranges show which are overfull, and those are split again
 by a sample of their own. Inside a range a window orders the rows, and the ranges' totals, summed on the
 driver (one row for each range, about rows / rows_per_range), make ranks and prefix sums global.
@@ -17,10 +17,26 @@ from pyspark.sql import functions as F
 OVERSAMPLE = 32
 
 
-def packed(columns: list[np.ndarray]) -> np.ndarray:
-    """Signed 64-bit columns as byte strings that compare like the tuples."""
-    wide = [(c.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8") for c in columns]
-    return np.ascontiguousarray(np.stack(wide, 1)).view(f"S{8 * len(columns)}")[:, 0]
+def ordered(keys: np.ndarray) -> np.ndarray:
+    """The distinct rows of a matrix of keys, in the order of the tuples."""
+    keys = keys[np.lexsort(keys.T[::-1])]
+    new = np.r_[True, (keys[1:] != keys[:-1]).any(1)] if len(keys) else np.zeros(0, bool)
+    return keys[new]
+
+
+def located(boundaries: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each key how many of the ordered boundaries are at or below it."""
+    both = np.concatenate([boundaries, keys])
+    is_key = np.arange(len(both)) >= len(boundaries)
+    order = np.lexsort((is_key, *both.T[::-1]))
+    passed = np.cumsum(~is_key[order])
+    out = np.empty(len(keys), np.int32)
+    out[order[is_key[order]] - len(boundaries)] = passed[is_key[order]]
+    return out
+
+
+def matrix(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    return np.stack([frame[k].to_numpy(np.int64) for k in keys], 1)
 
 
 def assigned(df: DataFrame, keys: list[str], boundaries: np.ndarray) -> DataFrame:
@@ -29,7 +45,7 @@ def assigned(df: DataFrame, keys: list[str], boundaries: np.ndarray) -> DataFram
 
     @F.pandas_udf("int")
     def locate(columns: pd.DataFrame) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds.value, packed([columns[c].to_numpy() for c in columns]), "right").astype(np.int32))
+        return pd.Series(located(bounds.value, matrix(columns, keys)))
 
     return df.withColumn("range_id", locate(F.struct(*keys)))
 
@@ -42,25 +58,23 @@ def splitters(df: DataFrame, keys: list[str], weight: str, wanted: int, seed: in
     """
     total = df.agg(F.sum(weight)).first()[0] or 0
     if wanted <= 1 or total <= 0:
-        return np.zeros(0, f"S{8 * len(keys)}")
+        return np.zeros((0, len(keys)), np.int64)
     step = total / (wanted * OVERSAMPLE)
     draw = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) / float(1 << 40)
     drawn = df.where(F.col(weight) / F.lit(step) > draw).select(*keys, F.greatest(F.lit(1), F.round(F.col(weight) / F.lit(step))).cast("long").alias("times"))
     sample = drawn.toPandas()
     if sample.empty:
-        return np.zeros(0, f"S{8 * len(keys)}")
-    columns = [sample[k].to_numpy() for k in keys]
-    order = np.argsort(packed(columns), kind="stable")
+        return np.zeros((0, len(keys)), np.int64)
+    drawn_keys = matrix(sample, keys)
+    order = np.lexsort(drawn_keys.T[::-1])
     reached = np.cumsum(sample["times"].to_numpy()[order])
     at = order[np.unique(np.searchsorted(reached, np.arange(1, wanted) * reached[-1] / wanted))]
-    first = columns[0][at]
-    rest = [c[at].copy() for c in columns[1:]]
+    cuts = drawn_keys[at]
     # The first boundary inside a group of one leading key moves to the start of the group: only a group
     # that several boundaries fall into is cut.
-    lead = np.r_[True, first[1:] != first[:-1]] if len(first) else np.zeros(0, bool)
-    for c in rest:
-        c[lead] = np.iinfo(np.int64).min
-    return np.unique(packed([first, *rest]))
+    lead = np.r_[True, cuts[1:, 0] != cuts[:-1, 0]] if len(cuts) else np.zeros(0, bool)
+    cuts[lead, 1:] = np.iinfo(np.int64).min
+    return ordered(cuts)
 
 
 def ranged(df: DataFrame, keys: list[str], weight: str, wanted: int, rows_per_range: int, rounds: int = 3):
@@ -82,7 +96,7 @@ def ranged(df: DataFrame, keys: list[str], weight: str, wanted: int, rows_per_ra
         inside = out.where(F.col("range_id").isin([int(x) for x in over["range_id"]])) if len(over) <= 1000 else out
         parts = int(np.ceil(np.maximum(2 * over["weight"] / limit, 2 * over["rows"] / rows_per_range)).sum())
         more = splitters(inside, keys, weight, parts + 1, seed=8 + again)
-        merged = np.unique(np.concatenate([boundaries, more]))
+        merged = ordered(np.concatenate([boundaries, more]))
         if len(merged) == len(boundaries):
             break
         boundaries = merged
