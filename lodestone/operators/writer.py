@@ -17,7 +17,7 @@ from lodestone.operators import categories, dictionary, rollup
 from lodestone.plans.model import Index
 
 LAYOUT = {"documents": schema.DOCUMENTS, "rollup": schema.ROLLUP, "categories": schema.CATEGORY_LINKS, "dictionary": schema.DICTIONARY}
-POINTER = "_CURRENT"
+POINTER = "CURRENT"
 
 
 class IndexWriter:
