@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,8 @@ TOKENIZER = "word_bpe_49k.json"
 END = 1
 MAGIC = b"LDAC1\0\0\0"
 BLOCK = 512
-LEVEL_0 = (4, 5, 6, 7, 8, 9, 10)
+#: Chunks of the first level are whole bytes, which need no packing.
+LEVEL_0 = (8,)
 
 
 def _padded(data: bytes) -> bytes:
@@ -166,28 +168,59 @@ class Reader:
         return self.alphabet[codes] if self.n_tokens else np.zeros(0, np.uint32)
 
 
-class Encoder:
-    """Token ids of texts, word by word, with a cache of at most ``room`` words."""
+class Encoder(dict):
+    """Words to their token ids as bytes, found out when they are first asked for.
 
-    def __init__(self, path: str, room: int = 300_000):
+    A word that is letters and one mark at most is cut there, as the tokenizer's pattern cuts it, and lower
+    ASCII letters, which its normaliser leaves alone, go straight to its merges. Two generations of at most
+    ``room`` words are kept.
+    """
+
+    def __init__(self, path: str, room: int = 500_000):
+        super().__init__({"": b""})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
-        self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = list(set().union(*cut) - self.cache.keys())
-        if len(self.cache) + len(missing) > self.room:
-            self.cache = {"": b""}
-            missing = list(set().union(*cut) - {""})
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.encode_batch(part, add_special_tokens=False), strict=True))
-        find = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(find, c)), "<u4") for c in cut]
+        self.merges = self.tokenizer.model.tokenize
+        self.old: dict[str, bytes] = {}
+        self.marks = {m: self._whole(m) for m in ".,"}
+
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            mark = self.marks.get(word[-1], b"")
+            core = word[:-1] if mark else word
+            if not core.isalpha():
+                ids = self._whole(word)
+            elif not core.isascii():
+                ids = (self[core] if mark else self._whole(core)) + mark
+            elif (low := core.lower()) != word:
+                ids = self[low] + mark
+            else:
+                ids = array("I", [t.id for t in self.merges(low)]).tobytes()
+        self[word] = ids
+        return ids
+
+    def encode(self, text: str, tail: bytes = b"") -> bytes:
+        if len(self) > self.room:
+            self.old = dict(self)
+            self.clear()
+            self[""] = b""
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) + tail
+
+
+#: Of a worker process, which runs many tasks.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def write_file(folder: str, name: str, data: bytes) -> None:
@@ -218,31 +251,24 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = END, r
     placed = _ranges.assigned(keyed, keys, boundaries)
 
     def run(batches):
-        encoder = Encoder(tokenizer)
+        encoder = encoder_for(tokenizer)
         current, ids, parts = None, [], []
 
         def flush():
             if current is None:
                 return
-            lengths = np.array([len(p) for p in parts], np.int64)
-            write_file(folder, f"ids-{current:08d}.dac", encode(np.array(ids, np.int64), np.r_[0, np.cumsum(lengths)], np.concatenate(parts)))
+            ends = np.cumsum([len(p) // 4 for p in parts])
+            write_file(folder, f"ids-{current:08d}.dac", encode(np.array(ids, np.int64), np.r_[0, ends], np.frombuffer(b"".join(parts), "<u4")))
 
-        tail = np.array([] if end is None else [end], np.uint32)
+        tail = b"" if end is None else np.array([end], "<u4").tobytes()
         for batch in batches:
             ranges, doc_ids, texts = (batch.column(k).to_pylist() for k in range(3))
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= 2 << 20):
-                    size += len(texts[j])
-                    j += 1
-                for r, d, ids_of in zip(ranges[i:j], doc_ids[i:j], encoder.encode(texts[i:j]), strict=True):
-                    if r != current:
-                        flush()
-                        current, ids, parts = r, [], []
-                    ids.append(d)
-                    parts.append(np.r_[ids_of, tail])
-                i = j
+            for r, d, text in zip(ranges, doc_ids, texts, strict=True):
+                if r != current:
+                    flush()
+                    current, ids, parts = r, [], []
+                ids.append(d)
+                parts.append(encoder.encode(text, tail))
             yield pa.RecordBatch.from_arrays([pa.array([len(texts)], pa.int64())], names=["rows"])
         flush()
 
