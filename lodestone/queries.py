@@ -282,7 +282,7 @@ def _(spark, folder):
 
 @query("documents_build", INDEX + " SELECT id, article_id, parent_id, group_id, visible, title, artnum, ean, mpn, brand, manufacturer_id, array_to_string(category_ids, ',') AS category_ids, array_to_string(category_paths, ' %% ') AS category_paths, search_text, boost_text, price::DOUBLE AS price, stock, sold::INT AS sold, insert_date FROM docs")
 def _(spark, folder):
-    _, docs = built(spark, folder)
+    docs = documents.build(StandIn(spark, folder), 1, 0, SETTINGS, NOW)
     return docs.select(
         "id", "article_id", "parent_id", "group_id", "visible", "title", "artnum", "ean", "mpn", "brand", "manufacturer_id", F.array_join("category_ids", ",").alias("category_ids"), F.array_join("category_paths", " %% ").alias("category_paths"),
         "search_text", "boost_text", F.col("price").cast("double").alias("price"), "stock", "sold", "insert_date",
