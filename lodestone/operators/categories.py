@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROOTS = ("oxrootid", "")
 DEEPEST, BREADCRUMB = 20, 10
 
 

@@ -45,7 +45,7 @@ STAND_IN = {
         UNION ALL SELECT 'v' || CAST(p_partkey AS STRING), 'colour', split_part(p_name, ' ', 1) || '_#' || substr(md5(split_part(p_name, ' ', 1)), 1, 6), 3 FROM {part}
         UNION ALL SELECT 'g' || md5(p_name), 'material', ' ' || split_part(p_name, ' ', 2) || ' ', 0 FROM {part} GROUP BY p_name""",
     "categories": """
-        SELECT 'r' || CAST(r_regionkey AS STRING) AS id, 'oxrootid' AS parent_id, r_name AS title, true AS active, false AS hidden FROM {region}
+        SELECT 'r' || CAST(r_regionkey AS STRING) AS id, 'root' AS parent_id, r_name AS title, true AS active, false AS hidden FROM {region}
         UNION ALL SELECT 'n' || CAST(n_nationkey AS STRING), 'r' || CAST(n_regionkey AS STRING), n_name, n_nationkey <> 7, n_nationkey % 5 = 0 FROM {nation}""",
     "object2category": """
         SELECT 'g' || md5(p_name) AS object_id, 'n' || CAST(min(p_partkey) % 25 AS STRING) AS cat_id FROM {part} GROUP BY p_name

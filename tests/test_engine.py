@@ -39,7 +39,7 @@ def tables(spark):
         "manufacturers": make([("m1", "Nord"), ("m2", "Süd")], "id string, title string"),
         "attributes": make([("colour", "Farbe"), ("size", "Größe")], "id string, title string"),
         "object2attribute": make([("a1", "colour", "Rot_#ff0000", 1), ("a2", "colour", "Rot_#ff0000", 1), ("k1", "colour", "Blau_#0000ff", 1), ("a1", "size", "M", 2), ("a2", "size", "L", 2), ("k1", "size", " M ", 2), ("x1", "size", " ", 2)], "object_id string, attr_id string, value string, pos int"),
-        "categories": make([("c1", "oxrootid", " Damen ", True, False), ("c2", "c1", "Jacken", True, False), ("c3", "c4", "X", True, False), ("c4", "c3", "Y", True, False), ("c5", "c1", "", True, True)], "id string, parent_id string, title string, active boolean, hidden boolean"),
+        "categories": make([("c1", "root", " Damen ", True, False), ("c2", "c1", "Jacken", True, False), ("c3", "c4", "X", True, False), ("c4", "c3", "Y", True, False), ("c5", "c1", "", True, True)], "id string, parent_id string, title string, active boolean, hidden boolean"),
         "object2category": make([("p1", "c2"), ("k1", "c1"), ("k1", "gone"), ("nobody", "c1")], "object_id string, cat_id string"),
         "discounts": make([("d1", 10.0, "%", 1, None, None, 2), ("d2", 5.0, "abs", 1, None, None, 1), ("d3", 99.0, "abs", 0, datetime(2020, 1, 1), datetime(2021, 1, 1), 3)], "id string, amount double, kind string, active int, active_from timestamp, active_to timestamp, sort int"),
         "object2discount": make([("d1", "c2", "category"), ("d2", "a1", "article"), ("d3", "a1", "article"), ("d1", "p1", "article")], "discount_id string, object_id string, kind string"),
