@@ -300,13 +300,13 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInArrow(run, DOCUMENTS)
 
 
-def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, range_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, all from files that were written and read back."""
     spark = docs.sparkSession
     folder = _shared.new_path(spark, "token-files")
     if docs.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    write(docs, folder, tokenizer)
+    write(docs, folder, tokenizer, range_bytes=range_bytes)
     found = _shared.written(read(spark, folder), "token-documents")
     sizes = found.groupBy("range_id").agg(F.sum("n_tokens").alias("n")).toPandas().sort_values("range_id", ignore_index=True)  # a row for each file
     ahead = spark.createDataFrame([(int(r), int(a)) for r, a in zip(sizes["range_id"], sizes["n"].cumsum() - sizes["n"], strict=True)], "range_id int, ahead long")
