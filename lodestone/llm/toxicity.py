@@ -276,39 +276,39 @@ def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = 5) -> Mo
         fold[rows] = np.arange(len(rows)) % FOLDS
     counts = [np.zeros((FOLDS, 2, 1 << b), np.float32) for b in (WORD_BITS, *[GRAM_BITS] * len(GRAMS))]
     totals = np.zeros((FOLDS, 2))
-    lexicons: dict[int, list[tuple[Lexicon, np.ndarray]]] = {}
-    for k in range(FOLDS):
-        own = np.flatnonzero(fold == k)
-        batch = pa.RecordBatch.from_arrays([pa.array([texts[i] for i in own], pa.string())], names=["text"])
-        done = 0
-        for chunk in _words.chunks(iter([batch]), limit=1 << 20):
-            lexicon = Lexicon(chunk)
-            rows = own[done : done + len(chunk.texts)]
-            done += len(chunk.texts)
-            lexicons.setdefault(k, []).append((lexicon, labels[rows]))
-            for i, y in enumerate(labels[rows]):
-                seen = np.unique(lexicon.word_of[lexicon.first[i] : lexicon.first[i + 1]])
-                counts[0][k, y][np.unique(lexicon.word_bucket[seen])] += 1
-                for table, (bucket, lead, count) in zip(counts[1:], lexicon.grams, strict=True):
-                    if len(seen):
-                        n = count[seen]
-                        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lead[seen], n)
-                        table[k, y][np.unique(bucket[at])] += 1
-                totals[k, y] += 1
+
+    def lexicons():
+        """(fold, lexicon, labels) of all texts, a MB at a time; made anew in each pass, which holds one of them."""
+        for k in range(FOLDS):
+            own = np.flatnonzero(fold == k)
+            batch = pa.RecordBatch.from_arrays([pa.array([texts[i] for i in own], pa.string())], names=["text"])
+            done = 0
+            for chunk in _words.chunks(iter([batch]), limit=1 << 20):
+                rows = own[done : done + len(chunk.texts)]
+                done += len(chunk.texts)
+                yield k, Lexicon(chunk), labels[rows]
+
+    for k, lexicon, own in lexicons():
+        for i, y in enumerate(own):
+            seen = np.unique(lexicon.word_of[lexicon.first[i] : lexicon.first[i + 1]])
+            counts[0][k, y][np.unique(lexicon.word_bucket[seen])] += 1
+            for table, (bucket, lead, count) in zip(counts[1:], lexicon.grams, strict=True):
+                if len(seen):
+                    n = count[seen]
+                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lead[seen], n)
+                    table[k, y][np.unique(bucket[at])] += 1
+            totals[k, y] += 1
 
     def tables(without: int | None) -> list[np.ndarray]:
         use = [k for k in range(FOLDS) if k != without]
         return [odds(c[use, 1].sum(0), c[use, 0].sum(0), totals[use, 1].sum(), totals[use, 0].sum()) for c in counts]
 
-    sets, held = [], []
-    for k, parts in lexicons.items():
-        word_odds, *gram_odds = tables(k)
-        for lexicon, y in parts:
-            x = lexicon.features(word_odds, gram_odds)
-            owner, words = lexicon.windows()
-            held.append((x, owner, words, y))
-            if not len(owner):
-                continue
+    odds_of = {k: tables(k) for k in range(FOLDS)}
+    sets = []
+    for k, lexicon, y in lexicons():
+        x = lexicon.features(odds_of[k][0], odds_of[k][1:])
+        owner, words = lexicon.windows()
+        if len(owner):
             # Of each text the window that looks worst, and of clean texts one more.
             hint = np.max((x[:, 0] + x[:, -3])[words], 1)
             order = np.lexsort((-hint, owner))
@@ -326,8 +326,13 @@ def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = 5) -> Mo
         joined = np.concatenate([np.where(w < 0, ahead[-1], w + a) for (_, w, _), a in zip(sets, ahead, strict=False)])
         features = np.concatenate([*(x for x, _, _ in sets), np.zeros((1, N_FEATURES), np.float32)])
         network.train(features, joined, np.concatenate([y for *_, y in sets]))
-    best = np.concatenate([best_logits(network.logits(x, words), owner, len(y)) if len(owner) else np.full(len(y), -np.inf) for x, owner, words, y in held])
-    y = np.concatenate([y for *_, y in held])
+    best, y = [], []
+    for k, lexicon, own in lexicons():
+        owner, words = lexicon.windows()
+        x = lexicon.features(odds_of[k][0], odds_of[k][1:])
+        best.append(best_logits(network.logits(x, words), owner, len(own)) if len(owner) else np.full(len(own), -np.inf))
+        y.append(own)
+    best, y = np.concatenate(best), np.concatenate(y)
     some = np.isfinite(best)
     slope, shift = logistic(best[some], y[some])
     # From the sample's balance to that of all labelled rows.
