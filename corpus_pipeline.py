@@ -4,8 +4,8 @@ Every stage takes (spark, docs, sf_dir) and returns the documents it keeps with
 returns the shards. ``run`` writes each stage's result as Parquet in the shared folder and reads it again.
 
 Nulls: a document with a null or empty text is not toxic by itself, links with nothing, is not contaminated
-and has no words to mix, so it takes copies like any other row of its source. Repeated rows of one document
-are thinned to one by the similarity stage unless they have no words. Columns besides doc_id, text and source
+and has no words to mix, so it takes copies like any other row of its source. Repeated rows (alike in id and
+text) are thinned to one by the similarity stage unless they have no words. Columns besides doc_id, text and source
 pass through under any name.
 """
 
@@ -34,14 +34,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the smallest id stays, and of its repeated rows one.
 
-    Near duplicates here share 80 % of their five-word shingles.
+    Near duplicates here share 80 % of their five-word shingles. Different texts without an id, or with the same
+    one, are documents of their own.
     """
-    found = _shared.written(similarity.classes(docs, size=5, percent=80).select("id_key", "text_key", "n_shingles", "component"), "near-copies")
+    found = _shared.written(similarity.classes(docs, size=5, percent=80).select("id_key", "text_key", "n_shingles", "leads"), "near-copies")
     keys = ["id_key", "text_key"]
-    stay = found.groupBy(*keys).agg(F.min("n_shingles").alias("n"), F.count("*").alias("times"), F.min("component").alias("component"))
-    # Rows of one id with other texts are the same document: the least text_key stands for it.
-    lead = F.row_number().over(Window.partitionBy("id_key").orderBy("text_key")) == 1
-    stay = stay.withColumn("lead", lead).select(*keys, "n", "times", ((F.col("n") == 0) | ((F.col("id_key") == F.col("component")) & F.col("lead"))).alias("stays"))
+    stay = found.groupBy(*keys).agg(F.min("n_shingles").alias("n"), F.count("*").alias("times"), F.max("leads").alias("leads"))
+    stay = stay.select(*keys, "n", "times", ((F.col("n") == 0) | F.col("leads")).alias("stays"))
     stay = _shared.written(stay, "near-copies-stay")
     doc_id = F.coalesce(F.col("doc_id"), F.lit(_shared.LOWEST))
     boxed = _boxed(docs).withColumn("id_key", doc_id).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))

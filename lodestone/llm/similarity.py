@@ -13,9 +13,11 @@ distance, which never exceeds the symmetric difference, leaves the pairs that ma
 blocks. Then those blocks' texts meet, and pairs not yet connected are verified on the sets themselves.
 Blocks too large for one task are cut into chunks and every pair of chunks is compared: nothing is capped.
 
-Equal sets are one class from the start: only its smallest id is sketched. Shingles are 64-bit hashes.
+Equal sets are one class from the start: only one node of it is sketched. Shingles are 64-bit hashes.
 Texts with fewer words than a shingle are one shingle; null and empty texts have none and link with nothing.
-Rows that share a doc_id are one document; a null doc_id counts as smaller than any other.
+Each (doc_id, text) is a node of its own (a 64-bit hash), so texts without an id, or with one that other texts
+have too, are searched and linked each by itself; repeated rows are one node. A group is named by its smallest
+id, and has no name if none of its rows has an id.
 """
 
 from __future__ import annotations
@@ -232,15 +234,15 @@ def united(rows: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
             yield batch_of(settle(*held))
 
     keys = ["block", "left_chunk", "right_chunk"]
-    columns = [*keys, "chunk", "id_key", "text" if whole else "sketch", F.col("n_shingles").cast("long")]
-    return rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "chunk", "id_key").mapInArrow(run, "a long, b long")
+    columns = [*keys, "chunk", "node", "text" if whole else "sketch", F.col("n_shingles").cast("long")]
+    return rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "chunk", "node").mapInArrow(run, "a long, b long")
 
 
 def blocked(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """members (by id_key) with the component of ``edges`` they are in; the rest drops out."""
+    """members (by node) with the component of ``edges`` they are in; the rest drops out."""
     found = _components.components(edges)
-    nodes = found.select(F.col("node").alias("id_key"), F.col("root").alias("block")).unionByName(found.select(F.col("root").alias("id_key"), F.col("root").alias("block")).distinct())
-    return members.join(nodes, "id_key")
+    nodes = found.select("node", F.col("root").alias("block")).unionByName(found.select(F.col("root").alias("node"), F.col("root").alias("block")).distinct())
+    return members.join(nodes, "node")
 
 
 def dealt(members: DataFrame, weight: str, chunk_docs: int, chunk_bytes: int) -> DataFrame:
@@ -256,30 +258,36 @@ def paired(rows: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk_docs: int = 2000, chunk_bytes: int = 12 << 20) -> DataFrame:
-    """doc_id, id_key, text_key, n_shingles, component (an id_key) for each row of ``docs``."""
+    """doc_id, id_key, text_key, n_shingles, component (an id_key), leads for each row of ``docs``.
+
+    Of each group of linked nodes one leads: that of the smallest id, ids ahead of null, and its least text_key.
+    """
     keyed = _shared.with_keys(docs)
-    base = _shared.written(sketched(keyed, size, percent), "similarity-base")
+    node = F.xxhash64("id_key", "text_key").alias("node")
+    base = _shared.written(sketched(keyed, size, percent), "similarity-base").select("*", node)
     sets = ["set_hash", "set_check", "n_shingles"]
-    heads = base.where("n_shingles > 0").groupBy(*sets).agg(F.min("id_key").alias("head"))
-    rows = base.select("doc_id", "id_key", "text_key", *sets).join(heads, sets, "left").withColumn("head", F.coalesce("head", "id_key"))
-    rows = _shared.written(rows.drop("set_hash", "set_check"), "similarity-rows")
-    # Of each class its smallest id, and of that id's rows one text, goes on; the others are copies.
-    lead = rows.where("n_shingles > 0 AND id_key = head").groupBy("id_key").agg(F.min("text_key").alias("lead_key"))
-    copies = rows.where("n_shingles > 0").join(lead, "id_key", "left").where("lead_key IS NULL OR lead_key <> text_key").select("id_key", "text_key").distinct()
-    copies = _shared.written(copies, "similarity-copies")
+    heads = base.where("n_shingles > 0").groupBy(*sets).agg(F.min("node").alias("head"))
+    rows = base.select("doc_id", "id_key", "text_key", "node", *sets).join(heads, sets, "left").withColumn("head", F.coalesce("head", "node"))
+    rows = _shared.written(rows.drop("set_hash", "set_check", "node"), "similarity-rows").select("*", node)
+    # Of each class one node goes on; the others are copies.
+    copies = _shared.written(rows.where("node <> head").select("id_key", "text_key").distinct(), "similarity-copies")
     few = copies.count() <= _shared.MOST_IDS
     alone = base.where(F.size("part_keys") > 0).join(F.broadcast(copies) if few else copies, ["id_key", "text_key"], "left_anti")
-    parts = alone.select("id_key", F.explode("part_keys").alias("part_key"))
+    parts = alone.select("node", F.explode("part_keys").alias("part_key"))
     # One shuffle, and a running first value that holds no group in memory.
-    order = Window.partitionBy("part_key").orderBy("id_key").rowsBetween(Window.unboundedPreceding, 0)
-    edges = parts.withColumn("low", F.first("id_key").over(order)).where("id_key <> low").select(F.col("id_key").alias("a"), F.col("low").alias("b")).distinct()
-    members = alone.select("id_key", "text_key", "n_shingles", "n_bytes", "sketch", F.octet_length("sketch").alias("n_sketch")).dropDuplicates(["id_key"])
+    order = Window.partitionBy("part_key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
+    edges = parts.withColumn("low", F.first("node").over(order)).where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    members = alone.select("node", "id_key", "text_key", "n_shingles", "n_bytes", "sketch", F.octet_length("sketch").alias("n_sketch")).dropDuplicates(["node"])
     members = _shared.written(blocked(members, edges), "similarity-members")
     near = united(paired(dealt(members, "n_sketch", 2 * chunk_docs, chunk_bytes)), size, percent)
     members = _shared.written(blocked(members.drop("block", "sketch"), near), "similarity-near")
     texts = _shared.with_text(dealt(members, "n_bytes", chunk_docs, chunk_bytes), keyed)
     links = _components.components(united(paired(texts), size, percent))
-    return rows.join(links, rows["head"] == links["node"], "left").select("doc_id", "id_key", "text_key", "n_shingles", F.coalesce("root", "head").alias("component"))
+    rooted = rows.join(links.select(F.col("node").alias("head"), "root"), "head", "left").withColumn("root", F.coalesce("root", "head"))
+    rooted = _shared.written(rooted.select("doc_id", "id_key", "text_key", "n_shingles", "root"), "similarity-rooted")
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("without"), "id_key", "text_key")).alias("least"))
+    leads = (F.col("id_key") == F.col("least.id_key")) & (F.col("text_key") == F.col("least.text_key"))
+    return rooted.join(least, "root").select("doc_id", "id_key", "text_key", "n_shingles", F.col("least.id_key").alias("component"), leads.alias("leads"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,6 +195,58 @@ def test_similarity_near_the_threshold_in_small_chunks(spark, same):
         same(out.select("doc_id", "n_shingles", "component"), list(brute_similarity(rows)))
 
 
+def by_text(rows):
+    """Names the groups of rows, each text of an id by itself, by their least id; the rows of the other texts that lead."""
+    nodes = sorted({(d is None, -1 if d is None else d, t) for d, t in rows if t})
+    group = {i: c for i, _, c in brute_similarity([(i, t) for i, (_, _, t) in enumerate(nodes)])}
+    least = {n: nodes[group[i]] for i, n in enumerate(nodes)}
+    return [(d, t, None if least[d is None, -1 if d is None else d, t][0] else least[d is None, -1 if d is None else d, t][1]) for d, t in rows if t]
+
+
+def several_texts():
+    """A third without an id, three rows an id, near copies of all kinds, repeated rows."""
+    rows = [(None if i % 3 == 0 else 1000 - i // 4, t) for i, t in near(5)]
+    alone = [(None, " ".join(f"n{i}x{j}" for j in range(30))) for i in range(5)] + [(7, " ".join(f"s{i}x{j}" for j in range(30))) for i in range(5)]
+    return [*rows, *alone, rows[0], rows[1], alone[0], (None, None), (None, None), (7, "")]
+
+
+def test_similarity_of_texts_without_an_id_or_with_the_same(spark, same):
+    rows = several_texts()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk in (2000, 7):
+        out = similarity.classes(df, chunk_docs=chunk).join(df.select(F.xxhash64("text").alias("text_key"), "text").distinct(), "text_key").where("text <> ''")
+        same(out.select("doc_id", "text", F.nullif("component", F.lit(-(1 << 63)))), by_text(rows))
+        # One node of each group leads.
+        n_groups = len(brute_groups([t for _, t in rows if t]))
+        assert out.where("leads").select("id_key", "text_key").distinct().count() == n_groups
+
+
+def brute_groups(texts):
+    return {c for _, _, c in brute_similarity(list(enumerate(texts)))}
+
+
+def test_near_copies_keep_one_row_of_each_linked_group(spark):
+    import corpus_pipeline
+
+    clean = [(d, t, "s") for d, t in several_texts() if not t or len(t.split()) >= 30]
+    df = spark.createDataFrame(clean, "doc_id long, text string, source string")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    alone = [(d, t) for d, t, _ in clean if t and t[0] in "ns" and t[1].isdigit()]
+    assert sorted(x for x in kept if x in alone and x[0] is None) == sorted({x for x in alone if x[0] is None})
+    assert sorted(x for x in kept if x in alone and x[0] == 7) == sorted(x for x in alone if x[0] == 7)
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    like = lambda a, b: 100 * len(sets(a) & sets(b)) >= 80 * len(sets(a) | sets(b))
+    texts = [t for _, t in kept if t]
+    assert not [1 for i, a in enumerate(texts) for b in texts[:i] if like(a, b)]
+    reached, seen = set(), list(texts)
+    while seen:
+        a = seen.pop()
+        reached.add(a)
+        seen += [t for _, t, _ in clean if t and t not in reached and t not in seen and like(a, t)]
+    assert reached == {t for _, t, _ in clean if t}
+    assert len([1 for _, t in kept if not t]) == 3
+
+
 def test_linked_sets_always_share_a_part_key():
     r = np.random.default_rng(3)
     bands = similarity.Bands()
