@@ -26,6 +26,7 @@ documents of their own. An empty table writes no file and gives an empty result.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 
@@ -171,8 +172,9 @@ class Reader:
 class Encoder(dict):
     """Words to their token ids as bytes, found out when they are first asked for.
 
-    A word that is letters and one mark at most is cut there, as the tokenizer's pattern cuts it, and lower
-    ASCII letters, which its normaliser leaves alone, go straight to its merges. Two generations of at most
+    A word that is letters and one mark at most is cut there, as the tokenizer's pattern cuts it, if its letters
+    stay letters in the normaliser (some become a letter and a combining mark, which goes with the mark), and lower
+    ASCII letters, which the normaliser leaves alone, go straight to its merges. Two generations of at most
     ``room`` words are kept.
     """
 
@@ -197,7 +199,7 @@ class Encoder(dict):
             if not core.isalpha():
                 ids = self._whole(word)
             elif not core.isascii():
-                ids = (self[core] if mark else self._whole(core)) + mark
+                ids = self[core] + mark if mark and unicodedata.normalize("NFC", core).lower().isalpha() else self._whole(word)
             elif (low := core.lower()) != word:
                 ids = self[low] + mark
             else:

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -28,6 +29,19 @@ def test_encoder_gives_the_librarys_ids(rows):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_cuts_no_mark_from_letters_that_end_in_a_combining_one():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(tokenfiles.TOKENIZER)
+    library, own = Tokenizer.from_file(path), tokenfiles.Encoder(path)
+    letters = [c for c in map(chr, range(0x80, 0x110000)) if c.isalpha()]
+    odd = [c for c in letters if not unicodedata.normalize("NFC", c).lower().isalpha()]
+    assert {"\u0130", "\u0958", "\u09df", "\ufb2a"} <= set(odd)
+    words = [f"{a}{c}{m}" for a in ("", "al") for c in [*odd, *letters[::97]] for m in ("", ".", ",")]
+    for word in [*words, "AL\u0130. x", "\u0130a."]:
+        assert np.frombuffer(own.encode(word), "<u4").tolist() == library.encode(word, add_special_tokens=False).ids, word
+
+
 @pytest.mark.parametrize(("n", "most"), [(0, 10), (1, 5), (5000, 3), (20_000, 40_000)])
 def test_codes_round_trip_and_random_access(n, most):
     r = np.random.default_rng(n)
