@@ -11,8 +11,15 @@ from lodestone.functions import noise
 from lodestone.functions.text import normalize
 
 
-def events(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema.SEARCH_EVENT).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def events(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
+    """All files there are make one batch, in which no event is late, unless ``files_per_trigger`` bounds it.
+
+    With a bound, events older than the watermark when their batch comes are lost, so files have to come by time.
+    """
+    reader = spark.readStream.schema(schema.SEARCH_EVENT)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(folder)
 
 
 def counters(stream: DataFrame, late: str = "1 day") -> DataFrame:

@@ -1,8 +1,12 @@
 """Index and search end to end on a small catalogue, and what must hold of any answer."""
 
+import os
+from collections import Counter
 from dataclasses import replace
 from datetime import datetime
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +196,23 @@ def test_small_things(spark, engine, tmp_path):
     assert store.save_titles(1, {("b", 0): " T ", ("a", 0): " "}) == 1 and store.titles(1, 0) == {"b": "T"}
 
 
+def test_stream_counts_whatever_the_files(spark, tmp_path):
+    from lodestone.streaming import log_stream
+
+    # Days from the last to the first, in more files than two batches of 100 (events are late from the third on).
+    rows = [(1, 0, datetime(2024, 1, 1 + (239 - i) // 12, 10), f"r{i}", f"term{i % 3}", 1, "", True) for i in range(240)]
+    (tmp_path / "events").mkdir()
+    types = [pa.int32(), pa.int32(), pa.timestamp("us", "UTC"), pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_()]
+    names = ["shop_id", "lang_id", "ts", "request_id", "term_raw", "hits", "corrected", "first_look"]
+    for i, row in enumerate(rows):
+        path = tmp_path / "events" / f"{i:03d}.parquet"
+        pq.write_table(pa.table([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names), path)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    log_stream.start(log_stream.events(spark, f"{tmp_path}/events"), f"{tmp_path}/log", f"{tmp_path}/checkpoint").awaitTermination()
+    got = {(r.day, r.term): r.searches for r in log_stream.read(spark, f"{tmp_path}/log").collect()}
+    assert got == Counter((ts.date(), term) for _, _, ts, _, term, *_ in rows)
+
+
 def test_log(spark):
     at = datetime(2024, 1, 5, 10)
     layout = "shop_id int, lang_id int, ts timestamp, request_id string, term_raw string, hits int, corrected string, first_look boolean"
