@@ -9,7 +9,8 @@ The items are taken in blocks of ``block_bytes`` of text, so what is sent to the
 whatever the benchmark's size; hits of several blocks are united for each document.
 
 Nulls and empty texts have no words: nothing hits them, and as items they have no pattern. Repeated items
-of one id count once. Repeated documents are judged each; a null doc_id is kept. Empty tables are fine.
+of one id count once, and so do all items without an id, which are searched like any other and stand in items as
+one null. Repeated documents are judged each; a null doc_id is kept. Empty tables are fine.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ class Table:
     buckets: dict[int, dict[bytes, tuple[bytes, set[str]]]]
 
 
-def tables(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[Table]:
+def tables(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[Table]:
     found: dict[int, dict[bytes, tuple[bytes, set[str], np.ndarray]]] = {}
     if not items:
         return []
@@ -97,7 +98,7 @@ def search(table: Table, hashes: np.ndarray):
         at += 1
 
 
-def scan(docs: DataFrame, items: list[tuple[str, str | None]], window: int = WINDOW, with_text: bool = False) -> DataFrame:
+def scan(docs: DataFrame, items: list[tuple[str | None, str | None]], window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """Columns of ``docs`` (text only if asked), n_words, hits (word indexes inside an occurrence) and items."""
     keep = [c for c in docs.columns if c != "text" or with_text]
     schema = docs.select(*keep).withColumn("n_words", F.lit(0).cast("long")).withColumn("hits", F.lit(None).cast("array<int>")).withColumn("items", F.lit(None).cast("array<string>")).schema
@@ -125,7 +126,7 @@ def scan(docs: DataFrame, items: list[tuple[str, str | None]], window: int = WIN
             split = np.searchsorted(hit, first).astype(np.int32)
             place = (hit - first[owner[hit]]).astype(np.int32) if len(hit) else hit.astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*(chunk.column(k) for k in keep), pa.array(np.diff(first), pa.int64()), pa.ListArray.from_arrays(pa.array(split), pa.array(place)), pa.array([sorted(names.get(k, ())) for k in range(len(chunk.texts))], pa.list_(pa.string()))],
+                [*(chunk.column(k) for k in keep), pa.array(np.diff(first), pa.int64()), pa.ListArray.from_arrays(pa.array(split), pa.array(place)), pa.array([sorted(names.get(k, ()), key=lambda x: (x is None, x)) for k in range(len(chunk.texts))], pa.list_(pa.string()))],
                 names=[*keep, "n_words", "hits", "items"],
             )
 
@@ -134,9 +135,9 @@ def scan(docs: DataFrame, items: list[tuple[str, str | None]], window: int = WIN
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 32 << 20, with_text: bool = False) -> DataFrame:
     """The columns of ``docs`` (text only if asked), with n_words, hits and items over the whole benchmark."""
-    blocks: list[list[tuple[str, str | None]]] = [[]]
+    blocks: list[list[tuple[str | None, str | None]]] = [[]]
     size = 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
         more = len((row["text"] or "").encode())
         if blocks[-1] and size + more > block_bytes:
             blocks.append([])

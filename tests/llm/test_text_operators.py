@@ -59,6 +59,19 @@ def test_decontamination(spark, docs, rows, same):
         same(out, [x[:5] for x in brute_decontamination(rows, items)])
 
 
+def test_items_without_an_id_are_searched(spark, same):
+    passage = " ".join(f"p{i}" for i in range(20))
+    other = " ".join(f"q{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, passage), (2, f"{other} {passage}"), (3, "clean words"), (None, other)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, passage), (None, passage[:60]), (4, other)], "item_id long, text string")
+    empty, four = (hashlib.sha256(x).hexdigest() for x in (b"", b"4"))
+    for block in (32 << 20, 100):
+        out = decontamination.hits(docs, benchmark, block_bytes=block)
+        out = out.select("doc_id", F.size("hits").alias("n_hit"), F.size("items").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256))
+        same(out, [(1, 20, 1, empty), (2, 40, 2, four), (3, 0, 0, empty), (None, 20, 1, four)])
+    assert decontamination.judged(docs, benchmark).where("contaminated").count() == 3
+
+
 def test_decontamination_of_and_by_nothing(spark, docs, nothing):
     empty = spark.createDataFrame([], "item_id long, text string")
     plain = docs.select("doc_id", "text")
