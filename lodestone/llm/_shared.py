@@ -48,6 +48,16 @@ LOWEST = -(1 << 63)
 MOST_IDS = 500_000
 
 
+def joined(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", name: str = "joined") -> DataFrame:
+    """df joined with a table that is written and counted first.
+
+    With MOST_IDS rows at most it is sent to every task; a larger one meets ``df`` in a join of two plain shuffles,
+    whose large partitions Spark splits.
+    """
+    small = written(small, name)
+    return df.join(F.broadcast(small) if small.count() <= MOST_IDS else small, keys, how)
+
+
 def with_keys(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, id_key (null first), text_key and text: the two keys together tell rows apart by content."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -56,9 +66,10 @@ def with_keys(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def with_text(keyed: DataFrame, docs: DataFrame) -> DataFrame:
-    """keyed (written; unique by id_key and text_key) with each row's text from ``docs`` (of with_keys)."""
+    """keyed (written) with each row's text from ``docs`` (of with_keys)."""
     texts = docs.select("id_key", "text_key", "text")
-    ids = keyed.select("id_key").distinct()
-    if ids.count() <= MOST_IDS:
-        texts = texts.join(F.broadcast(ids), "id_key", "left_semi")
-    return keyed.join(texts, ["id_key", "text_key"])
+    keys = ["id_key", "text_key"]
+    wanted = written(keyed.select(*keys).distinct(), "wanted")
+    if wanted.count() <= MOST_IDS:
+        texts = texts.join(F.broadcast(wanted), keys, "left_semi")
+    return keyed.join(texts, keys)

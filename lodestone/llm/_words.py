@@ -8,6 +8,8 @@ power of its start, then mixed; equal words have equal hashes and unequal ones c
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Inverse of BASE modulo 2**64.
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-PIECE = 1 << 19
+PIECE = 1 << 18
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -121,39 +123,76 @@ class Chunk:
 
     batch: pa.RecordBatch
     first: int
-    texts: list[bytes]
+    #: Number of texts.
+    n: int
     buffer: np.ndarray
     #: Where each text begins, and one past the last text's separator.
     offsets: np.ndarray
 
     @property
     def rows(self) -> pa.RecordBatch:
-        return self.batch.slice(self.first, len(self.texts))
+        return self.batch.slice(self.first, self.n)
 
     def column(self, name: str) -> pa.Array:
         return self.rows.column(self.batch.schema.get_field_index(name))
 
+    def texts(self) -> Iterator[bytes]:
+        """The bytes of each text, one at a time."""
+        for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
+            yield self.buffer[a : b - 1].tobytes()
+
     def words(self, separators: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends, hashes of the words, and for each text the index of its first word (and the total)."""
         starts, ends = spans(self.buffer, separators)
         return starts, ends, span_hashes(self.buffer, starts, ends, values), np.searchsorted(starts, self.offsets)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20) -> Iterator[Chunk]:
-    """Rows in their order, in groups of about ``limit`` bytes of text; a null text counts as empty."""
+def bounds_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends) of a string or binary column, without a copy of the bytes; a null is empty."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    edges = np.frombuffer(offsets, np.int64 if wide else np.int32, column.offset + len(column) + 1)[column.offset :].astype(np.int64)
+    starts, ends = edges[:-1], edges[1:].copy()
+    if column.null_count:
+        gone = column.is_null().to_numpy(zero_copy_only=False)
+        ends[gone] = starts[gone]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), starts, ends
+
+
+#: Bytes of text that are worked on at once; a longer text is a chunk of its own.
+CHUNK_BYTES = 1 << 20
+
+
+def cut(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
+    """Rows in their order, in groups of about ``limit`` bytes of text; a null text counts as empty.
+
+    A chunk is cut from the batch by offsets, so what is copied and worked on is one chunk, not the batch.
+    """
+    if not batch.num_rows:
+        return
+    data, starts, ends = bounds_of(batch.column(batch.schema.get_field_index(text)))
+    reach = np.cumsum(ends - starts + 1)
+    view, first = memoryview(data), 0
+    while first < batch.num_rows:
+        ahead = int(reach[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(reach, ahead + limit, "right")))
+        buffer = b"\n".join([*(view[a:b] for a, b in zip(starts[first:last].tolist(), ends[first:last].tolist(), strict=True)), b""])
+        yield Chunk(batch, first, last - first, np.frombuffer(buffer, np.uint8), np.r_[0, reach[first:last] - ahead])
+        first = last
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
+    """The chunks of all batches of a partition."""
     for batch in batches:
-        texts = [x or b"" for x in batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()]
-        first = 0
-        while first < len(texts):
-            last, size = first, 0
-            while last < len(texts) and (last == first or size + len(texts[last]) <= limit):
-                size += len(texts[last]) + 1
-                last += 1
-            part = texts[first:last]
-            offsets = np.zeros(len(part) + 1, np.int64)
-            np.cumsum([len(x) + 1 for x in part], out=offsets[1:])
-            yield Chunk(batch, first, part, np.frombuffer(b"\n".join([*part, b""]), np.uint8), offsets)
-            first = last
+        yield from cut(batch, text, limit)
+    release()
+
+
+def release() -> None:
+    """Give freed memory back: a worker process lives on after its task and would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def sums_by(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -46,11 +46,11 @@ def tables(items: list[tuple[str | None, str | None]], window: int = WINDOW) ->
         return []
     batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in items], pa.string())], names=["text"])
     row = 0
-    for chunk in _words.chunks(iter([batch])):
+    for chunk in _words.cut(batch):
         lowered = bytes(chunk.buffer).lower()
         starts, ends, hashes, first = chunk.words(_words.NOT_ALNUM, _words.LOWER)
         words = [lowered[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        for k in range(len(chunk.texts)):
+        for k in range(chunk.n):
             a, b = int(first[k]), int(first[k + 1])
             n = min(window, b - a)
             for i in range(a, b - n + 1) if n else ():
@@ -107,7 +107,7 @@ def scan(docs: DataFrame, items: list[tuple[str | None, str | None]], window: in
     def run(batches):
         for chunk in _words.chunks(batches):
             starts, ends, hashes, first = chunk.words(_words.NOT_ALNUM, _words.LOWER)
-            owner = np.repeat(np.arange(len(chunk.texts)), np.diff(first))
+            owner = np.repeat(np.arange(chunk.n), np.diff(first))
             where: list[tuple[int, int]] = []
             names: dict[int, set[str]] = {}
             for table in shared.value:
@@ -126,7 +126,7 @@ def scan(docs: DataFrame, items: list[tuple[str | None, str | None]], window: in
             split = np.searchsorted(hit, first).astype(np.int32)
             place = (hit - first[owner[hit]]).astype(np.int32) if len(hit) else hit.astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*(chunk.column(k) for k in keep), pa.array(np.diff(first), pa.int64()), pa.ListArray.from_arrays(pa.array(split), pa.array(place)), pa.array([sorted(names.get(k, ()), key=lambda x: (x is None, x)) for k in range(len(chunk.texts))], pa.list_(pa.string()))],
+                [*(chunk.column(k) for k in keep), pa.array(np.diff(first), pa.int64()), pa.ListArray.from_arrays(pa.array(split), pa.array(place)), pa.array([sorted(names.get(k, ()), key=lambda x: (x is None, x)) for k in range(chunk.n)], pa.list_(pa.string()))],
                 names=[*keep, "n_words", "hits", "items"],
             )
 

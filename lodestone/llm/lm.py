@@ -41,7 +41,7 @@ SMOOTH = 0.1
 def tokens(chunk: _words.Chunk) -> tuple[np.ndarray, np.ndarray]:
     """(token hashes of all texts with END after each, bounds of the texts)."""
     _, _, words, first = chunk.words(_words.SPACES, _words.LOWER)
-    n = len(chunk.texts)
+    n = chunk.n
     bounds = first + np.arange(n + 1)
     out = np.full(len(words) + n, END, np.uint64)
     inside = np.ones(len(out), bool)

@@ -46,7 +46,7 @@ def measure(batches):
     """Base statistics of each text and its normalised lines."""
     names = ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content", "lines", "line_words"]
     for chunk in _words.chunks(batches):
-        n, buffer, bounds = len(chunk.texts), chunk.buffer, chunk.offsets
+        n, buffer, bounds = chunk.n, chunk.buffer, chunk.offsets
         starts, _, words, first = chunk.words(_words.SPACES, _words.LOWER_DIGITS)
         exact = _words.span_hashes(buffer, starts, _, _words.EXACT)
         owner = np.repeat(np.arange(n), np.diff(first))

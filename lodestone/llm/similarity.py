@@ -2,22 +2,26 @@
 
 A document's distinct word shingles are dealt to parts by their hash, and the hashes in each part are
 XORed: a sketch whose parts differ wherever the symmetric difference is odd there. Two sets linked at
-Jaccard 0.85 differ in at most D = 15/185 of the sum of their sizes, so of D + 1 + E parts at least 1 + E
-agree, one of them not empty in both unless more than E are empty; documents with more than E empty parts
-use those too. Sizes fall into bands with a D of their own; a document near the lower edge of its band takes
-part in the band below as well. Documents that agree in a part are candidates.
-
-Candidates are united into blocks. Each block's parity bit sketches (twice as many bits as shingles, to the
-next power of two; a longer one folds to a shorter by XOR) meet in tasks of bounded size, where the Hamming
-distance, which never exceeds the symmetric difference, leaves the pairs that may link: they make smaller
-blocks. Then those blocks' texts meet, and pairs not yet connected are verified on the sets themselves.
-Blocks too large for one task are cut into chunks and every pair of chunks is compared: nothing is capped.
+Jaccard 0.85 differ in at most D = 15/185 of the sum of their sizes, so of P = D + 1 + E parts at least
+1 + E agree. E is half of D: a document of which fewer than 1 + E parts (less those that are empty) are shared
+with any other document has no link, which clears away documents that share a passage and no more, however
+many they are. Sizes fall into bands with a D of their own; a document near the lower edge of its band takes part
+in the band below as well. Documents that agree in a part are candidates.
+
+Of each part's documents all meet the least one first: those pairs are sifted by bit sketches (twice as many bits as
+shingles, to the next power of two; a longer one folds to a shorter by XOR), whose Hamming distance never exceeds
+the symmetric difference, and verified on the sets themselves, in groups salted by the document, each with a
+copy of the least one's text. So a large group of near copies costs one comparison a member. Only parts whose
+documents are then still in different components are compared further: all across components, by
+sketches; what may link makes blocks, whose texts meet and are verified. Groups and blocks too large for one task
+are cut into chunks and every pair of chunks is compared: nothing is capped.
 
 Equal sets are one class from the start: only one node of it is sketched. Shingles are 64-bit hashes.
 Texts with fewer words than a shingle are one shingle; null and empty texts have none and link with nothing.
-Each (doc_id, text) is a node of its own (a 64-bit hash), so texts without an id, or with one that other texts
-have too, are searched and linked each by itself; repeated rows are one node. A group is named by its smallest
-id, and has no name if none of its rows has an id.
+Each (doc_id, text) is a node of its own (a 64-bit hash), so texts without an id are searched and linked each by
+itself; repeated rows are one node. Several texts under one id are searched each by itself too, and with ``join_ids``
+(as in the query) whatever one of them links with is reached by all; n_shingles is the size of the row's own set.
+A group is named by its smallest id, and has no name if none of its rows has an id.
 """
 
 from __future__ import annotations
@@ -35,9 +39,9 @@ PERCENT = 85
 
 
 class Bands:
-    """Lower edges of the size bands, and each band's number of parts and tolerated empty parts."""
+    """Lower edges of the size bands, and each band's number of parts and of agreements beyond the first."""
 
-    def __init__(self, percent: int = PERCENT, ratio: float = 1.5, most: int = 1 << 40):
+    def __init__(self, percent: int = PERCENT, ratio: float = 1.5, spare: float = 0.5, most: int = 1 << 40):
         self.percent = percent
         edges = [1]
         while edges[-1] < most:
@@ -46,7 +50,7 @@ class Bands:
         smaller = self.edges[1:] - 1
         larger = smaller * 100 // percent
         self.apart = (smaller + larger) * (100 - percent) // (100 + percent)
-        self.spare = np.where(self.apart > 0, -(-self.apart // 20), 0)
+        self.spare = np.ceil(self.apart * spare).astype(np.int64)
         self.parts = self.apart + 1 + self.spare
 
     def of(self, n: np.ndarray) -> np.ndarray:
@@ -60,7 +64,7 @@ class Bands:
 def shingles(chunk: _words.Chunk, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(owner, hash) of the distinct shingles, by owner and ascending hash."""
     _, _, hashes, first = chunk.words(_words.SPACES, _words.LOWER)
-    n = len(chunk.texts)
+    n = chunk.n
     counts = np.diff(first)
     owner = np.repeat(np.arange(n), counts)
     wins = _words.windows(hashes, size)
@@ -75,45 +79,46 @@ def shingles(chunk: _words.Chunk, size: int = SHINGLE) -> tuple[np.ndarray, np.n
     return owners[new], values[new]
 
 
-def part_keys(owner: np.ndarray, values: np.ndarray, n: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, key) for the parts of each of n sketches; values ascend within an owner."""
+def part_keys(owner: np.ndarray, values: np.ndarray, n: int, bands: Bands, shift: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, key) for the parts of each of n sketches in their own band, or the one ``shift`` below, and for each
+    sketch how many keys must be shared with other documents; values ascend within an owner.
+
+    Parts that are empty in both agree too: a sketch with E of them or fewer may leave them out and needs so many
+    fewer; one with more has keys for them, and then one shared key is all that can be asked for.
+    """
     sizes = np.bincount(owner, minlength=n)
-    out_owner, out_key = [], []
-    band = bands.of(np.maximum(sizes, 1))
-    for shift in (0, 1):
-        q = band - shift
-        use = (sizes > 0) & (q >= 0) & (bands.below(np.maximum(sizes, 1)) if shift else True)
-        use &= bands.apart[np.maximum(q, 0)] > 0
-        rows = np.flatnonzero(use[owner])
-        if not len(rows):
-            continue
-        o, v = owner[rows], values[rows]
-        parts = bands.parts[q[o]].astype(np.uint64)
-        part = ((v >> np.uint64(32)) * parts) >> np.uint64(32)
-        lead = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (part[1:] != part[:-1])])
-        sketch = np.bitwise_xor.reduceat(v, lead)
-        place = _words.mix(q[o[lead]].astype(np.uint64) * np.uint64(1 << 40) + part[lead] + np.uint64(1))
-        out_owner.append(o[lead])
-        out_key.append(_words.mix(sketch ^ place))
-        empty = np.where(use, bands.parts[np.maximum(q, 0)] - np.bincount(o[lead], minlength=n), 0)
-        for i in np.flatnonzero(empty > bands.spare[np.maximum(q, 0)]):
-            bare = np.setdiff1d(np.arange(bands.parts[q[i]], dtype=np.uint64), part[lead][o[lead] == i])
-            out_owner.append(np.full(len(bare), i))
-            out_key.append(_words.mix(np.uint64(0xE5) ^ _words.mix(np.uint64(int(q[i])) * np.uint64(1 << 40) + bare + np.uint64(1))))
-    if not out_owner:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    o, k = np.concatenate(out_owner), np.concatenate(out_key)
+    q = np.maximum(bands.of(np.maximum(sizes, 1)) - shift, 0)
+    use = (sizes > 0) & (bands.apart[q] > 0)
+    if shift:
+        use &= (bands.of(np.maximum(sizes, 1)) >= shift) & bands.below(np.maximum(sizes, 1))
+    rows = np.flatnonzero(use[owner])
+    o, v = owner[rows], values[rows]
+    part = ((v >> np.uint64(32)) * bands.parts[q[o]].astype(np.uint64)) >> np.uint64(32)
+    lead = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (part[1:] != part[:-1])]) if len(o) else np.zeros(0, np.int64)
+    o, part = o[lead], part[lead]
+    sketch = np.bitwise_xor.reduceat(v, lead) if len(lead) else v
+    place = lambda q, part: _words.mix(q.astype(np.uint64) * np.uint64(1 << 40) + part + np.uint64(1))
+    key = _words.mix(sketch ^ place(q[o], part))
+    empty = np.where(use, bands.parts[q] - np.bincount(o, minlength=n), 0)
+    need = np.where(empty > bands.spare[q], 1, 1 + bands.spare[q] - empty)
+    first = np.searchsorted(o, np.arange(n + 1))
+    owners, keys = [o], [key]
+    for i in np.flatnonzero(empty > bands.spare[q]):
+        bare = np.setdiff1d(np.arange(bands.parts[q[i]], dtype=np.uint64), part[first[i] : first[i + 1]])
+        owners.append(np.full(len(bare), i))
+        keys.append(_words.mix(np.uint64(0xE5) ^ place(np.full(len(bare), q[i]), bare)))
+    o, key = np.concatenate(owners), np.concatenate(keys)
     order = np.argsort(o, kind="stable")
-    return o[order], k[order]
+    return o[order], key[order], need
 
 
-BASE = "doc_id long, id_key long, text_key long, n_shingles long, n_bytes long, set_hash long, set_check long, sketch binary, part_keys array<long>"
-LEAST_BITS, MOST_BITS = 256, 1 << 15
+BASE = "doc_id long, id_key long, text_key long, n_shingles long, n_bytes long, set_hash long, set_check long, sketch binary, schemes array<struct<need:int,part_keys:array<long>>>"
+LEAST_BITS = 256
 
 
 def bit_sketch(values: np.ndarray) -> bytes:
     """Parity of the hashes that fall on each bit."""
-    bits = int(np.clip(1 << int(np.ceil(np.log2(max(1, 2 * len(values))))), LEAST_BITS, MOST_BITS))
+    bits = max(LEAST_BITS, 1 << int(np.ceil(np.log2(max(1, 2 * len(values))))))
     return np.packbits(np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -129,91 +134,113 @@ def sketched(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
     def run(batches):
         bands = Bands(percent)
         for chunk in _words.chunks(batches):
-            n = len(chunk.texts)
+            n = chunk.n
             owner, values = shingles(chunk, size)
             sizes = np.bincount(owner, minlength=n).astype(np.int64)
+            edge = np.searchsorted(owner, np.arange(n + 1))
             sums = np.zeros((2, n), np.uint64)
             for row, v in zip(sums, (values, _words.mix(values + np.uint64(99))), strict=True):
                 total = np.zeros(len(v) + 1, np.uint64)
                 np.cumsum(v, out=total[1:])
-                edge = np.searchsorted(owner, np.arange(n + 1))
                 row[:] = total[edge[1:]] - total[edge[:-1]]
-            o, k = part_keys(owner, values, n, bands)
-            split = np.searchsorted(o, np.arange(n + 1)).astype(np.int32)
-            sketches = [bit_sketch(v) for v in np.split(values, np.searchsorted(owner, np.arange(1, n)))]
+            # Each text's schemes lie side by side: its own band's, then that of the band below.
+            both = [part_keys(owner, values, n, bands, shift) for shift in (0, 1)]
+            counts = np.stack([np.bincount(o, minlength=n) for o, _, _ in both], 1)
+            keys = np.concatenate([k for _, k, _ in both])[np.argsort(np.concatenate([o for o, _, _ in both]), kind="stable")]
+            some = counts.reshape(-1) > 0
+            needs = np.stack([need for *_, need in both], 1).reshape(-1)[some]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts.reshape(-1)[some])].astype(np.int32)), pa.array(keys.view(np.int64)))
+            schemes = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum((counts > 0).sum(1))].astype(np.int32)), pa.StructArray.from_arrays([pa.array(needs.astype(np.int32)), lists], ["need", "part_keys"]))
+            sketches = [bit_sketch(values[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(chunk.column(c) for c in ("doc_id", "id_key", "text_key")), pa.array(sizes), pa.array(np.diff(chunk.offsets) - 1), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(split), pa.array(k.view(np.int64)))],
-                names=["doc_id", "id_key", "text_key", "n_shingles", "n_bytes", "set_hash", "set_check", "sketch", "part_keys"],
+                [*(chunk.column(c) for c in ("doc_id", "id_key", "text_key")), pa.array(sizes), pa.array(np.diff(chunk.offsets) - 1), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(sketches, pa.binary()), schemes],
+                names=["doc_id", "id_key", "text_key", "n_shingles", "n_bytes", "set_hash", "set_check", "sketch", "schemes"],
             )
 
     return docs.mapInArrow(run, BASE)
 
 
-def may_link(sketches: list[bytes], sizes: np.ndarray, i: int, others: np.ndarray, folds: dict[int, np.ndarray], percent: int) -> np.ndarray:
-    """Those of ``others`` whose sketch and size allow a link with set i."""
-    others = others[np.minimum(sizes[others], sizes[i]) * 100 >= np.maximum(sizes[others], sizes[i]) * percent]
-    if not len(others):
-        return others
-    lengths = np.array([len(sketches[j]) for j in others])
-    keep = np.zeros(len(others), bool)
-    for length in np.unique(lengths):
-        # Both at the shorter length.
-        size = min(int(length), len(sketches[i]))
-        own = lengths == length
-        for j in others[own]:
-            if (j, size) not in folds:
-                folds[j, size] = folded(sketches[j], size)
-        if (i, size) not in folds:
-            folds[i, size] = folded(sketches[i], size)
-        apart = np.bitwise_count(np.stack([folds[j, size] for j in others[own]]) ^ folds[i, size]).sum(1, dtype=np.int64)
-        keep[own] = apart * (100 + percent) <= (sizes[others[own]] + sizes[i]) * (100 - percent)
-    return others[keep]
-
-
-def linked(sketches: list[bytes], sizes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray] | None = None, percent: int = PERCENT) -> np.ndarray:
-    """Root of each set after uniting all linked pairs; with two sides only pairs across them are compared.
+class Sketches:
+    """Sketches of many sets, compared at the shorter length of two."""
+
+    def __init__(self, sketches: list[bytes], sizes: np.ndarray, percent: int):
+        self.sketches, self.sizes, self.percent = sketches, sizes, percent
+        self.lengths = np.array([len(s) for s in sketches], np.int64)
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def folds(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each sketch (that is long enough), and the rows folded to ``size`` bytes."""
+        if size not in self.at:
+            long = np.flatnonzero(self.lengths >= size)
+            row = np.full(len(self.lengths), -1)
+            row[long] = np.arange(len(long))
+            self.at[size] = row, np.stack([folded(self.sketches[i], size) for i in long])
+        return self.at[size]
+
+    def may_link(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` whose sketch and size allow a link with set i."""
+        sizes, percent = self.sizes, self.percent
+        others = others[np.minimum(sizes[others], sizes[i]) * 100 >= np.maximum(sizes[others], sizes[i]) * percent]
+        keep = np.zeros(len(others), bool)
+        for length in np.unique(self.lengths[others]):
+            own = self.lengths[others] == length
+            row, folds = self.folds(int(min(length, self.lengths[i])))
+            apart = np.bitwise_count(folds[row[others[own]]] ^ folds[row[i]]).sum(1, dtype=np.int64)
+            keep[own] = apart * (100 + percent) <= (sizes[others[own]] + sizes[i]) * (100 - percent)
+        return others[keep]
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two ascending sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum())
+
+
+def is_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = common(a, b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def linked(sketches: list[bytes], sizes: np.ndarray, sides: np.ndarray, root: np.ndarray, sets: list[np.ndarray] | None = None, percent: int = PERCENT) -> np.ndarray:
+    """Root of each set after uniting, beyond the roots given, all linked pairs; of two sides only pairs across.
 
     Without the sets themselves a pair whose sketches allow a link counts as linked.
     """
-    n = len(sketches)
-    root, folds = np.arange(n), {}
+    n, root, known = len(sketches), root.copy(), Sketches(sketches, sizes, percent)
     across = sides.min() != sides.max()
     for i in range(n):
         later = (sides > sides[i]) if across else (np.arange(n) > i)
-        for j in may_link(sketches, sizes, i, np.flatnonzero(later & (root != root[i])), folds, percent):
-            if root[j] == root[i]:
-                continue
-            if sets is not None:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both < percent * (sizes[i] + sizes[j] - both):
-                    continue
-            a, b = sorted((root[i], root[j]))
-            root[root == b] = a
+        for j in known.may_link(i, np.flatnonzero(later & (root != root[i]))):
+            if root[j] != root[i] and (sets is None or is_link(sets[i], sets[j], percent)):
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
     return root
 
 
 def united(rows: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Edges (a, b) that span what is linked in each group (block, left_chunk, right_chunk).
+    """Edges (a, b) between components that span what is linked in each group (block, left_chunk, right_chunk).
 
-    rows have a column ``text``, for links, or ``sketch`` and ``n_shingles``, for pairs that may link.
+    rows have a column ``component``, and ``text``, for links, or ``sketch`` and ``n_shingles``, for pairs that may link.
     """
     whole = "text" in rows.columns
 
     def settle(ids, data, sizes, chunk_ids):
+        names, root = np.unique(np.array(ids, np.int64), return_inverse=True)
+        if len(names) < 2:
+            return []
         sets = None
         if whole:
-            batch = pa.RecordBatch.from_arrays([pa.array(data, pa.string())], names=["text"])
             sets = []
-            for chunk in _words.chunks(iter([batch])):
+            for chunk in _words.cut(pa.RecordBatch.from_arrays([pa.array(data, pa.string())], names=["text"])):
                 owner, values = shingles(chunk, size)
-                sets += np.split(values, np.searchsorted(owner, np.arange(1, len(chunk.texts))))
+                sets += np.split(values, np.searchsorted(owner, np.arange(1, chunk.n)))
             data = [bit_sketch(v) for v in sets]
             sizes = [len(v) for v in sets]
-        root = linked(data, np.array(sizes, np.int64), np.array(chunk_ids), sets, percent)
-        least: dict[int, int] = {}
-        for i, r in zip(ids, root.tolist(), strict=True):
-            least[r] = min(i, least.get(r, i))
-        return [(i, least[r]) for i, r in zip(ids, root.tolist(), strict=True) if i != least[r]]
+        end = linked(data, np.array(sizes, np.int64), np.array(chunk_ids), root.reshape(-1), sets, percent)
+        return list({(int(names[a]), int(names[b])) for a, b in zip(root.reshape(-1).tolist(), end.tolist(), strict=True) if a != b})
 
     def batch_of(edges):
         return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
@@ -222,42 +249,101 @@ def united(rows: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
         group, held = None, ([], [], [], [])
         for batch in batches:
             edges: list[tuple[int, int]] = []
-            for block, a, b, chunk_id, *row in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
-                if (block, a, b) != group:
-                    if len(held[0]) > 1:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                for block, a, b, chunk_id, *row in zip(*(part.column(c).to_pylist() for c in range(7)), strict=True):
+                    if (block, a, b) != group:
                         edges += settle(*held)
-                    group, held = (block, a, b), ([], [], [], [])
-                for x, v in zip(held, (*row, chunk_id), strict=True):
-                    x.append(v)
+                        group, held = (block, a, b), ([], [], [], [])
+                    for x, v in zip(held, (*row, chunk_id), strict=True):
+                        x.append(v)
             yield batch_of(edges)
-        if len(held[0]) > 1:
-            yield batch_of(settle(*held))
+        yield batch_of(settle(*held))
+        _words.release()
 
     keys = ["block", "left_chunk", "right_chunk"]
-    columns = [*keys, "chunk", "node", "text" if whole else "sketch", F.col("n_shingles").cast("long")]
-    return rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "chunk", "node").mapInArrow(run, "a long, b long")
-
-
-def blocked(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """members (by node) with the component of ``edges`` they are in; the rest drops out."""
-    found = _components.components(edges)
-    nodes = found.select("node", F.col("root").alias("block")).unionByName(found.select(F.col("root").alias("node"), F.col("root").alias("block")).distinct())
-    return members.join(nodes, "node")
+    columns = [*keys, "chunk", "component", "text" if whole else "sketch", F.col("n_shingles").cast("long")]
+    return rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "chunk", "component").mapInArrow(run, "a long, b long")
 
 
 def dealt(members: DataFrame, weight: str, chunk_docs: int, chunk_bytes: int) -> DataFrame:
-    """Columns chunk and chunks: blocks above the limits are dealt to several chunks by a hash."""
-    weights = members.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / chunk_docs), F.ceil(F.sum(weight) / chunk_bytes), F.lit(1)).cast("int").alias("chunks"))
-    return members.join(weights, "block").withColumn("chunk", F.pmod(F.xxhash64("id_key", "text_key"), F.col("chunks")).cast("int"))
+    """Every row once for each pair of chunks of its block that holds its own.
 
-
-def paired(rows: DataFrame) -> DataFrame:
-    """Every row once for each pair of chunks of its block that holds its own."""
+    Blocks above the limits are dealt to several chunks by a hash; the others are one chunk.
+    """
+    weights = members.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / chunk_docs), F.ceil(F.sum(weight) / chunk_bytes)).cast("int").alias("chunks")).where("chunks > 1")
+    rows = _shared.joined(members, weights, ["block"], "left", "similarity-weights").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return rows.withColumn("left_chunk", F.least("chunk", "other")).withColumn("right_chunk", F.greatest("chunk", "other"))
 
 
-def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk_docs: int = 2000, chunk_bytes: int = 12 << 20) -> DataFrame:
+def shared_parts(parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``parts`` (node, below, part_key) that two documents agree in, of documents that share enough of them.
+
+    nodes: node, below and need, the number of shared parts without which a document has no link. A document that drops out
+    may leave others with too few, so the rest is sifted once more.
+    """
+    group = Window.partitionBy("part_key")
+    for turn in range(2):
+        shared = parts.withColumn("least", F.min("node").over(group)).withColumn("greatest", F.max("node").over(group)).where("least <> greatest").select("node", "below", "part_key").distinct()
+        shared = _shared.written(shared, f"similarity-shared-{turn}")
+        enough = shared.groupBy("node", "below").agg(F.count("*").alias("n")).join(nodes, ["node", "below"]).where("n >= need").select("node", "below")
+        parts = _shared.joined(shared, enough, ["node", "below"], "left_semi", "similarity-enough")
+    return parts
+
+
+def sifted(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs with both sketches those that may link."""
+
+    def run(batches):
+        for batch in batches:
+            n = [batch.column(k).to_numpy() for k in (0, 1)]
+            ends = [_words.bounds_of(batch.column(k)) for k in (2, 3)]
+            lengths = [e - s for _, s, e in ends]
+            near = np.minimum(*n) * 100 >= np.maximum(*n) * percent
+            keep = np.zeros(batch.num_rows, bool)
+            for i in np.flatnonzero(near):
+                size = int(min(lengths[0][i], lengths[1][i]))
+                a, b = (folded(data[s[i] : e[i]], size) for data, s, e in ends)
+                keep[i] = int(np.bitwise_count(a ^ b).sum()) * (100 + percent) <= (n[0][i] + n[1][i]) * (100 - percent)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in range(4, batch.num_columns)], names=batch.schema.names[4:])
+        _words.release()
+
+    schema = pairs.select(*pairs.columns[4:]).schema
+    return pairs.mapInArrow(run, schema)
+
+
+def confirmed(star: DataFrame, docs: DataFrame, size: int, percent: int, salts: int = 32, per_salt: int = 20_000) -> DataFrame:
+    """Edges (a, b) of the pairs (node, low) whose sets link; each low's documents are dealt to several groups.
+
+    A group holds a copy of the low one's text ahead of the others', so a task keeps one set at a time.
+    """
+    salts = max(salts, -(-star.count() // per_salt))
+    members = star.select("low", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("role"), "node", "id_key", "text_key", "low_id_key", "low_text_key")
+    pivots = members.select("low", "salt", F.lit(0).alias("role"), F.col("low").alias("node"), F.col("low_id_key").alias("id_key"), F.col("low_text_key").alias("text_key")).distinct()
+    rows = _shared.written(members.drop("low_id_key", "low_text_key").unionByName(pivots), "similarity-star-rows")
+
+    def run(batches):
+        pivot = np.zeros(0, np.uint64)
+        for chunk in _words.chunks(batches):
+            owner, values = shingles(chunk, size)
+            edge = np.searchsorted(owner, np.arange(chunk.n + 1))
+            lows, roles, nodes = (chunk.column(c).to_numpy() for c in ("low", "role", "node"))
+            good = np.zeros(chunk.n, bool)
+            for i in range(chunk.n):
+                own = values[edge[i] : edge[i + 1]]
+                if roles[i]:
+                    good[i] = is_link(own, pivot, percent)
+                else:
+                    pivot = own.copy()
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[good]), pa.array(lows[good])], names=["a", "b"])
+
+    texts = _shared.with_text(rows, docs).select("low", "salt", "role", "node", "text")
+    return texts.repartition("low", "salt").sortWithinPartitions("low", "salt", "role").mapInArrow(run, "a long, b long")
+
+
+def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk_docs: int = 1000, chunk_bytes: int = 4 << 20, join_ids: bool = False) -> DataFrame:
     """doc_id, id_key, text_key, n_shingles, component (an id_key), leads for each row of ``docs``.
 
     Of each group of linked nodes one leads: that of the smallest id, ids ahead of null, and its least text_key.
@@ -266,32 +352,58 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk_
     node = F.xxhash64("id_key", "text_key").alias("node")
     base = _shared.written(sketched(keyed, size, percent), "similarity-base").select("*", node)
     sets = ["set_hash", "set_check", "n_shingles"]
-    heads = base.where("n_shingles > 0").groupBy(*sets).agg(F.min("node").alias("head"))
-    rows = base.select("doc_id", "id_key", "text_key", "node", *sets).join(heads, sets, "left").withColumn("head", F.coalesce("head", "node"))
-    rows = _shared.written(rows.drop("set_hash", "set_check", "node"), "similarity-rows").select("*", node)
-    # Of each class one node goes on; the others are copies.
-    copies = _shared.written(rows.where("node <> head").select("id_key", "text_key").distinct(), "similarity-copies")
-    few = copies.count() <= _shared.MOST_IDS
-    alone = base.where(F.size("part_keys") > 0).join(F.broadcast(copies) if few else copies, ["id_key", "text_key"], "left_anti")
-    parts = alone.select("node", F.explode("part_keys").alias("part_key"))
-    # One shuffle, and a running first value that holds no group in memory.
-    order = Window.partitionBy("part_key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    edges = parts.withColumn("low", F.first("node").over(order)).where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    members = alone.select("node", "id_key", "text_key", "n_shingles", "n_bytes", "sketch", F.octet_length("sketch").alias("n_sketch")).dropDuplicates(["node"])
-    members = _shared.written(blocked(members, edges), "similarity-members")
-    near = united(paired(dealt(members, "n_sketch", 2 * chunk_docs, chunk_bytes)), size, percent)
-    members = _shared.written(blocked(members.drop("block", "sketch"), near), "similarity-near")
+    # Of the nodes with one set the least goes on; the others are copies.
+    heads = base.where("n_shingles > 0").groupBy(*sets).agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select(*sets, "head")
+    rows = _shared.joined(base.select("doc_id", "id_key", "text_key", "node", *sets), heads, sets, "left", "similarity-heads")
+    rows = _shared.written(rows.select("doc_id", "id_key", "text_key", "n_shingles", "node", F.coalesce("head", "node").alias("head")), "similarity-rows")
+    copies = rows.where("node <> head").select("node").distinct()
+    alone = _shared.joined(base.where(F.size("schemes") > 0), copies, ["node"], "left_anti", "similarity-copies")
+    schemes = alone.select("node", F.posexplode("schemes").alias("below", "s"))
+    parts = schemes.select("node", "below", F.explode("s.part_keys").alias("part_key"))
+    groups = shared_parts(parts, schemes.select("node", "below", F.col("s.need").alias("need")).distinct())
+    # The least document of each part against all others there.
+    group = Window.partitionBy("part_key")
+    groups = groups.withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group)).withColumn("n", F.count("*").over(group)).where("low <> high")
+    groups = _shared.written(groups.select("part_key", "node", "low", "n"), "similarity-groups")
+    facts = base.select("node", "id_key", "text_key", "n_shingles", "n_bytes", "sketch")
+    facts = _shared.joined(facts, groups.select("node").distinct(), ["node"], "left_semi", "similarity-met").dropDuplicates(["node"])
+    facts = _shared.written(facts, "similarity-facts")
+    pairs = groups.where("node <> low").select("node", "low").distinct().join(facts, "node")
+    other = facts.select(F.col("node").alias("low"), F.col("n_shingles").alias("low_n"), F.col("sketch").alias("low_sketch"), F.col("id_key").alias("low_id_key"), F.col("text_key").alias("low_text_key"))
+    pairs = pairs.join(other, "low").select("n_shingles", "low_n", "sketch", "low_sketch", "node", "low", "id_key", "text_key", "low_id_key", "low_text_key")
+    star = _shared.written(sifted(pairs, percent), "similarity-star")
+    edges = _shared.written(confirmed(star, keyed, size, percent), "similarity-edges")
+    # Parts whose documents are still apart: all across the components, by sketches.
+    found = _shared.written(_components.components(edges), "similarity-found")
+    known = _shared.joined(groups, found, ["node"], "left", "similarity-known").withColumn("component", F.coalesce("root", "node")).drop("root")
+    apart = known.where("n > 2").withColumn("one", F.min("component").over(group)).withColumn("two", F.max("component").over(group)).where("one <> two")
+    apart = _shared.written(apart.select(F.col("part_key").alias("block"), "node", "component"), "similarity-apart")
+    open_rows = apart.join(facts.select("node", "n_shingles", "sketch", F.octet_length("sketch").alias("n_sketch")), "node")
+    may = _shared.written(united(dealt(open_rows, "n_sketch", 4 * chunk_docs, chunk_bytes), size, percent), "similarity-may")
+    # What may link across components makes blocks; their texts meet.
+    blocks = _components.components(may)
+    blocks = _shared.written(blocks.select(F.col("node").alias("component"), F.col("root").alias("block")).unionByName(blocks.select(F.col("root").alias("component"), F.col("root").alias("block")).distinct()), "similarity-blocks")
+    members = _shared.joined(facts.drop("sketch"), found, ["node"], "left", "similarity-of").withColumn("component", F.coalesce("root", "node")).drop("root")
+    members = _shared.written(_shared.joined(members, blocks, ["component"], name="similarity-in"), "similarity-members")
     texts = _shared.with_text(dealt(members, "n_bytes", chunk_docs, chunk_bytes), keyed)
-    links = _components.components(united(paired(texts), size, percent))
-    rooted = rows.join(links.select(F.col("node").alias("head"), "root"), "head", "left").withColumn("root", F.coalesce("root", "head"))
-    rooted = _shared.written(rooted.select("doc_id", "id_key", "text_key", "n_shingles", "root"), "similarity-rooted")
-    least = rooted.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("without"), "id_key", "text_key")).alias("least"))
-    leads = (F.col("id_key") == F.col("least.id_key")) & (F.col("text_key") == F.col("least.text_key"))
-    return rooted.join(least, "root").select("doc_id", "id_key", "text_key", "n_shingles", F.col("least.id_key").alias("component"), leads.alias("leads"))
+    edges = edges.unionByName(united(texts, size, percent))
+    if join_ids:
+        # Nodes of one id are one document.
+        heads_of = rows.where(F.col("doc_id").isNotNull()).select("id_key", "head").distinct()
+        several = heads_of.groupBy("id_key").agg(F.min("head").alias("b"), F.max("head").alias("last")).where("b < last").select("id_key", "b")
+        edges = edges.unionByName(_shared.joined(heads_of, several, ["id_key"], name="similarity-ids").select(F.col("head").alias("a"), "b"))
+    links = _components.components(edges)
+    rooted = _shared.joined(rows, links.select(F.col("node").alias("head"), "root"), ["head"], "left", "similarity-links").withColumn("root", F.coalesce("root", "head"))
+    rooted = _shared.written(rooted.select("doc_id", "id_key", "text_key", "n_shingles", "node", "root"), "similarity-rooted")
+    # A node alone in its group leads it.
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("without"), "id_key", "text_key")).alias("least"), F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("root", "least")
+    out = _shared.joined(rooted, least, ["root"], "left", "similarity-least")
+    leads = F.col("least").isNull() | ((F.col("id_key") == F.col("least.id_key")) & (F.col("text_key") == F.col("least.text_key")))
+    return out.select("doc_id", "id_key", "text_key", "n_shingles", F.coalesce("least.id_key", "id_key").alias("component"), leads.alias("leads"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = classes(_shared.documents(spark, sf_dir))
+    out = classes(_shared.documents(spark, sf_dir), join_ids=True)
     return out.select("doc_id", "n_shingles", F.nullif("component", F.lit(_shared.LOWEST)).alias("component_id"))
 
 

@@ -54,7 +54,7 @@ class Seeds:
         self.n_words = np.diff(self.first)
         self.starts = np.zeros(0, np.int64)
         if len(hashes) >= length:
-            owner = np.repeat(np.arange(len(chunk.texts)), self.n_words)
+            owner = np.repeat(np.arange(chunk.n), self.n_words)
             n = len(hashes) - length + 1
             self.starts = np.flatnonzero(owner[:n] == owner[length - 1 :])
             self.grams = _words.windows(hashes, gram)
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
             places = np.unique(seeds.at) if len(seeds.starts) else np.zeros(0, np.int64)
             split = np.searchsorted(places, seeds.first).astype(np.int32)
             own = places - seeds.first[np.searchsorted(seeds.first, places, "right") - 1]
-            digests = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in chunk.texts]
+            digests = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in chunk.texts()]
             hashes = seeds.grams[places].view(np.int64) if len(places) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [*(chunk.column(c) for c in ("doc_id", "id_key", "text_key")), pa.array(seeds.n_words, pa.int64()), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(split), pa.array(hashes)), pa.ListArray.from_arrays(pa.array(split), pa.array(own.astype(np.int32)))],
@@ -95,7 +95,7 @@ def extended(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
 
     def run(batches):
         for batch in batches:
-            for chunk in _words.chunks(iter([batch])):
+            for chunk in _words.cut(batch):
                 seeds = Seeds(chunk, length, gram)
                 if not len(seeds.starts):
                     continue

@@ -240,7 +240,7 @@ class Model:
 
     def scores(self, chunk: _words.Chunk) -> np.ndarray:
         lexicon = Lexicon(chunk)
-        out = np.full(len(chunk.texts), self.nothing)
+        out = np.full(chunk.n, self.nothing)
         owner, words = lexicon.windows()
         if len(owner):
             best = best_logits(self.network.logits(lexicon.features(self.word_odds, self.gram_odds), words), owner, len(out))
@@ -283,9 +283,9 @@ def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = 5) -> Mo
             own = np.flatnonzero(fold == k)
             batch = pa.RecordBatch.from_arrays([pa.array([texts[i] for i in own], pa.string())], names=["text"])
             done = 0
-            for chunk in _words.chunks(iter([batch]), limit=1 << 20):
-                rows = own[done : done + len(chunk.texts)]
-                done += len(chunk.texts)
+            for chunk in _words.cut(batch):
+                rows = own[done : done + chunk.n]
+                done += chunk.n
                 yield k, Lexicon(chunk), labels[rows]
 
     for k, lexicon, own in lexicons():
@@ -372,7 +372,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
 
     def run(batches):
-        for chunk in _words.chunks(batches, limit=2 << 20):
+        for chunk in _words.chunks(batches):
             yield pa.RecordBatch.from_arrays([*(chunk.column(k) for k in keep), pa.array(shared.value.scores(chunk), pa.float64())], names=[*keep, "score"])
 
     return docs.select(*names).mapInArrow(run, schema)

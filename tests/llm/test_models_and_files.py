@@ -120,7 +120,7 @@ def test_gradients():
 def test_every_word_is_in_a_window():
     for n in (1, 47, 48, 49, 80, 81, 200):
         batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{i}" for i in range(n)), None])], names=["text"])
-        (chunk,) = _words.chunks(iter([batch]))
+        (chunk,) = _words.cut(batch)
         lexicon = toxicity.Lexicon(chunk)
         owner, words = lexicon.windows()
         assert set(owner) == {0} and set(words[words < lexicon.size].tolist()) == set(range(n))

@@ -20,9 +20,9 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def test_word_kernel(texts):
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
     found, seen = [], {}
-    for chunk in _words.chunks(iter([batch]), limit=20):
+    for chunk in _words.cut(batch, limit=20):
         starts, ends, hashes, first = chunk.words(_words.SPACES, _words.EXACT)
-        for k in range(len(chunk.texts)):
+        for k in range(chunk.n):
             own = [bytes(chunk.buffer[s:e]).decode() for s, e in zip(starts[first[k] : first[k + 1]], ends[first[k] : first[k + 1]], strict=True)]
             found.append(own)
             for w, h in zip(own, hashes[first[k] : first[k + 1]], strict=True):
@@ -87,7 +87,7 @@ def test_shift_tables_find_every_occurrence():
     wanted = list(brute_decontamination(rows, items))
     tables = decontamination.tables(items)
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
-    for chunk in _words.chunks(iter([batch])):
+    for chunk in _words.cut(batch):
         _, _, hashes, first = chunk.words(_words.NOT_ALNUM, _words.LOWER)
         for k in range(3):
             own = hashes[first[k] : first[k + 1]]
@@ -271,11 +271,15 @@ def test_linked_sets_always_share_a_part_key():
         b = np.sort(np.r_[pool[:common], pool[-int(r.integers(1, max(2, n - common))) :]])
         if 100 * common < 85 * len(np.union1d(a, b)) or len(np.union1d(a, b)) == common:
             continue
-        owner = np.repeat([0, 1], [len(a), len(b)])
-        o, k = similarity.part_keys(owner, np.r_[a, b], 2, bands)
-        assert set(k[o == 0].tolist()) & set(k[o == 1].tolist()), (len(a), len(b))
+        owner, schemes = np.repeat([0, 1], [len(a), len(b)]), []
+        for shift in (0, 1):
+            o, k, need = similarity.part_keys(owner, np.r_[a, b], 2, bands, shift)
+            schemes.append((set(k[o == 0].tolist()), set(k[o == 1].tolist()), need, shift))
+        # They agree, in one band, in as many parts as either of them asks for.
+        ways = [(x & y, need) for x, y, need, _ in ((p[0], q[1], (p[2][0], q[2][1]), 0) for p in schemes for q in schemes) if x & y]
+        assert any(len(both) >= max(need) for both, need in ways), (len(a), len(b))
         sketches = [similarity.bit_sketch(a), similarity.bit_sketch(b)]
-        assert len(similarity.may_link(sketches, np.array([len(a), len(b)]), 0, np.array([1]), {}, 85)) == 1
+        assert len(similarity.Sketches(sketches, np.array([len(a), len(b)]), 85).may_link(0, np.array([1]))) == 1
 
 
 def test_components(spark):
