@@ -42,16 +42,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     stay = found.groupBy(*keys).agg(F.min("n_shingles").alias("n"), F.count("*").alias("times"), F.max("leads").alias("leads"))
     stay = stay.select(*keys, "n", "times", ((F.col("n") == 0) | F.col("leads")).alias("stays"))
     stay = _shared.written(stay, "near-copies-stay")
-    doc_id = F.coalesce(F.col("doc_id"), F.lit(_shared.LOWEST))
-    boxed = _boxed(docs).withColumn("id_key", doc_id).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    gone, repeated = stay.where(~F.col("stays")), stay.where("stays AND n > 0 AND times > 1")
-    if gone.count() <= _shared.MOST_IDS and repeated.isEmpty():
-        kept = boxed.join(F.broadcast(gone.select(*keys)), keys, "left_anti")
-    else:
-        joined = boxed.join(stay.where("stays").select(*keys, "n"), keys)
-        copy = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
-        kept = joined.withColumn("copy", copy).where("n = 0 OR copy = 1")
-    return _unboxed(kept, docs)
+    boxed = _boxed(docs).withColumn("id_key", F.coalesce("doc_id", F.lit(_shared.LOWEST))).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    gone, repeated = stay.where(~F.col("stays")).select(*keys), stay.where("stays AND n > 0 AND times > 1").select(*keys)
+    repeated = _shared.written(repeated, "near-copies-repeated")
+    once = _shared.joined(boxed, gone.unionByName(repeated), keys, "left_anti", "near-copies-gone")
+    # Of rows alike in id and text the first by its other columns stays.
+    one = _shared.joined(boxed, repeated, keys, "left_semi", "near-copies-again").groupBy(*keys).agg(F.min_by(F.struct("text", "rest"), F.to_json("rest")).alias("row"))
+    return _unboxed(once.select("text", "rest").unionByName(one.select("row.text", "row.rest")), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,11 +67,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = copies.withColumn("id_key", F.coalesce("doc_id", F.lit(_shared.LOWEST))).groupBy("id_key", "text_key", F.col("source").alias("mixed_source")).agg(F.sum("copies").alias("copies"), F.count("*").alias("times"))
     same = (boxed["id_key"] == copies["id_key"]) & (boxed["text_key"] == copies["text_key"]) & boxed["source_name"].eqNullSafe(copies["mixed_source"])
     joined = boxed.join(copies.where("copies > 0"), same).drop(copies["id_key"]).drop(copies["text_key"])
-    # Rows that are alike in id, text and source share their copies evenly.
-    turn = F.row_number().over(Window.partitionBy(*keys, "source_name").orderBy(F.lit(1))) - 1
-    joined = joined.withColumn("turn", turn)
+    # Rows that are alike in id, text and source share their copies evenly, in the order of their other columns.
+    turn = F.row_number().over(Window.partitionBy(*keys, "source_name").orderBy(F.to_json("rest"))) - 1
     own = F.floor(F.col("copies") / F.col("times")) + F.when(F.col("turn") < F.col("copies") % F.col("times"), 1).otherwise(0)
-    taken = joined.withColumn("own", own.cast("int")).where("own > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("own"))))
+    several = joined.where("times > 1").withColumn("turn", turn).withColumn("own", own.cast("int")).drop("turn")
+    taken = joined.where("times = 1").withColumn("own", F.col("copies").cast("int")).unionByName(several).where("own > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("own"))))
     return _unboxed(taken, docs)
 
 
