@@ -48,13 +48,13 @@ LOWEST = -(1 << 63)
 MOST_IDS = 500_000
 
 
-def joined(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", name: str = "joined") -> DataFrame:
-    """df joined with a table that is written and counted first.
+def joined(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", name: str = "") -> DataFrame:
+    """df joined with a table that is written (unless it has no name, being written already) and counted first.
 
     With MOST_IDS rows at most it is sent to every task; a larger one meets ``df`` in a join of two plain shuffles,
     whose large partitions Spark splits.
     """
-    small = written(small, name)
+    small = written(small, name) if name else small
     return df.join(F.broadcast(small) if small.count() <= MOST_IDS else small, keys, how)
 
 

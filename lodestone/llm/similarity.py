@@ -73,8 +73,11 @@ def shingles(chunk: _words.Chunk, size: int = SHINGLE) -> tuple[np.ndarray, np.n
     whole = [hashes[first[i] : first[i + 1]] for i in few]
     short = np.array([int(_words.mix(_words.windows(h, len(h)) + np.uint64(len(h)))[0]) for h in whole], np.uint64)
     owners, values = np.r_[owner[at], few], np.r_[wins[at], short]
-    order = np.lexsort((values, owners))
+    order = np.argsort(owners, kind="stable")
     owners, values = owners[order], values[order]
+    edge = np.searchsorted(owners, np.arange(n + 1)).tolist()
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        values[a:b].sort()
     new = np.r_[True, (owners[1:] != owners[:-1]) | (values[1:] != values[:-1])] if len(owners) else np.zeros(0, bool)
     return owners[new], values[new]
 
@@ -212,9 +215,14 @@ def linked(sketches: list[bytes], sizes: np.ndarray, sides: np.ndarray, root: np
     """
     n, root, known = len(sketches), root.copy(), Sketches(sketches, sizes, percent)
     across = sides.min() != sides.max()
-    for i in range(n):
-        later = (sides > sides[i]) if across else (np.arange(n) > i)
-        for j in known.may_link(i, np.flatnonzero(later & (root != root[i]))):
+    # The members of the largest class come last: they are compared by the others, and need no turn of their own.
+    largest = root == np.bincount(root).argmax()
+    turn = np.empty(n, np.int64)
+    order = np.argsort(largest, kind="stable")
+    turn[order] = np.arange(n)
+    for i in order[: n - int(largest.sum())]:
+        later = (turn > turn[i]) & (root != root[i])
+        for j in known.may_link(i, np.flatnonzero(later & (sides != sides[i]) if across else later)):
             if root[j] != root[i] and (sets is None or is_link(sets[i], sets[j], percent)):
                 root[root == max(root[i], root[j])] = min(root[i], root[j])
     return root
@@ -343,6 +351,18 @@ def confirmed(star: DataFrame, docs: DataFrame, size: int, percent: int, salts:
     return texts.repartition("low", "salt").sortWithinPartitions("low", "salt", "role").mapInArrow(run, "a long, b long")
 
 
+def across(apart: DataFrame, facts: DataFrame, found: DataFrame, keyed: DataFrame, size: int, percent: int, chunk_docs: int, chunk_bytes: int) -> DataFrame:
+    """Edges between components of documents that agree in a part (block, node, component) and link."""
+    rows = apart.join(facts.select("node", "n_shingles", "sketch", F.octet_length("sketch").alias("n_sketch")), "node")
+    may = _shared.written(united(dealt(rows, "n_sketch", 4 * chunk_docs, chunk_bytes), size, percent), "similarity-may")
+    # What may link across components makes blocks; their texts meet.
+    blocks = _components.components(may).select(F.col("node").alias("component"), F.col("root").alias("block"))
+    blocks = blocks.unionByName(blocks.select(F.col("block").alias("component"), "block").distinct())
+    members = _shared.joined(facts.drop("sketch"), found, ["node"], "left").withColumn("component", F.coalesce("root", "node")).drop("root")
+    members = _shared.written(_shared.joined(members, blocks, ["component"], name="similarity-blocks"), "similarity-members")
+    return united(_shared.with_text(dealt(members, "n_bytes", chunk_docs, chunk_bytes), keyed), size, percent)
+
+
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk_docs: int = 1000, chunk_bytes: int = 4 << 20, join_ids: bool = False) -> DataFrame:
     """doc_id, id_key, text_key, n_shingles, component (an id_key), leads for each row of ``docs``.
 
@@ -374,26 +394,19 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk_
     star = _shared.written(sifted(pairs, percent), "similarity-star")
     edges = _shared.written(confirmed(star, keyed, size, percent), "similarity-edges")
     # Parts whose documents are still apart: all across the components, by sketches.
-    found = _shared.written(_components.components(edges), "similarity-found")
-    known = _shared.joined(groups, found, ["node"], "left", "similarity-known").withColumn("component", F.coalesce("root", "node")).drop("root")
+    found = _components.components(edges)
+    known = _shared.joined(groups, found, ["node"], "left").withColumn("component", F.coalesce("root", "node")).drop("root")
     apart = known.where("n > 2").withColumn("one", F.min("component").over(group)).withColumn("two", F.max("component").over(group)).where("one <> two")
     apart = _shared.written(apart.select(F.col("part_key").alias("block"), "node", "component"), "similarity-apart")
-    open_rows = apart.join(facts.select("node", "n_shingles", "sketch", F.octet_length("sketch").alias("n_sketch")), "node")
-    may = _shared.written(united(dealt(open_rows, "n_sketch", 4 * chunk_docs, chunk_bytes), size, percent), "similarity-may")
-    # What may link across components makes blocks; their texts meet.
-    blocks = _components.components(may)
-    blocks = _shared.written(blocks.select(F.col("node").alias("component"), F.col("root").alias("block")).unionByName(blocks.select(F.col("root").alias("component"), F.col("root").alias("block")).distinct()), "similarity-blocks")
-    members = _shared.joined(facts.drop("sketch"), found, ["node"], "left", "similarity-of").withColumn("component", F.coalesce("root", "node")).drop("root")
-    members = _shared.written(_shared.joined(members, blocks, ["component"], name="similarity-in"), "similarity-members")
-    texts = _shared.with_text(dealt(members, "n_bytes", chunk_docs, chunk_bytes), keyed)
-    edges = edges.unionByName(united(texts, size, percent))
+    if not apart.isEmpty():
+        edges = edges.unionByName(across(apart, facts, found, keyed, size, percent, chunk_docs, chunk_bytes))
     if join_ids:
         # Nodes of one id are one document.
         heads_of = rows.where(F.col("doc_id").isNotNull()).select("id_key", "head").distinct()
         several = heads_of.groupBy("id_key").agg(F.min("head").alias("b"), F.max("head").alias("last")).where("b < last").select("id_key", "b")
         edges = edges.unionByName(_shared.joined(heads_of, several, ["id_key"], name="similarity-ids").select(F.col("head").alias("a"), "b"))
-    links = _components.components(edges)
-    rooted = _shared.joined(rows, links.select(F.col("node").alias("head"), "root"), ["head"], "left", "similarity-links").withColumn("root", F.coalesce("root", "head"))
+    links = _components.components(edges).withColumnRenamed("node", "head")
+    rooted = _shared.joined(rows, links, ["head"], "left").withColumn("root", F.coalesce("root", "head"))
     rooted = _shared.written(rooted.select("doc_id", "id_key", "text_key", "n_shingles", "node", "root"), "similarity-rooted")
     # A node alone in its group leads it.
     least = rooted.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("without"), "id_key", "text_key")).alias("least"), F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("root", "least")
