@@ -3,18 +3,22 @@
 Patterns are the 13-word windows of benchmark items (an item of fewer words is one pattern). For each
 pattern length there is a shift table over hashed blocks of two words: the search looks at the block that
 ends the current window, skips by the table where no pattern can end, and where the shift is 0 looks up the
-block's bucket of patterns, narrows it by the window's word hashes and confirms by comparing the words.
+block's bucket of patterns, narrows it by the window's hash and confirms by comparing the words.
 
-The items are taken in blocks of ``block_bytes`` of text, so what is sent to the executors is bounded
-whatever the benchmark's size; hits of several blocks are united for each document.
+Patterns are places in one buffer of the items' words, in arrays sorted by block and window hash, so they take about
+ten times the items' text. The items are taken in blocks of ``block_bytes`` of text, one after the other, so what
+the driver holds and sends to the executors is bounded whatever the benchmark's size; hits of several blocks are
+united for each document.
 
 Nulls and empty texts have no words: nothing hits them, and as items they have no pattern. Repeated items
 of one id count once, and so do all items without an id, which are searched like any other and stand in items as
-one null. Repeated documents are judged each; a null doc_id is kept. Empty tables are fine.
+one null. Repeated documents are judged each; a null doc_id is kept. Empty tables are fine. A column of the
+documents that has the name of a result (n_words, hits, items, n_hit, contaminated) gives way to it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +30,7 @@ from lodestone.llm import _shared, _words
 
 WINDOW = 13
 BLOCK = 2
+RESULTS = ("n_words", "hits", "items", "n_hit", "contaminated")
 
 
 @dataclass
@@ -36,92 +41,125 @@ class Table:
     block: int
     bits: int
     shift: np.ndarray
-    #: Block hash -> window word hashes -> (words joined by a space, ids of the items).
-    buckets: dict[int, dict[bytes, tuple[bytes, set[str]]]]
-
-
-def tables(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[Table]:
-    found: dict[int, dict[bytes, tuple[bytes, set[str], np.ndarray]]] = {}
-    if not items:
-        return []
-    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in items], pa.string())], names=["text"])
-    row = 0
-    for chunk in _words.cut(batch):
-        lowered = bytes(chunk.buffer).lower()
-        starts, ends, hashes, first = chunk.words(_words.NOT_ALNUM, _words.LOWER)
-        words = [lowered[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        for k in range(chunk.n):
-            a, b = int(first[k]), int(first[k + 1])
-            n = min(window, b - a)
-            for i in range(a, b - n + 1) if n else ():
-                key = hashes[i : i + n].tobytes()
-                found.setdefault(n, {}).setdefault(key, (b" ".join(words[i : i + n]), set(), hashes[i : i + n].copy()))[1].add(items[row][0])
-            row += 1
-    out = []
-    for n, patterns in sorted(found.items()):
+    #: Of each distinct pattern, sorted by these two: hash of its last block, hash of all its words.
+    blocks: np.ndarray
+    keys: np.ndarray
+    #: Its first word, and where its items begin in ``items`` (one more for the end).
+    places: np.ndarray
+    edges: np.ndarray
+    items: np.ndarray
+
+
+@dataclass
+class Patterns:
+    #: Lowered words of all items, each followed by a space, and where each word begins (one more for the end).
+    text: bytes
+    starts: np.ndarray
+    names: list[str | None]
+    tables: list[Table]
+
+    def words(self, first: int, n: int) -> bytes:
+        return self.text[self.starts[first] : self.starts[first + n] - 1]
+
+
+def block_hashes(hashes: np.ndarray, block: int) -> np.ndarray:
+    return _words.windows(hashes, block) if block > 1 else _words.mix(hashes)
+
+
+def patterns(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> Patterns:
+    names = list(dict.fromkeys(i for i, _ in items))
+    number = {name: k for k, name in enumerate(names)}
+    text, lengths, hashes, counts = [], [], [], []
+    for chunk in _words.cut(pa.RecordBatch.from_arrays([pa.array([t for _, t in items], pa.string())], names=["text"])):
+        starts, ends, own, first = chunk.words(_words.NOT_ALNUM, _words.LOWER)
+        lowered = chunk.buffer.tobytes().lower()
+        text += [lowered[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        lengths.append(ends - starts)
+        hashes.append(own)
+        counts.append(np.diff(first))
+    if not text:
+        return Patterns(b"", np.zeros(1, np.int64), names, [])
+    hashes, counts = np.concatenate(hashes), np.concatenate(counts)
+    begin = np.cumsum(counts) - counts
+    item_of = np.repeat(np.array([number[i] for i, _ in items], np.int32), counts)
+    out = Patterns(b" ".join([*text, b""]), np.r_[0, np.cumsum(np.concatenate(lengths) + 1)], names, [])
+    for n in np.unique(np.minimum(counts[counts > 0], window)).tolist():
+        own = counts >= window if n == window else counts == n
+        many = np.where(own, counts - n + 1, 0)
+        at = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
         block = min(BLOCK, n)
-        bits = max(16, int(np.ceil(np.log2(32 * len(patterns) * n))))
+        blocks, keys = block_hashes(hashes, block), window_hashes(hashes, n)[at]
+        bits = max(16, int(np.ceil(np.log2(16 * len(at)))))
         shift = np.full(1 << bits, n - block + 1, np.uint8)
-        buckets: dict[int, dict[bytes, tuple[bytes, set[str]]]] = {}
-        for key, (text, ids, hashes) in patterns.items():
-            blocks = block_hashes(hashes, block)
-            for j, at in enumerate((blocks >> np.uint64(64 - bits)).tolist()):
-                shift[at] = min(shift[at], n - block - j)
-            buckets.setdefault(int(blocks[-1]), {})[key] = (text, ids)
-        out.append(Table(n, block, bits, shift, buckets))
+        # From the window's first block to its last: a block that stands several times keeps the least jump.
+        for j in range(n - block + 1):
+            shift[blocks[at + j] >> np.uint64(64 - bits)] = n - block - j
+        last = blocks[at + n - block]
+        order = np.lexsort((item_of[at], keys, last))
+        at, last, keys = at[order], last[order], keys[order]
+        same = np.r_[False, (last[1:] == last[:-1]) & (keys[1:] == keys[:-1])]
+        for i in np.flatnonzero(same):
+            same[i] = out.words(at[i], n) == out.words(at[i - 1], n)
+        lead = np.flatnonzero(~same)
+        out.tables.append(Table(n, block, bits, shift, last[lead], keys[lead], at[lead], np.r_[lead, len(at)], item_of[at]))
     return out
 
 
-def block_hashes(hashes: np.ndarray, block: int) -> np.ndarray:
-    return _words.windows(hashes, block) if block > 1 else _words.mix(hashes)
+def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    return _words.windows(hashes, n) if n > 1 else hashes
 
 
-def search(table: Table, hashes: np.ndarray):
-    """(start, bucket entry) wherever the word hashes of a pattern stand."""
+def search(table: Table, hashes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, pattern) wherever the word hashes of a pattern stand."""
     if len(hashes) < table.length:
         return
     blocks = block_hashes(hashes, table.block)
-    jumps = table.shift[(blocks >> np.uint64(64 - table.bits)).astype(np.int64)].tobytes()
-    ahead = table.length - table.block
-    at, end = ahead, len(jumps)
+    jumps = table.shift[blocks >> np.uint64(64 - table.bits)].tobytes()
+    ahead, end, found = table.length - table.block, len(jumps), []
+    at = ahead
     while at < end:
         jump = jumps[at]
         if jump:
             at += jump
-            continue
-        bucket = table.buckets.get(int(blocks[at]))
-        if bucket is not None:
-            start = at - ahead
-            entry = bucket.get(hashes[start : start + table.length].tobytes())
-            if entry is not None:
-                yield start, entry
-        at += 1
+        else:
+            found.append(at)
+            at += 1
+    where = np.array(found, np.int64)
+    low = np.searchsorted(table.blocks, blocks[where], "left")
+    high = np.searchsorted(table.blocks, blocks[where], "right")
+    in_bucket = np.flatnonzero(low < high)
+    if not len(in_bucket):
+        return
+    keys = window_hashes(hashes, table.length)
+    for i in in_bucket.tolist():
+        start = int(where[i]) - ahead
+        bucket = table.keys[low[i] : high[i]]
+        for k in range(int(np.searchsorted(bucket, keys[start], "left")), int(np.searchsorted(bucket, keys[start], "right"))):
+            yield start, int(low[i]) + k
 
 
 def scan(docs: DataFrame, items: list[tuple[str | None, str | None]], window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """Columns of ``docs`` (text only if asked), n_words, hits (word indexes inside an occurrence) and items."""
-    keep = [c for c in docs.columns if c != "text" or with_text]
+    keep = [c for c in docs.columns if c not in RESULTS and (c != "text" or with_text)]
     schema = docs.select(*keep).withColumn("n_words", F.lit(0).cast("long")).withColumn("hits", F.lit(None).cast("array<int>")).withColumn("items", F.lit(None).cast("array<string>")).schema
-    shared = docs.sparkSession.sparkContext.broadcast(tables(items, window))
+    shared = docs.sparkSession.sparkContext.broadcast(patterns(items, window))
 
     def run(batches):
+        known = shared.value
         for chunk in _words.chunks(batches):
             starts, ends, hashes, first = chunk.words(_words.NOT_ALNUM, _words.LOWER)
             owner = np.repeat(np.arange(chunk.n), np.diff(first))
-            where: list[tuple[int, int]] = []
-            names: dict[int, set[str]] = {}
-            for table in shared.value:
+            edge = np.zeros(len(hashes) + 1, np.int32)
+            names: dict[int, set[str | None]] = {}
+            for table in known.tables:
                 n = table.length
-                for i, (text, ids) in search(table, hashes):
+                for i, k in search(table, hashes):
                     if owner[i] != owner[i + n - 1]:
                         continue
-                    if b" ".join(bytes(chunk.buffer[s:e]).lower() for s, e in zip(starts[i : i + n], ends[i : i + n], strict=True)) == text:
-                        where.append((i, n))
-                        names.setdefault(int(owner[i]), set()).update(ids)
-            edge = np.zeros(len(hashes) + 1, np.int32)
-            for i, n in where:
-                edge[i] += 1
-                edge[i + n] -= 1
+                    if b" ".join([chunk.buffer[s:e].tobytes().lower() for s, e in zip(starts[i : i + n], ends[i : i + n], strict=True)]) == known.words(table.places[k], n):
+                        edge[i] += 1
+                        edge[i + n] -= 1
+                        names.setdefault(int(owner[i]), set()).update(known.names[x] for x in table.items[table.edges[k] : table.edges[k + 1]])
             hit = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
             split = np.searchsorted(hit, first).astype(np.int32)
             place = (hit - first[owner[hit]]).astype(np.int32) if len(hit) else hit.astype(np.int32)
@@ -133,27 +171,35 @@ def scan(docs: DataFrame, items: list[tuple[str | None, str | None]], window: in
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 32 << 20, with_text: bool = False) -> DataFrame:
-    """The columns of ``docs`` (text only if asked), with n_words, hits and items over the whole benchmark."""
-    blocks: list[list[tuple[str | None, str | None]]] = [[]]
-    size = 0
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The items in blocks of about ``block_bytes`` of text; the driver holds one of them."""
+    block, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
         more = len((row["text"] or "").encode())
-        if blocks[-1] and size + more > block_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["item_id"], row["text"]))
+        if block and size + more > block_bytes:
+            yield block
+            block, size = [], 0
+        block.append((row["item_id"], row["text"]))
         size += more
-    if len(blocks) == 1:
-        return scan(docs, blocks[0], window, with_text)
-    base = docs.withColumn("row_key", F.monotonically_increasing_id())
-    keep = [c for c in docs.columns if c != "text" or with_text]
-    parts = [_shared.written(scan(base, b, window, with_text), "decontaminate") for b in blocks]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    united = whole.groupBy("row_key").agg(*(F.first(k).alias(k) for k in [*keep, "n_words"]), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return united.drop("row_key")
+    yield block
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
+    """The columns of ``docs`` (text only if asked), with n_words, hits and items over the whole benchmark."""
+    blocks = item_blocks(benchmark, block_bytes)
+    block = next(blocks)
+    after = next(blocks, None)
+    if after is None:
+        return scan(docs, block, window, with_text)
+    keep = [c for c in docs.columns if c not in RESULTS and (c != "text" or with_text)]
+    # Rows are named once, in a written table, so that each scan means the same ones.
+    base = _shared.written(docs.select(F.struct(*keep).alias("given"), "text", F.monotonically_increasing_id().alias("row_key")), "decontaminate-rows")
+    whole = _shared.written(scan(base.select("row_key", "text"), block, window), "decontaminate")
+    while after is not None:
+        whole = whole.unionByName(_shared.written(scan(base.select("row_key", "text"), after, window), "decontaminate").where(F.size("items") > 0))
+        after = next(blocks, None)
+    united = whole.groupBy("row_key").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return base.drop("text").join(united, "row_key").select("given.*", "n_words", "hits", "items")
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:

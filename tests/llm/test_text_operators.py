@@ -54,7 +54,8 @@ def test_decontamination(spark, docs, rows, same):
     items = [(1, long[1000:1200]), (2, None), (3, ""), (10, "one TWO"), (11, "é"), (11, "é"), (5, rows[15][1]), (6, "not there at all " * 5)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     for block in (32 << 20, 100):
-        out = decontamination.hits(docs.select("doc_id", "text"), benchmark, block_bytes=block)
+        out = decontamination.hits(docs, benchmark, block_bytes=block)
+        assert set(out.columns) == {c for c in docs.columns if c != "text"} | {"n_words", "hits", "items"}
         out = out.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("h"))
         same(out, [x[:5] for x in brute_decontamination(rows, items)])
 
@@ -85,7 +86,7 @@ def test_shift_tables_find_every_occurrence():
     items = [(str(i), " ".join(f"w{x}" for x in r.integers(0, 3, n))) for i, n in enumerate([1, 2, 3, 5, 13, 14, 20])]
     rows = [(i, t) for i, t in enumerate(texts)]
     wanted = list(brute_decontamination(rows, items))
-    tables = decontamination.tables(items)
+    tables = decontamination.patterns(items).tables
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
     for chunk in _words.cut(batch):
         _, _, hashes, first = chunk.words(_words.NOT_ALNUM, _words.LOWER)
@@ -95,6 +96,15 @@ def test_shift_tables_find_every_occurrence():
             assert len(hit) == wanted[k][2]
 
 
+def test_patterns_take_little_more_than_their_text():
+    r = np.random.default_rng(1)
+    text = " ".join(f"{x:x}" for x in r.integers(0, 1 << 24, 60_000))
+    known = decontamination.patterns([("a", text), ("b", text[: len(text) // 2])])
+    held = len(known.text) + known.starts.nbytes + sum(x.nbytes for t in known.tables for x in (t.shift, t.blocks, t.keys, t.places, t.edges, t.items))
+    assert held < 20 * 1.5 * len(text)
+    assert sum(len(t.items) for t in known.tables) == 60_000 - 12 + len(text[: len(text) // 2].split()) - 12
+
+
 def brute_substrings(rows, length=50):
     first = {}
     words = [(d, SPACE.findall(t or "")) for d, t, *_ in rows]
