@@ -3,7 +3,7 @@
 Each word enters by what it is and by its characters: the learned log-odds of the word, and of its character
 3-, 4- and 5-grams with word edges (greatest, mean and first). Two gated recurrent layers run over each
 window of 48 words, forwards and backwards; attention weighs the steps, and the weighted readout is the
-window's logit. All windows of a text, each overlapping the next by a third, are scored; the greatest logit,
+window's logit. All windows of a text, one every 16 words, are scored, so that a passage of 33 words is whole in one; the greatest logit,
 calibrated on training texts, is the document's.
 
 Learned from a bounded, class-balanced sample of labelled rows (``per_class`` each, by hash order). Log-odds
@@ -11,8 +11,9 @@ that the network is trained on come from the other folds of the sample, so it le
 Training runs on the driver; scoring runs on every whole text, in chunks of a few MB.
 
 Nulls and empty texts have no words and get the calibrated score of nothing found. Rows without a label or
-id are never learned from. Repeated rows are scored each. Without labels of both classes every score is the
-share of label 1 (0 without labels). An empty table gives an empty result.
+id are never learned from; of several rows of one id one is, chosen by its text. Repeated rows are scored each.
+Without labels of both classes, or if no labelled text has a word, every score is the share of label 1 (0 without
+labels). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import _shared, _words
 
-WIDTH, STRIDE = 48, 32
+WIDTH, STRIDE = 48, 16
 HIDDEN = 8
 WORD_BITS, GRAM_BITS = 17, 17
 GRAMS = (3, 4, 5)
@@ -57,16 +58,21 @@ class Lexicon:
         self.length = (ends - starts)[at]
         begin, spread = starts[at], self.length + 2
         self.grams = []
+        rolled = {}
         for n in GRAMS:
-            rolled = np.full(len(text) - n + 1, 0x9E3779B9 + n, np.uint32)
+            rolled[n] = np.full(len(text) - n + 1, 0x9E3779B9 + n, np.uint32)
             for k in range(n):
-                rolled ^= text[k : len(text) - n + 1 + k]
-                rolled *= np.uint32(0x01000193)
-                rolled ^= rolled >> np.uint32(13)
+                rolled[n] ^= text[k : len(text) - n + 1 + k]
+                rolled[n] *= np.uint32(0x01000193)
+                rolled[n] ^= rolled[n] >> np.uint32(13)
             count = np.maximum(1, spread - n + 1)
             lead = np.cumsum(count) - count
-            places = np.arange(int(count.sum())) - np.repeat(lead - begin, count)
-            self.grams.append((((rolled[places] * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS)).astype(np.int64), lead, count))
+            found = rolled[n][np.arange(int(count.sum())) - np.repeat(lead - begin, count)]
+            # A word shorter than the n-gram, edges included, is one gram of its own length: no neighbour enters.
+            for m in GRAMS[: GRAMS.index(n)]:
+                short = np.flatnonzero(spread == m)
+                found[lead[short]] = rolled[m][begin[short]]
+            self.grams.append((((found * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS)).astype(np.int64), lead, count))
 
     def features(self, word_odds: np.ndarray, gram_odds: list[np.ndarray]) -> np.ndarray:
         """One row for each distinct word, and a last row of zeros for padding."""
@@ -334,6 +340,8 @@ def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = 5) -> Mo
         y.append(own)
     best, y = np.concatenate(best), np.concatenate(y)
     some = np.isfinite(best)
+    if not some.any():
+        return constant(share)
     slope, shift = logistic(best[some], y[some])
     # From the sample's balance to that of all labelled rows.
     sampled = y.mean()
@@ -342,6 +350,11 @@ def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = 5) -> Mo
     return Model(word_odds, gram_odds, network, max(slope, 0.0), shift, float(sigmoid(np.array(slope * best[some].min() + shift))))
 
 
+def constant(share: float) -> Model:
+    """Nothing to learn from: one score for all."""
+    return Model(np.zeros(1 << WORD_BITS, np.float32), [np.zeros(1 << GRAM_BITS, np.float32)] * len(GRAMS), Network(), 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), share)
+
+
 def is_held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; a null id is never learned from but isn't held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -357,11 +370,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model:
     for y in (0, 1):
         part = rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         sample = part if sample is None else sample.unionByName(part)
-    # At most 2 * per_class ids go to every task.
-    learned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").toPandas().sort_values("doc_id", kind="stable")
+    # At most 2 * per_class ids go to every task, and one text of each comes back.
+    learned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    learned = learned.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id", kind="stable")
     y = learned["toxic"].to_numpy(np.int64)
     if len(np.unique(y)) < 2:
-        return Model(np.zeros(1 << WORD_BITS, np.float32), [np.zeros(1 << GRAM_BITS, np.float32)] * len(GRAMS), Network(), 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), share)
+        return constant(share)
     return fit([t or "" for t in learned["text"]], y, share)
 
 

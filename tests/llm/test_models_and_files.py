@@ -157,6 +157,68 @@ def test_learned_from_the_rest_and_right_on_held_out_rows(spark, docs, nothing):
     assert all((again.network.p[k] == v).all() for k, v in model.network.p.items())
 
 
+def brute_score(model, text):
+    """One text's score word by word and step by step, without arrays of words or windows."""
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.encode().lower())
+    if not words:
+        return model.nothing
+
+    def gram(letters):
+        h = 0x9E3779B9 + len(letters)
+        for c in letters:
+            h = ((h ^ c) * 0x01000193) & 0xFFFFFFFF
+            h ^= h >> 13
+        return ((h * 2654435761) & 0xFFFFFFFF) >> (32 - toxicity.GRAM_BITS)
+
+    def features(w):
+        (own,) = _words.cut(pa.RecordBatch.from_arrays([pa.array([w.decode()])], names=["text"]))
+        out = [model.word_odds[int(own.words(_words.NOT_ALNUM, _words.LOWER)[2][0]) >> (64 - toxicity.WORD_BITS)], math.log1p(len(w)) / 4]
+        for n, odds in zip(toxicity.GRAMS, model.gram_odds, strict=True):
+            padded = b"\0" + w + b"\0"
+            values = [float(odds[gram(padded[i : i + n])]) for i in range(max(1, len(padded) - n + 1))]
+            out += [max(values), sum(values) / len(values), values[0]]
+        return np.array(out, np.float64)
+
+    p, k = {a: v.astype(np.float64) for a, v in model.network.p.items()}, toxicity.HIDDEN
+    best, x = -math.inf, [features(w) for w in words]
+    for start in range(0, max(1, len(x)), toxicity.STRIDE):
+        if start and start - toxicity.STRIDE + toxicity.WIDTH >= len(x):
+            break
+        window = x[start : start + toxicity.WIDTH]
+        score, value = np.zeros(len(window)), np.zeros(len(window))
+        for d, order in (("f", range(len(window))), ("b", range(len(window) - 1, -1, -1))):
+            h = np.zeros(k)
+            for t in order:
+                g, u = window[t] @ p[f"W{d}"] + p[f"c{d}"], h @ p[f"U{d}"]
+                z, r = (1 / (1 + np.exp(-(g[: 2 * k] + u[: 2 * k])))).reshape(2, k)
+                m = np.tanh(g[2 * k :] + r * u[2 * k :])
+                h = z * h + (1 - z) * m
+                score[t] += h @ p[f"v{d}"]
+                value[t] += h @ p[f"g{d}"]
+        weight = np.exp(score - score.max())
+        best = max(best, float(weight @ value / weight.sum() + p["bias"][0]))
+    return 1 / (1 + math.exp(-(model.slope * best + model.shift)))
+
+
+def test_scores_are_those_of_the_slow_way(spark, rows):
+    given, labels = toxic_rows(300)
+    model = toxicity.train(spark.createDataFrame(given, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    some = [t for _, t, *_ in rows if t and len(t) < 2000][:25] + [t for _, t in given[:25]] + ["", "a", "a b", "ab i"]
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    for x in toxicity.scored(df, model, ["doc_id"]).collect():
+        assert x.score == pytest.approx(brute_score(model, some[x.doc_id]), abs=1e-3)
+
+
+def test_labelled_texts_without_words_and_labelled_ids_with_several_rows(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    empty = spark.createDataFrame([(i, None if i % 3 else "") for i in range(40)], "doc_id long, text string")
+    assert all(abs(x.score - 0.5) < 0.2 for x in toxicity.judged(empty, labels).collect())
+    many = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other words")], "doc_id long, text string")
+    model = toxicity.train(many, labels)
+    one = toxicity.train(spark.createDataFrame([(1, "text 0"), (2, "other words")], "doc_id long, text string"), labels)
+    assert all((model.network.p[k] == v).all() for k, v in one.network.p.items())
+
+
 def test_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert all(x.predicted == 0 for x in toxicity.judged(docs, none).collect())
