@@ -10,8 +10,10 @@ Where a merge would create a pair of lower rank than the one merged, only the le
 sequence is taken in the round; so the result is that of merging one pair after the other.
 
 No piece holds a white-space mark behind another character, so a text may be cut before each mark, and at
-line ends, which are in no piece. Null and empty texts have no tokens. Repeated rows are counted each; a null
-doc_id is kept. Very long runs without a space are one sequence, merged in as many rounds as it has ranks.
+line ends, which are in no piece. Longer runs are cut wherever no piece can span two neighbours: a piece that does
+is the two characters alone, or holds them with the one ahead or behind, so runs without a space (base64, CJK)
+fall into short sequences too, and the counts stay those of the whole. Null and empty texts have no tokens.
+Repeated rows are counted each; a null doc_id is kept.
 """
 
 from __future__ import annotations
@@ -54,9 +56,31 @@ class Merger:
         self.symbol_of = np.array([self.symbols[int(c)] for c in self.known], np.int32)
         #: Single characters that are no piece cost their UTF-8 bytes.
         self.in_model = np.array([chr(int(c)) in ids for c in self.known], bool)
+        #: Every piece of two characters, and every three neighbours inside a piece.
+        self.spans = np.unique(np.array([self._code(p) for p, _ in pieces if len(p) == 2], np.uint64))
+        self.threes = np.unique(np.array([self._code(p[k : k + 3]) for p, _ in pieces for k in range(len(p) - 2)], np.uint64))
         self.breaks = "\n" if not any("\n" in p for p, _ in pieces) else ""
         assert not any(MARK in p.lstrip(MARK) for p, _ in pieces), "a piece holds a mark behind another character"
 
+    @staticmethod
+    def _code(text: str) -> int:
+        """Two or three characters as one number of 21 bits each."""
+        out = 0
+        for c in text:
+            out = out << 21 | ord(c)
+        return out
+
+    def cut(self, token: str) -> list[str]:
+        """The token in parts that no piece spans."""
+        c = np.frombuffer(token.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        two, three = c[:-1] << np.uint64(21) | c[1:], c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:]
+        spanned = np.isin(two, self.spans)
+        known = np.isin(three, self.threes)
+        spanned[1:] |= known
+        spanned[:-1] |= known
+        edges = [0, *(np.flatnonzero(~spanned) + 1).tolist(), len(token)]
+        return [token[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE if the pair doesn't merge) and place in the table."""
         want = left.astype(np.int64) * self.base + right
@@ -135,6 +159,8 @@ def pieces_of(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in plain]
 
 
+#: A longer pre-token is cut further.
+LONG = 48
 RUNS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
@@ -153,7 +179,7 @@ class Counter:
         self.cache: dict[str, int] = {"": 0}
 
     def counts(self, texts: list[str]) -> list[int]:
-        cut = [pre_tokens(t) if t else [] for t in texts]
+        cut = [self._parts(pre_tokens(t)) if t else [] for t in texts]
         missing = set().union(*cut) - self.cache.keys() if cut else set()
         if len(self.cache) + len(missing) > self.room:
             self.cache = {"": 0}
@@ -169,6 +195,11 @@ class Counter:
         find = self.cache.__getitem__
         return [sum(map(find, c)) for c in cut]
 
+    def _parts(self, tokens: list[str]) -> list[str]:
+        if max(map(len, tokens)) <= LONG:
+            return tokens
+        return [p for t in tokens for p in (self.merger.cut(t) if len(t) > LONG else (t,))]
+
     def _fill(self, tokens: list[str]) -> None:
         if tokens:
             self.cache.update(zip(tokens, self.merger.counts(tokens).tolist(), strict=True))
