@@ -3,7 +3,8 @@
 Keys are tuples of long columns; a size-weighted sample of keys gives quantile boundaries; rows fall into
 the ranges between them; exact statistics of the ranges show which are overfull, and those are split again
 by a sample of their own. Inside a range a window orders the rows, and the ranges' totals, summed on the
-driver (one row for each range, about rows / rows_per_range), make ranks and prefix sums global.
+driver (one row for each range), make ranks and prefix sums global. There are at most MOST_RANGES ranges, beyond
+which they grow: so the driver sees at most OVERSAMPLE * MOST_RANGES keys whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: Keys drawn for each range that is wanted.
 OVERSAMPLE = 32
+MOST_RANGES = 16_384
 
 
 def ordered(keys: np.ndarray) -> np.ndarray:
@@ -57,6 +59,7 @@ def splitters(df: DataFrame, keys: list[str], weight: str, wanted: int, seed: in
     key, so it is the same at each run. A row that weighs more than one draw counts that often.
     """
     total = df.agg(F.sum(weight)).first()[0] or 0
+    wanted = min(wanted, MOST_RANGES)
     if wanted <= 1 or total <= 0:
         return np.zeros((0, len(keys)), np.int64)
     step = total / (wanted * OVERSAMPLE)
@@ -83,6 +86,7 @@ def ranged(df: DataFrame, keys: list[str], weight: str, wanted: int, rows_per_ra
     Ranges of more than twice the mean weight (and more than one row) or more than ``rows_per_range`` rows
     are overfull and are subdivided, at most ``rounds`` times; rows with entirely equal keys stay together.
     """
+    wanted = min(wanted, MOST_RANGES)
     boundaries = splitters(df, keys, weight, wanted)
     for again in range(rounds + 1):
         out = assigned(df, keys, boundaries)
@@ -90,6 +94,7 @@ def ranged(df: DataFrame, keys: list[str], weight: str, wanted: int, rows_per_ra
         if stats.empty or again == rounds:
             break
         limit = max(2 * stats["weight"].sum() / max(1, wanted), 1)
+        rows_per_range = max(rows_per_range, int(2 * stats["rows"].sum() / MOST_RANGES))
         over = stats[((stats["weight"] > limit) | (stats["rows"] > rows_per_range)) & (stats["rows"] > 1)]
         if over.empty:
             break
@@ -103,16 +108,13 @@ def ranged(df: DataFrame, keys: list[str], weight: str, wanted: int, rows_per_ra
     return out, stats
 
 
-def with_prefix(df: DataFrame, stats: pd.DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """Columns ``row_rank`` (global, from 0) and ``before`` (weight of all rows ahead) in key order."""
-    at = stats.assign(rows_ahead=stats["rows"].cumsum() - stats["rows"], weight_ahead=stats["weight"].cumsum() - stats["weight"])
-    offsets = df.sparkSession.createDataFrame([(int(r), int(n), int(w)) for r, n, w in zip(at["range_id"], at["rows_ahead"], at["weight_ahead"], strict=True)], "range_id int, rows_ahead long, weight_ahead long")
-    order = Window.partitionBy("range_id").orderBy(*keys)
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
+def with_prefix(df: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFrame:
+    """For each (name, column) of ``sums`` a column: the column's sum over all rows ahead in key order."""
+    found = df.groupBy("range_id").agg(*(F.sum(c).alias(name) for name, c in sums.items())).toPandas().sort_values("range_id", ignore_index=True)
+    ahead = {name: found[name].cumsum() - found[name] for name in sums}
+    rows = [tuple(int(x) for x in row) for row in zip(found["range_id"], *ahead.values(), strict=True)]
+    offsets = df.sparkSession.createDataFrame(rows, ", ".join(["range_id int", *(f"{name}_ahead long" for name in sums)]))
+    running = Window.partitionBy("range_id").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     # The offsets have one row for each range, a number that ranged() bounds; they are sent to every task.
-    return (
-        df.join(F.broadcast(offsets), "range_id")
-        .withColumn("row_rank", F.col("rows_ahead") + F.row_number().over(order) - 1)
-        .withColumn("before", F.col("weight_ahead") + F.sum(weight).over(running) - F.col(weight))
-        .drop("rows_ahead", "weight_ahead")
-    )
+    out = df.join(F.broadcast(offsets), "range_id").withColumns({name: F.col(f"{name}_ahead") + F.coalesce(F.sum(c).over(running), F.lit(0)) for name, c in sums.items()})
+    return out.drop(*(f"{name}_ahead" for name in sums))

@@ -23,6 +23,8 @@ from lodestone.llm import _ranges, _shared, _words
 
 LOWEST = -(1 << 63)
 WEIGHTS = (5, 2, 1)
+#: Most sources of a mix, which the driver holds and every task gets.
+MOST_SOURCES = 100_000
 KEYS = ["source_key", "size", "tie", "row_key"]
 
 
@@ -65,14 +67,17 @@ def word_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, rows_per_range: int = 250_000, with_text_key: bool = False) -> DataFrame:
     """One row for each document: doc_id, source, size, source_size, target, copies, and text_key if asked.
 
-    The sources and their sizes are the only thing collected: one row for each source.
+    The sources and their sizes are the only thing collected: one row for each source. Weights go by the sources'
+    order, so a mix is a choice among named sources; more than MOST_SOURCES (hosts, say) are refused.
     """
     spark = docs.sparkSession
     more = ["text_key"] if with_text_key else []
     text_key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
     sized = word_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", *([text_key] if more else [])), ["doc_id", "source", *more])
     base = _shared.written(sized.withColumn("row_key", F.monotonically_increasing_id()), "mix-base")
-    by_source = base.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).collect()
+    by_source = base.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
+    if len(by_source) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
     by_source.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [r["words"] for r in by_source]
     goals = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], sum(sizes), cap)
@@ -81,13 +86,13 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.
         rows.append((r["source"], i, r["words"], float(goal), goal / r["words"] if r["words"] else 0.0, offset(r["source"]), ahead))
         ahead += r["rows"]
     plan = spark.createDataFrame(rows, "source_name string, source_key long, source_size long, target double, rate double, shift double, rows_before long")
-    # One row for each source: small by nature.
+    # MOST_SOURCES rows at most.
     keyed = base.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("source_name"))).drop("source_name")
     tie = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
     keyed = keyed.withColumn("tie", tie).withColumn("one", F.lit(1).cast("long"))
     wanted = max(16, -(-ahead // (rows_per_range // 4)))
-    placed, stats = _ranges.ranged(keyed, KEYS, "one", wanted, rows_per_range)
-    placed = _ranges.with_prefix(placed, stats, KEYS, "one")
+    placed, _ = _ranges.ranged(keyed, KEYS, "one", wanted, rows_per_range)
+    placed = _ranges.with_prefix(placed, KEYS, {"row_rank": "one"})
     rank = F.col("row_rank") - F.col("rows_before")
     copies = F.floor((rank + 1) * F.col("rate") + F.col("shift")) - F.floor(rank * F.col("rate") + F.col("shift"))
     return placed.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), *more)

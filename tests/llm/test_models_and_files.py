@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -91,6 +92,20 @@ def test_counts_are_the_librarys(docs, rows, nothing):
     assert tokencounts.counted(nothing, path).count() == 0
 
 
+def test_long_runs_without_a_space():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, counter = sentencepiece.SentencePieceProcessor(model_file=path), tokencounts.Counter(tokencounts.Merger(tokencounts.pieces_of(path)))
+    r = random.Random(2)
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    texts = [draw("abcdefghijklmnopqrstuvwxyz", 1_000_000), draw("acgt", 50_000), "ab" * 40_000, draw("日本語学a1é😀", 30_000), *(draw("theraninso▁ \n", 400) for _ in range(30))]
+    began = time.time()
+    assert counter.counts(texts[:1]) == [len(library.encode(texts[0]))]
+    assert time.time() - began < 10
+    assert counter.counts(texts) == [len(library.encode(t)) for t in texts]
+
+
 # Operator 4
 
 

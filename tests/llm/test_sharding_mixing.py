@@ -35,6 +35,42 @@ def test_shards_of_equal_texts_stay_together_and_large_groups_are_cut(spark):
     assert all(abs(s - mean) < 0.03 * mean for s in sizes.values())
 
 
+def test_groups_that_fit_a_shard_are_whole(spark):
+    # Many empty texts, which are few bytes, groups of all sizes up to a shard, and one larger.
+    rows = [(f"g{i % 23} " + "x" * (10 * (i % 23)), None) for i in range(2300)] + [("", None)] * 1500 + [("z" * 300, None)] * 900
+    rows = [(i, t) for i, (t, _) in enumerate(rows)]
+    got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=7, rows_per_range=100).collect()
+    share, sizes, homes, slots = sum(len(t) + 8 for _, t in rows) / 7, defaultdict(int), defaultdict(set), defaultdict(list)
+    bytes_of = defaultdict(int)
+    for r in got:
+        t = rows[r.doc_id][1]
+        sizes[r.shard] += r["size"]
+        homes[t].add(r.shard)
+        slots[r.shard].append(r.slot)
+        bytes_of[t] += r["size"]
+    assert len(got) == len(rows)
+    assert all(len(h) == 1 for t, h in homes.items() if bytes_of[t] <= share)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(abs(s - share) <= 0.03 * share for s in sizes.values())
+
+
+def test_more_sources_than_a_mix_has_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    with pytest.raises(ValueError):
+        mixing.mixed(spark.createDataFrame([(i, "a b", f"s{i}") for i in range(3)], "doc_id long, text string, source string"))
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    from lodestone.llm import _ranges
+
+    monkeypatch.setattr(_ranges, "MOST_RANGES", 10)
+    df = spark.range(4000).selectExpr("id as a", "cast(1 as bigint) as one")
+    placed, stats = _ranges.ranged(df, ["a"], "one", 500, 8)
+    assert len(stats) <= 40
+    got = [r.row_rank for r in _ranges.with_prefix(placed, ["a"], {"row_rank": "one"}).orderBy("a").collect()]
+    assert got == list(range(4000))
+
+
 def test_shards_of_nothing(nothing):
     assert sharding.shards(nothing).count() == 0
 
@@ -77,5 +113,5 @@ def test_ranks_are_global_in_small_ranges(spark):
     df = spark.range(5000).selectExpr("id % 7 as a", "id as b", "cast(1 as bigint) as one").repartition(5).cache()
     placed, stats = _ranges.ranged(df, ["a", "b"], "one", 20, 100)
     assert stats["rows"].max() <= 600 and len(stats) > 10
-    got = {(r.a, r.b): (r.row_rank, r.before) for r in _ranges.with_prefix(placed, stats, ["a", "b"], "one").collect()}
+    got = {(r.a, r.b): (r.row_rank, r.before) for r in _ranges.with_prefix(placed, ["a", "b"], {"row_rank": "one", "before": "one"}).collect()}
     assert got == {k: (i, i) for i, k in enumerate(sorted(got))}
