@@ -1,6 +1,6 @@
 """Operator 5, token files with directly addressable codes.
 
-File format (one file for each range of ids; little-endian):
+File format (files of some two million tokens in the order of ids; little-endian):
 
     header    b"LDAC1\\0\\0\\0", then int64: documents, tokens, alphabet size, levels
     widths    one byte a level: bits of a chunk at that level, then padding to 8 bytes
@@ -15,8 +15,10 @@ A code's lowest bits are its chunk at level 0; if the bitmap's bit is set, the r
 place that the number of ones ahead of it names, and so on. So any token is read by one chunk and one rank
 for each level, without decoding what stands before it.
 
-Documents are range-partitioned by id between size-weighted splitters, encoded and written by the tasks,
-each file under a temporary name that is then renamed, so a task that is run again only replaces its file.
+Documents are range-partitioned by id between size-weighted splitters, encoded and written by the tasks, a range
+as one file or several, each under a temporary name that is then renamed, so a task that is run again only replaces
+its files. A task holds one file's tokens, whatever the size of its range. Files go through Arrow's file systems
+(local, HDFS, S3, GCS, Azure), so the folder must be in one of these.
 Words are tokenised once and kept in a bounded cache: the tokenizer's pre-tokens don't cross white space.
 
 Nulls: a null text is an empty document (the end id only); a null doc_id sorts first. Repeated rows are
@@ -26,16 +28,17 @@ documents of their own. An empty table writes no file and gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm import _ranges, _shared
+from lodestone.llm import _ranges, _shared, _words
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
@@ -95,7 +98,7 @@ def encode(doc_ids: np.ndarray, offsets: np.ndarray, tokens: np.ndarray) -> byte
 class Reader:
     """A file's bytes with random access to tokens and documents."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes | memoryview):
         if data[:8] != MAGIC:
             raise ValueError("not a token file")
         n_docs, self.n_tokens, n_alphabet, levels = np.frombuffer(data, "<i8", 4, 8).tolist()
@@ -229,6 +232,8 @@ def write_file(folder: str, name: str, data: bytes) -> None:
     """Under a temporary name first: readers see whole files only, and a task run again replaces its own."""
     from pyarrow import fs
 
+    # Spark's names of S3 are Arrow's by another scheme.
+    folder = re.sub("^s3[an]:", "s3:", folder)
     system, path = fs.FileSystem.from_uri(folder if "://" in folder else folder.removeprefix("file:"))
     system.create_dir(path, recursive=True)
     draft = f"{path}/_{name}.{os.getpid()}.{os.urandom(4).hex()}"
@@ -237,82 +242,90 @@ def write_file(folder: str, name: str, data: bytes) -> None:
     system.move(draft, f"{path}/{name}")
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = END, range_bytes: int = 6 << 20, rows_per_range: int = 100_000) -> int:
-    """Write all ``docs`` to ``folder`` in ascending doc_id order: file k holds the k-th range of ids.
+def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = END, range_bytes: int = 24 << 20, file_tokens: int = 2 << 20) -> int:
+    """Write all ``docs`` to ``folder`` in ascending doc_id order: file r-k holds the k-th part of the r-th range of ids.
 
-    Returns the number of files. What reaches the driver is a row for each range.
+    Returns the number of ranges, which _ranges.MOST_RANGES bounds.
     """
-    spark = docs.sparkSession
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_shared.LOWEST)).alias("id_key"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("text_key", F.xxhash64("text")).withColumn("size", (F.octet_length("text") + 8).cast("long"))
     index = _shared.written(keyed.select("id_key", "text_key", "size"), "token-index")
     total = index.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     keys = ["id_key", "text_key"]
-    wanted = max(1, -(-total // range_bytes))
-    boundaries = _ranges.splitters(index, keys, "size", wanted)
+    boundaries = _ranges.splitters(index, keys, "size", max(1, -(-total // range_bytes)))
     placed = _ranges.assigned(keyed, keys, boundaries)
 
     def run(batches):
         encoder = encoder_for(tokenizer)
-        current, ids, parts = None, [], []
+        current, number, ids, parts, held = None, 0, [], [], 0
 
         def flush():
-            if current is None:
-                return
             ends = np.cumsum([len(p) // 4 for p in parts])
-            write_file(folder, f"ids-{current:08d}.dac", encode(np.array(ids, np.int64), np.r_[0, ends], np.frombuffer(b"".join(parts), "<u4")))
+            write_file(folder, f"ids-{current:06d}-{number:06d}.dac", encode(np.array(ids, np.int64), np.r_[0, ends], np.frombuffer(b"".join(parts), "<u4")))
 
         tail = b"" if end is None else np.array([end], "<u4").tobytes()
         for batch in batches:
-            ranges, doc_ids, texts = (batch.column(k).to_pylist() for k in range(3))
-            for r, d, text in zip(ranges, doc_ids, texts, strict=True):
-                if r != current:
-                    flush()
-                    current, ids, parts = r, [], []
-                ids.append(d)
-                parts.append(encoder.encode(text, tail))
-            yield pa.RecordBatch.from_arrays([pa.array([len(texts)], pa.int64())], names=["rows"])
-        flush()
-
-    n_parts = max(1, len(boundaries) + 1)
+            for i in range(0, batch.num_rows, 256):
+                for r, d, text in zip(*(batch.slice(i, 256).column(k).to_pylist() for k in range(3)), strict=True):
+                    if ids and (r != current or held >= 4 * file_tokens):
+                        flush()
+                        number, ids, parts, held = number + 1, [], [], 0
+                    if r != current:
+                        current, number = r, 0
+                    ids.append(d)
+                    parts.append(encoder.encode(text, tail))
+                    held += len(parts[-1])
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["rows"])
+        if ids:
+            flush()
+        _words.release()
+
+    n_parts = len(boundaries) + 1
     done = placed.select("range_id", "id_key", "text", "text_key").repartition(n_parts, "range_id").sortWithinPartitions("range_id", "id_key", "text_key").select("range_id", "id_key", "text").mapInArrow(run, "rows long")
     done.agg(F.sum("rows")).collect()
     return n_parts
 
 
-DOCUMENTS = "range_id int, place int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
+DOCUMENTS = "range_id int, file int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each document in the files: its range, place, id, start in the file, length and CRC."""
+    """A row for each document in the files: its range, file, id, start in the file, length and CRC."""
 
     def run(batches):
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                reader = Reader(data.as_py())
+            for i in range(batch.num_rows):
+                path = batch.column(0)[i].as_py()
+                reader = Reader(memoryview(batch.column(1)[i].as_buffer()))
                 tokens = reader.tokens().astype("<u4")
-                crcs = [zlib.crc32(tokens[a:b].tobytes()) for a, b in zip(reader.offsets[:-1].tolist(), reader.offsets[1:].tolist(), strict=True)]
-                n = len(crcs)
+                crcs = [zlib.crc32(tokens[a:b]) for a, b in zip(reader.offsets[:-1].tolist(), reader.offsets[1:].tolist(), strict=True)]
+                place = [np.full(len(crcs), int(x), np.int32) for x in path.rsplit("/", 1)[1].split(".")[0].split("-")[1:]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, int(path.rsplit("-", 1)[1].split(".")[0]), np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(reader.doc_ids), pa.array(reader.offsets[:-1]), pa.array(np.diff(reader.offsets)), pa.array(crcs, pa.int64())],
-                    names=["range_id", "place", "doc_id", "local_start", "n_tokens", "ids_crc32"],
+                    [*map(pa.array, place), pa.array(reader.doc_ids), pa.array(reader.offsets[:-1]), pa.array(np.diff(reader.offsets)), pa.array(crcs, pa.int64())],
+                    names=["range_id", "file", "doc_id", "local_start", "n_tokens", "ids_crc32"],
                 )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.dac").load(folder).select("path", "content")
     return files.mapInArrow(run, DOCUMENTS)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, range_bytes: int = 6 << 20) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, range_bytes: int = 24 << 20, file_tokens: int = 2 << 20) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, all from files that were written and read back."""
     spark = docs.sparkSession
     folder = _shared.new_path(spark, "token-files")
     if docs.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    write(docs, folder, tokenizer, range_bytes=range_bytes)
+    write(docs, folder, tokenizer, range_bytes=range_bytes, file_tokens=file_tokens)
     found = _shared.written(read(spark, folder), "token-documents")
-    sizes = found.groupBy("range_id").agg(F.sum("n_tokens").alias("n")).toPandas().sort_values("range_id", ignore_index=True)  # a row for each file
+    # Starts of the files inside their range on the executors, those of the ranges (_ranges.MOST_RANGES rows) on the driver.
+    files = found.groupBy("range_id", "file").agg(F.sum("n_tokens").alias("n"))
+    running = Window.partitionBy("range_id").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = _shared.written(files.withColumn("inside", F.coalesce(F.sum("n").over(running), F.lit(0))), "token-sums")
+    sizes = files.groupBy("range_id").agg(F.sum("n").alias("n")).toPandas().sort_values("range_id", ignore_index=True)
     ahead = spark.createDataFrame([(int(r), int(a)) for r, a in zip(sizes["range_id"], sizes["n"].cumsum() - sizes["n"], strict=True)], "range_id int, ahead long")
-    return found.join(F.broadcast(ahead), "range_id").select(F.nullif("doc_id", F.lit(_shared.LOWEST)).alias("doc_id"), (F.col("ahead") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    starts = files.join(F.broadcast(ahead), "range_id").select("range_id", "file", (F.col("ahead") + F.col("inside")).alias("ahead"))
+    out = _shared.joined(found, starts, ["range_id", "file"], name="token-starts")
+    return out.select(F.nullif("doc_id", F.lit(_shared.LOWEST)).alias("doc_id"), (F.col("ahead") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

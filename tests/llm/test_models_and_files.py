@@ -26,7 +26,7 @@ def test_encoder_gives_the_librarys_ids(rows):
 
     path = public_tokenizers.path(tokenfiles.TOKENIZER)
     library, own = Tokenizer.from_file(path), tokenfiles.Encoder(path, room=20)
-    for text in [*ODD, *((t or "")[:3000] for _, t, *_ in rows)]:
+    for text in [*ODD, *((t or "") for _, t, *_ in rows)]:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
@@ -43,6 +43,23 @@ def test_encoder_cuts_no_mark_from_letters_that_end_in_a_combining_one():
         assert np.frombuffer(own.encode(word), "<u4").tolist() == library.encode(word, add_special_tokens=False).ids, word
 
 
+def strings(n, seed):
+    """Words of all kinds of letters, marks and signs that normalising changes, with and without spaces between."""
+    r = random.Random(seed)
+    kinds = ["abcxyzABCXYZ", "0123456789", ".,;:!?'\"-_()[]<>|", " \t\n\x0b\x85\xa0\u2003\u3000", "\u0130\u0131ßſΣςÄéÅŒ", "\u01c5\u01c8\u01cb\u01f2\u1f88\u1f9c", "\u0300\u0301\u0307\u0323\u0345\u200d\ufe0f", "\u0958\u09df\u09dc\ufb2a\ufb4b\u0f43", "日本語학교العربية", "😀👩🏽\u200b\ufeff"]
+    for _ in range(n):
+        yield "".join(r.choice(r.choice(kinds[: r.randint(1, len(kinds))])) for _ in range(r.randint(1, 24)))
+
+
+def test_encoder_gives_the_librarys_ids_for_any_string():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(tokenfiles.TOKENIZER)
+    library, own = Tokenizer.from_file(path), tokenfiles.Encoder(path, room=5000)
+    for text in strings(20_000, 7):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize(("n", "most"), [(0, 10), (1, 5), (5000, 3), (20_000, 40_000)])
 def test_codes_round_trip_and_random_access(n, most):
     r = np.random.default_rng(n)
@@ -68,8 +85,8 @@ def test_files_in_order(spark, docs, rows, nothing):
     for d, t in sorted(((d, t) for d, t, *_ in rows), key=lambda x: -1 if x[0] is None else x[0]):
         wanted.append((d, at, len(ids[t]), zlib.crc32(ids[t].tobytes())))
         at += len(ids[t])
-    for small in (9000, 6 << 20):
-        got = [tuple(r) for r in tokenfiles.round_trip(docs, path, small).collect()]
+    for ranges, tokens in ((9000, 2 << 20), (6 << 20, 2 << 20), (30_000, 500)):
+        got = [tuple(r) for r in tokenfiles.round_trip(docs, path, ranges, tokens).collect()]
         assert sorted(got, key=lambda r: r[1]) == wanted
     assert tokenfiles.round_trip(nothing, path).count() == 0
 
