@@ -132,14 +132,15 @@ def test_substrings_with_many_salts(spark, same):
     same(substrings.deduped(df), list(brute_substrings(rows)))
 
 
-def brute_quality(rows):
+def brute_quality(rows, by="document"):
     normal = lambda line: re.sub("[0-9]", "0", " ".join(SPACE.findall(line)).translate(LOWER))
     holders, hosts = defaultdict(set), defaultdict(set)
-    for _, t, _, s, *_ in rows:
-        hosts[s].add(t or "")
+    for k, (d, t, _, s, *_) in enumerate(rows):
+        member = (t or "") if by == "text" else ("row", k) if d is None else d
+        hosts[s].add(member)
         for line in (t or "").split("\n"):
             if SPACE.search(line):
-                holders[s, normal(line)].add(t)
+                holders[s, normal(line)].add(member)
     for d, t, _, s, *_ in rows:
         t = t or ""
         w = SPACE.findall(t)
@@ -153,8 +154,8 @@ def brute_quality(rows):
 
 
 def test_quality(docs, rows, nothing, same):
-    wanted = list(brute_quality(rows))
-    same(quality.judged(docs), wanted)
+    for by in ("document", "text"):
+        same(quality.judged(docs, by=by), list(brute_quality(rows, by)))
     assert quality.judged(nothing).count() == 0
 
 
@@ -165,6 +166,16 @@ def test_quality_removes_a_common_line(spark, same):
     same(quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")), out)
 
 
+def test_quality_counts_copies_as_documents_or_one_text(spark, same):
+    text = "these are the words of one page that was copied\nand this is its last line of all"
+    rows = [(i if i < 12 else None, text, "en", "h") for i in range(14)] + [(3, "another text under one of the ids " + text, "en", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for by, kept in (("document", 1), ("text", 15)):
+        out = list(brute_quality(rows, by))
+        same(quality.judged(df, by=by), out)
+        assert sum(x[9] for x in out) == kept
+
+
 def brute_similarity(rows):
     sets, names = [], []
     for d, t, *_ in rows:
