@@ -76,7 +76,7 @@ class Plan:
 
 
 def plan_for(total_bytes: int, order: int, bucket_bytes: int, block_bytes: int) -> Plan:
-    buckets = int(np.clip(-(-total_bytes // bucket_bytes), 1, 65_536))
+    buckets = max(1, -(-total_bytes // bucket_bytes))
     needed = np.log2(max(2, total_bytes / 4)) + 24 - np.log2(buckets)
     return Plan(order, buckets, int(np.clip(np.ceil(needed / 8), 4, 8)), block_bytes)
 
@@ -349,6 +349,9 @@ def learned_weights(cells: list[tuple[int, list[int], int]], uniform: float, ord
         own = bucket == b
         if own.any():
             weights[b] = fitted(p[own], n[own], pooled, 20 * pooled)
+    # A context that was never seen has no longer n-grams: their share goes to the others, so that all sums to one.
+    weights[0, 2:] = 0
+    weights[0] /= weights[0].sum()
     return weights
 
 

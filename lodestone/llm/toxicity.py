@@ -376,7 +376,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model:
     y = learned["toxic"].to_numpy(np.int64)
     if len(np.unique(y)) < 2:
         return constant(share)
-    return fit([t or "" for t in learned["text"]], y, share)
+    texts = [t or "" for t in learned["text"]]
+    del learned
+    model = fit(texts, y, share)
+    _words.release()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
