@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import color
 from lodestone.operators import predicate
 from lodestone.operators.synonyms import Expander
-from lodestone.plans.model import Facet, FacetValue, SearchQuery
+from lodestone.plans.model import Facet, FacetValue, Index, SearchQuery
 from lodestone.settings import Settings
 
 
@@ -89,11 +89,10 @@ def value(value_id: str, label: str, count: int, selected: bool, mode: str) -> F
     return FacetValue(value_id, fits[1] if fits else label, count, selected, fits[2] if fits else None)
 
 
-def vanished_labels(rollup: DataFrame, query: SearchQuery) -> dict[tuple[str, str], str]:
-    """Labels of the selected values (twenty times fifty at most) from the roll-up."""
-    wanted = [(f.attribute, v) for f in query.used_filters for v in f.values]
-    if not wanted:
-        return {}
-    asked = rollup.sparkSession.createDataFrame(wanted, "attr_id string, value_id string")
-    rows = rollup.join(F.broadcast(asked), ["attr_id", "value_id"]).groupBy("attr_id", "value_id").agg(F.min("value").alias("value")).collect()
-    return {(r["attr_id"], r["value_id"]): r["value"] for r in rows}
+def vanished_labels(index: Index, query: SearchQuery, wanted: list[tuple[str, str]]) -> dict[tuple[str, str], str]:
+    """Labels of selected values (twenty times fifty at most) that no row shows: by the roll-up, else by the documents."""
+    asked = index.documents.sparkSession.createDataFrame(wanted, "attr_id string, value_id string")
+    scope = (F.col("shop_id") == query.shop_id) & (F.col("lang_id") == query.lang_id)
+    rows = index.rollup if index.rollup is not None else index.documents.select("shop_id", "lang_id", F.explode("attributes").alias("a")).select("shop_id", "lang_id", "a.attr_id", "a.value_id", "a.value")
+    found = rows.where(scope).join(F.broadcast(asked), ["attr_id", "value_id"]).groupBy("attr_id", "value_id").agg(F.min("value").alias("value")).collect()
+    return {(r["attr_id"], r["value_id"]): r["value"] for r in found}

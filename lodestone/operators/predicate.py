@@ -77,6 +77,28 @@ def matching(documents: DataFrame, links: DataFrame | None, query: SearchQuery,
     return within_category(documents, links, query).where(_all([base_predicate(query, expander, settings), *filters]))
 
 
+def narrowed(documents: DataFrame, postings: DataFrame | None, query: SearchQuery, expander: Expander, settings: Settings) -> DataFrame:
+    """Documents that the term can match, by the postings: the words' prefixes are pushed into their scan.
+
+    A group of alternatives narrows if each of them has a word that is long enough to be looked up; what is
+    left still has to meet the whole predicate.
+    """
+    if postings is None:
+        return documents
+    scope = postings.where((F.col("shop_id") == query.shop_id) & (F.col("lang_id") == query.lang_id) & (F.col("field") == "search"))
+    for group in expander.expand(tokens_of(query.term, 1)):
+        looked = []
+        for words in group:
+            long = [w for w in words if len(w) >= settings.min_token_size]
+            whole = len(long) == len(words) > 1
+            looked.append((max(long, key=len), whole) if long else None)
+        if looked and all(looked):
+            token = F.col("token")
+            found = scope.where(_any([token == F.lit(w) if whole else F.startswith(token, F.lit(w)) for w, whole in looked])).select("id").distinct()
+            documents = documents.join(found, "id", "left_semi")
+    return documents
+
+
 @dataclass(frozen=True)
 class Statistics:
     """Documents of the scope and, for each word and field, how many hold it as a prefix."""
@@ -100,13 +122,18 @@ def statistics(documents: DataFrame, query: SearchQuery, words: list[str]) -> St
     return Statistics(row["n"], {(f, w): row[f"{f}:{i}"] or 0 for f, _ in FIELDS for i, w in enumerate(words)})
 
 
+def frequency(tokens: Column, word: str) -> Column:
+    """How many tokens begin with the word. (A second parameter of the lambda would be the token's place.)"""
+    return F.size(F.filter(tokens, lambda t: F.startswith(t, F.lit(word))))
+
+
 def relevance(words: list[str], stats: Statistics) -> Column:
     """3 * boost + text, each the sum of tf * idf squared if every word is in the field, rounded."""
     import math
 
     total = F.lit(0.0)
     for name, weight in FIELDS:
-        tf = [F.size(F.filter(F.col(name), lambda t, w=w: F.startswith(t, F.lit(w)))) for w in words]
+        tf = [frequency(F.col(name), w) for w in words]
         idf = [math.log10(stats.n / stats.frequency[name, w]) ** 2 if stats.frequency[name, w] else 0.0 for w in words]
         rank = reduce(lambda a, b: a + b, (t * F.lit(i) for t, i in zip(tf, idf, strict=True)))
         total = total + F.when(_all([t > 0 for t in tf]), rank).otherwise(0.0) * weight

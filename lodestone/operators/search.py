@@ -41,7 +41,11 @@ class Engine:
         return not self.index.documents.where((F.col("shop_id") == shop_id) & (F.col("lang_id") == lang_id)).isEmpty()
 
     def matching(self, query: SearchQuery) -> DataFrame:
-        return predicate.matching(self.index.documents, self.index.categories, query, self.expander, self.settings)
+        return predicate.matching(self.narrowed(query), self.index.categories, query, self.expander, self.settings)
+
+    def narrowed(self, query: SearchQuery) -> DataFrame:
+        """The documents that are looked at for a query."""
+        return predicate.narrowed(self.index.documents, self.index.postings, query, self.expander, self.settings)
 
     def count(self, query: SearchQuery) -> int:
         return self.matching(query).agg(F.countDistinct("group_id")).first()[0]
@@ -54,17 +58,20 @@ class Engine:
     def facet_rows(self, query: SearchQuery, unit: str = "groups", mode: str = "exact") -> DataFrame:
         attributes = self.settings.facet_attributes
         if mode == "rollup" and facets.use_rollup(query, self.index.rollup):
-            found = facets.rollup_counts(self.index.documents, self.index.categories, self.index.rollup, query, self.expander, self.settings, attributes)
+            found = facets.rollup_counts(self.narrowed(query), self.index.categories, self.index.rollup, query, self.expander, self.settings, attributes)
         else:
-            found = facets.counts(self.index.documents, self.index.categories, query, self.expander, self.settings, attributes, unit)
+            found = facets.counts(self.narrowed(query), self.index.categories, query, self.expander, self.settings, attributes, unit)
         chosen = {f.attribute: f.values for f in query.used_filters}
         return facets.top_values(found, self.settings.facet_values, chosen)
 
     def facets(self, query: SearchQuery, titles: dict[str, str] | None = None, custom: dict[str, str] | None = None, unit: str = "groups"):
         if not self.settings.facet_attributes:
             return ()
-        labels = facets.vanished_labels(self.index.rollup, query) if self.index.rollup is not None else {}
-        return facets.assembled(self.facet_rows(query, unit).collect(), self.settings.facet_attributes, titles or {}, custom or {}, query, self.settings, labels)
+        rows = self.facet_rows(query, unit).collect()
+        shown = {(r["attr_id"], r["value_id"]) for r in rows}
+        missing = [(f.attribute, v) for f in query.used_filters for v in f.values if (f.attribute, v) not in shown]
+        labels = facets.vanished_labels(self.index, query, missing) if missing else {}
+        return facets.assembled(rows, self.settings.facet_attributes, titles or {}, custom or {}, query, self.settings, labels)
 
     def search(self, query: SearchQuery) -> SearchResult:
         total = self.count(query)
@@ -74,8 +81,8 @@ class Engine:
                 return better
         return self._result(query, total)
 
-    def _result(self, query: SearchQuery, total: int, correction_: Correction | None = None) -> SearchResult:
-        ids = tuple(r["group_id"] for r in self.page(query).select("group_id").collect()) if total and query.limit else ()
+    def _result(self, query: SearchQuery, total: int, correction_: Correction | None = None, page: bool = True) -> SearchResult:
+        ids = tuple(r["group_id"] for r in self.page(query).select("group_id").collect()) if page and total and query.limit else ()
         return SearchResult(query, total, ids, self.facets(query), correction_)
 
     def corrected(self, query: SearchQuery, total: int) -> SearchResult | None:
@@ -92,8 +99,8 @@ class Engine:
         return self._result(changed, hits, noted) if applied else self._result(query, total, noted)
 
     def facets_only(self, query: SearchQuery) -> SearchResult:
-        """Total and facets, with a page of one."""
-        return self.search(query.with_limit(1))
+        """Total and facets; no page is read."""
+        return self._result(query, self.count(query), page=False)
 
     def suggest(self, query: SuggestQuery, categories: DataFrame | None = None) -> SuggestResult:
         term = normalized(query.term)
@@ -126,6 +133,24 @@ class NullEngine:
         return SuggestResult()
 
 
+ENGINES = {"sql": Engine, "none": NullEngine}
+
+
+class Locator:
+    """The engine of each shop by its settings, made once; one that is unknown or has no index is the null engine."""
+
+    def __init__(self, index: Index | None, settings_of):
+        self.index, self.settings_of = index, settings_of
+        self.made: dict[int, Engine | NullEngine] = {}
+
+    def engine(self, shop_id: int) -> Engine | NullEngine:
+        if shop_id not in self.made:
+            settings = self.settings_of(shop_id)
+            kind = ENGINES.get(settings.engine, NullEngine) if self.index is not None else NullEngine
+            self.made[shop_id] = kind() if kind is NullEngine else kind(self.index, settings)
+        return self.made[shop_id]
+
+
 def in_rank_order(ids: DataFrame, articles: DataFrame) -> DataFrame:
     """Articles of an ordered id list (columns pos and id); ids without an article drop out."""
     return ids.join(articles, "id").orderBy("pos")

@@ -156,6 +156,8 @@ class Index:
     dictionary: DataFrame | None = None
     #: Lists that are small by nature.
     rules: list = field(default_factory=list)
+    #: Tokens and the documents that hold them; without it every search looks at all documents.
+    postings: DataFrame | None = None
 
 
 def sort_of(order: str | None) -> str:

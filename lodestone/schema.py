@@ -11,6 +11,7 @@ DOCUMENTS = (
 )
 ROLLUP = "shop_id int, lang_id int, group_id string, attr_id string, value_id string, value string"
 CATEGORY_LINKS = "shop_id int, lang_id int, group_id string, cat_id string"
+POSTINGS = "shop_id int, lang_id int, field string, token string, id string, tf long"
 DICTIONARY = "shop_id int, lang_id int, term string, term_raw string, bucket string, phonetic string, length int, frequency long, source string"
 SEARCH_EVENT = "shop_id int, lang_id int, ts timestamp, request_id string, term_raw string, hits int, corrected string, first_look boolean"
 SEARCH_LOG = "shop_id int, lang_id int, day date, term string, term_raw string, searches long, hits int, corrected string, last_seen timestamp"
