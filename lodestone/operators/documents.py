@@ -119,6 +119,24 @@ def build(tables: dict[str, DataFrame], shop_id: int, lang_id: int, settings: Se
     )
 
 
+def scope_count(articles: DataFrame) -> int:
+    """How many documents a scope will have."""
+    return searchable_articles(articles).count()
+
+
+def batch(tables, shop_id: int, lang_id: int, settings: Settings, now: datetime, after: str = "", size: int = 200) -> tuple[DataFrame, str]:
+    """(documents of the next ``size`` articles by id, the last of these ids); an empty batch keeps the cursor."""
+    ids = searchable_articles(tables["articles"]).where(F.col("id") > after).select(F.col("id").alias("article_id")).orderBy("article_id").limit(size)
+    last = ids.agg(F.max("article_id")).first()[0] or after
+    built = build(tables, shop_id, lang_id, settings, now)
+    return built.where((F.col("article_id") > after) & (F.col("article_id") <= last)), last
+
+
+def assignments(documents: DataFrame) -> DataFrame:
+    """How many category assignments the documents of each scope hold."""
+    return documents.groupBy("shop_id", "lang_id").agg(F.sum(F.size("category_ids")).cast("long").alias("assignments"))
+
+
 def flattened(documents: DataFrame) -> DataFrame:
     """Documents with facet fields as maps: attribute to value ids, and to packed ids and labels."""
     names = F.array_distinct(F.transform("attributes", lambda a: a["attr_id"]))
@@ -133,7 +151,7 @@ def flattened(documents: DataFrame) -> DataFrame:
 def postings(documents: DataFrame) -> DataFrame:
     """token, id, field, tf, sorted by token, so that a prefix reads few row groups at scale."""
     both = documents.select("shop_id", "lang_id", "id", F.lit("search").alias("field"), F.explode("search_tokens").alias("token")).unionByName(documents.select("shop_id", "lang_id", "id", F.lit("boost").alias("field"), F.explode("boost_tokens").alias("token")))
-    return both.groupBy("shop_id", "lang_id", "field", "token", "id").agg(F.count("*").alias("tf")).repartitionByRange("token").sortWithinPartitions("token")
+    return both.groupBy("shop_id", "lang_id", "field", "token", "id").agg(F.count("*").alias("tf")).repartitionByRange("shop_id", "lang_id", "token").sortWithinPartitions("shop_id", "lang_id", "token")
 
 
 def by_postings(documents: DataFrame, index: DataFrame, word: str, field: str = "search") -> DataFrame:

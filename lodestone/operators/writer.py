@@ -14,17 +14,26 @@ from pyspark.sql import functions as F
 
 from lodestone import schema
 from lodestone.operators import categories, dictionary, rollup
+from lodestone.operators import documents as documents_of
 from lodestone.plans.model import Index
 
-LAYOUT = {"documents": schema.DOCUMENTS, "rollup": schema.ROLLUP, "categories": schema.CATEGORY_LINKS, "dictionary": schema.DICTIONARY}
+LAYOUT = {"documents": schema.DOCUMENTS, "rollup": schema.ROLLUP, "categories": schema.CATEGORY_LINKS, "dictionary": schema.DICTIONARY, "postings": schema.POSTINGS}
 POINTER = "CURRENT"
 
 
 class IndexWriter:
+    """Versions of the index under one folder.
+
+    A version holds the partitions (dataset and scope) that its run wrote; the pointer's file says for every
+    partition of the live index which version has it, so what a run leaves alone is neither read nor copied.
+    """
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self.staging: str | None = None
         self.scopes: list[tuple[int, int]] = []
+        #: Scopes whose links were left as they are, since too few were found.
+        self.refused: frozenset[str] = frozenset()
 
     # Files go through Hadoop's API, so the folder may be in any store that Spark reads.
     def _path(self, *parts: str):
@@ -33,29 +42,63 @@ class IndexWriter:
     def _files(self):
         return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def live(self) -> str | None:
+    def manifest(self) -> dict | None:
+        """version, and parts: for each dataset the version of each scope ("shop/lang")."""
         if not self._files().exists(self._path(POINTER)):
             return None
-        return json.loads("".join(r["value"] for r in self.spark.read.text(f"{self.folder}/{POINTER}").collect()))["version"]
+        return json.loads("".join(r["value"] for r in self.spark.read.text(f"{self.folder}/{POINTER}").collect()))
+
+    def live(self) -> str | None:
+        found = self.manifest()
+        return found["version"] if found else None
+
+    def versions(self) -> set[str]:
+        """All versions that the live index has a part in."""
+        found = self.manifest()
+        return {found["version"], *(v for scopes in found["parts"].values() for v in scopes.values())} if found else set()
 
-    def _read(self, version: str, name: str) -> DataFrame:
-        path = self._path(version, name)
-        if not self._files().exists(path):
-            return self.spark.createDataFrame([], LAYOUT[name])
-        return self.spark.read.schema(LAYOUT[name]).parquet(path.toString())
+    def last_write(self) -> float | None:
+        """Seconds since the epoch when the live index was published."""
+        if not self._files().exists(self._path(POINTER)):
+            return None
+        return self._files().getFileStatus(self._path(POINTER)).getModificationTime() / 1000
+
+    def _scopes_in(self, version: str, name: str) -> list[str]:
+        """The scopes whose partitions a version has of a dataset."""
+        out, top = [], self._path(version, name)
+        if self._files().exists(top):
+            for shop in self._files().listStatus(top):
+                if shop.getPath().getName().startswith("shop_id="):
+                    langs = [x.getPath().getName() for x in self._files().listStatus(shop.getPath())]
+                    out += [f"{shop.getPath().getName()[8:]}/{x[8:]}" for x in langs if x.startswith("lang_id=")]
+        return out
+
+    def _parts(self, name: str, scopes: dict[str, str]) -> DataFrame:
+        """Rows of the partitions, each from its version."""
+        empty, out = self.spark.createDataFrame([], LAYOUT[name]), None
+        for version in sorted(set(scopes.values())):
+            base = f"{self.folder}/{version}/{name}"
+            paths = [f"{base}/shop_id={shop}/lang_id={lang}" for shop, lang in (s.split("/") for s, v in scopes.items() if v == version)]
+            found = self.spark.read.schema(LAYOUT[name]).option("basePath", base).parquet(*paths)
+            out = found if out is None else out.unionByName(found)
+        return empty if out is None else out.select(*empty.columns)
+
+    def _staged(self, name: str) -> DataFrame:
+        return self._parts(name, dict.fromkeys(self._scopes_in(self.staging, name), self.staging))
 
     def index(self) -> Index | None:
-        version = self.live()
-        return Index(*(self._read(version, n) for n in LAYOUT)) if version else None
+        found = self.manifest()
+        return Index(**{n: self._parts(n, found["parts"].get(n, {})) for n in LAYOUT}) if found else None
 
     def begin(self, scopes: list[tuple[int, int]]) -> None:
+        """No scopes stand for all: then nothing of the live index is kept."""
         if self.staging is not None:
             raise RuntimeError("a rebuild is running")
-        self.staging, self.scopes = f"v{uuid.uuid4().hex}", list(scopes)
+        self.staging, self.scopes, self.refused = f"v{uuid.uuid4().hex}", list(scopes), frozenset()
 
     def resume(self, version: str, scopes: list[tuple[int, int]]) -> None:
         """Goes on with what an earlier run has staged."""
-        self.staging, self.scopes = version, list(scopes)
+        self.staging, self.scopes, self.refused = version, list(scopes), frozenset()
 
     def clear(self) -> None:
         self._files().delete(self._path(self.staging), True)
@@ -65,54 +108,94 @@ class IndexWriter:
             raise RuntimeError("no rebuild is running")
         documents.write.mode("append").partitionBy("shop_id", "lang_id").parquet(f"{self.folder}/{self.staging}/documents")
 
-    def _other_scopes(self, df: DataFrame) -> DataFrame:
-        own = F.lit(False)
-        for shop, lang in self.scopes:
-            own = own | ((F.col("shop_id") == shop) & (F.col("lang_id") == lang))
-        return df.where(~own) if self.scopes else df.limit(0)
+    def _put(self, name: str, df: DataFrame) -> None:
+        """Derived rows replace those of their scopes: a commit that is done twice changes nothing."""
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shop_id", "lang_id").parquet(f"{self.folder}/{self.staging}/{name}")
 
-    def _put(self, name: str, df: DataFrame, mode: str = "append") -> None:
-        df.write.mode(mode).partitionBy("shop_id", "lang_id").parquet(f"{self.folder}/{self.staging}/{name}")
+    def _own(self, staged: DataFrame) -> list[tuple[int, int]]:
+        """The scopes of the run, by the staged documents if it is for all."""
+        return self.scopes or sorted((r["shop_id"], r["lang_id"]) for r in staged.select("shop_id", "lang_id").distinct().collect())
 
     def commit(self, object2category: DataFrame | None = None, force: bool = False) -> list[categories.RebuildResult]:
-        """Roll-up, links and dictionary of the staged documents; then the pointer moves."""
+        """Roll-up, links, dictionary and postings of the staged documents; then the pointer moves.
+
+        Without assignments the live links stay, for the products that are still there.
+        """
         if self.staging is None:
             raise RuntimeError("no rebuild is running")
-        staged, before = self._read(self.staging, "documents"), self.live()
+        staged, before = self._staged("documents"), self.manifest()
         self._put("rollup", rollup.build(rollup.attribute_rows(staged)))
         self._put("dictionary", dictionary.build(staged))
-        outcome = []
+        self._put("postings", documents_of.postings(staged))
+        outcome: list[categories.RebuildResult] = []
         if object2category is not None:
             outcome = self._links(staged, object2category, before, force)
-        if before:
-            for name in LAYOUT:
-                kept = self._other_scopes(self._read(before, name))
-                if not kept.isEmpty():
-                    self._put(name, kept)
-        self._publish(self.staging)
+        elif before:
+            live = self._parts("categories", before["parts"].get("categories", {}))
+            self._put("categories", live.join(staged.select("shop_id", "lang_id", "group_id").distinct(), ["shop_id", "lang_id", "group_id"], "left_semi"))
+        self._publish(self._after(before, {f"{s}/{x}" for s, x in self._own(staged)}, set(LAYOUT)))
         self.staging = None
         return outcome
 
-    def _links(self, staged: DataFrame, object2category: DataFrame, before: str | None, force: bool) -> list[categories.RebuildResult]:
+    def _after(self, before: dict | None, own: set[str], written: set[str]) -> dict:
+        """The live parts once this run's partitions have taken their places.
+
+        A partition of an own scope that a written dataset lacks is gone, but for links whose rebuild was refused.
+        """
+        parts = {}
+        for name in LAYOUT:
+            old = before["parts"].get(name, {}) if before else {}
+            there = dict.fromkeys(self._scopes_in(self.staging, name), self.staging)
+            keep = {s: v for s, v in old.items() if name not in written or (s in self.refused if s in own and name == "categories" else self.scopes and s not in own)}
+            parts[name] = keep | there
+        return {"version": self.staging, "parts": parts}
+
+    def _links(self, staged: DataFrame, object2category: DataFrame, before: dict | None, force: bool) -> list[categories.RebuildResult]:
         found = categories.links(staged, object2category)
         new = {(r["shop_id"], r["lang_id"]): r["count"] for r in found.groupBy("shop_id", "lang_id").count().collect()}
-        live = self._read(before, "categories") if before else None
+        live = self._parts("categories", before["parts"].get("categories", {})) if before else None
         old = {(r["shop_id"], r["lang_id"]): r["count"] for r in live.groupBy("shop_id", "lang_id").count().collect()} if live is not None else {}
-        outcome = []
-        for scope in self.scopes:
-            here = (F.col("shop_id") == scope[0]) & (F.col("lang_id") == scope[1])
-            if force or categories.plausible(new.get(scope, 0), old.get(scope, 0)):
-                self._put("categories", found.where(here))
-                outcome.append(categories.RebuildResult(new.get(scope, 0), old.get(scope, 0)))
+        outcome, refused, taken = [], set(), F.lit(False)
+        for scope in self._own(staged):
+            good = force or categories.plausible(new.get(scope, 0), old.get(scope, 0))
+            if good:
+                taken = taken | ((F.col("shop_id") == scope[0]) & (F.col("lang_id") == scope[1]))
             else:
-                self._put("categories", live.where(here))
-                outcome.append(categories.RebuildResult(new.get(scope, 0), old[scope], True))
+                refused.add(f"{scope[0]}/{scope[1]}")
+            outcome.append(categories.RebuildResult(new.get(scope, 0), old.get(scope, 0), not good))
+        self._put("categories", found.where(taken))
+        self.refused = frozenset(refused)
         return outcome
 
-    def _publish(self, version: str) -> None:
-        draft = self._path(f"{POINTER}.{version}")
+    def rebuild_categories(self, object2category: DataFrame, force: bool = False) -> list[categories.RebuildResult]:
+        """New links for the documents that are live, and their category ids with them; no document is built anew.
+
+        A scope that would lose more than half of its links keeps what it has, unless forced.
+        """
+        before = self.manifest()
+        if before is None:
+            return []
+        documents = self._parts("documents", before["parts"]["documents"])
+        self.begin([tuple(int(x) for x in s.split("/")) for s in sorted(before["parts"]["documents"])])
+        try:
+            outcome = self._links(documents, object2category, before, force)
+            ids = self._staged("categories").groupBy("shop_id", "lang_id", "group_id").agg(F.array_sort(F.collect_list("cat_id")).alias("found"))
+            changed = documents.join(ids, ["shop_id", "lang_id", "group_id"], "left").withColumn("category_ids", F.coalesce("found", F.array().cast("array<string>")))
+            if self.refused:
+                changed = changed.where(~F.concat_ws("/", "shop_id", "lang_id").isin(*self.refused))
+            self._put("documents", changed.select(*documents.columns))
+            after = self._after(before, set(before["parts"]["documents"]), {"categories"})
+            self._publish(after)
+        except Exception:
+            self.rollback()
+            raise
+        self.staging = None
+        return outcome
+
+    def _publish(self, after: dict) -> None:
+        draft = self._path(f"{POINTER}.{after['version']}")
         out = self._files().create(draft, True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
+        out.write(bytearray(json.dumps(after).encode()))
         out.close()
         context = self.spark.sparkContext
         fs = context._jvm.org.apache.hadoop.fs
@@ -128,13 +211,18 @@ class IndexWriter:
             self.staging = None
 
     def delete(self, document_ids: list[str]) -> None:
-        """Takes documents out of every dataset: a new version without them, derived tables included."""
+        """Takes documents out of every dataset: only the scopes that hold one are written anew."""
         index = self.index()
         if index is None:
             return
-        scopes = [(r["shop_id"], r["lang_id"]) for r in index.documents.select("shop_id", "lang_id").distinct().collect()]
-        links = index.categories
-        self.begin(scopes)
-        left = index.documents.where(~F.col("id").isin(document_ids))
-        self.write(left)
-        self.commit(links.select(F.col("group_id").alias("object_id"), "cat_id").distinct(), force=True)
+        hit = index.documents.where(F.col("id").isin(document_ids)).select("shop_id", "lang_id").distinct().collect()
+        if not hit:
+            return
+        self.begin([(r["shop_id"], r["lang_id"]) for r in hit])
+        try:
+            touched = F.concat_ws("/", "shop_id", "lang_id").isin(*(f"{s}/{x}" for s, x in self.scopes))
+            self.write(index.documents.where(touched & ~F.col("id").isin(document_ids)))
+            self.commit()
+        except Exception:
+            self.rollback()
+            raise

@@ -24,8 +24,13 @@ class Store:
         path = f"{self.folder}/{name}"
         return self.spark.read.schema(layout).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], layout)
 
-    def _replace(self, name: str, layout: str, rows: list[tuple], parts: list[str]) -> None:
-        """Overwrites the partitions of the rows' scope alone."""
+    def _replace(self, name: str, layout: str, rows: list[tuple], scope: dict[str, int]) -> None:
+        """Overwrites the partition of a scope alone; without rows it goes."""
+        parts = list(scope)
+        if not rows:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, name, *(f"{k}={v}" for k, v in scope.items())]))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            return
         self.spark.createDataFrame(rows, layout).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{self.folder}/{name}")
 
     def attributes(self, shop_id: int) -> list:
@@ -43,7 +48,7 @@ class Store:
     def save_attributes(self, shop_id: int, entries: list[tuple[str, bool, bool, str]]) -> int:
         """(attribute, facet, searchable, display) in their order; entries without a role are dropped."""
         kept = [e for e in dict((e[0], e) for e in entries).values() if e[1] or e[2]]
-        self._replace("attribute_config", schema.ATTRIBUTE_CONFIG, [(shop_id, a, f, s, display_mode(d), 10 * (i + 1)) for i, (a, f, s, d) in enumerate(kept)], ["shop_id"])
+        self._replace("attribute_config", schema.ATTRIBUTE_CONFIG, [(shop_id, a, f, s, display_mode(d), 10 * (i + 1)) for i, (a, f, s, d) in enumerate(kept)], {"shop_id": shop_id})
         return len(kept)
 
     def titles(self, shop_id: int, lang_id: int) -> dict[str, str]:
@@ -52,7 +57,7 @@ class Store:
 
     def save_titles(self, shop_id: int, titles: dict[tuple[str, int], str]) -> int:
         rows = [(shop_id, a, lang, t.strip()[:LONGEST_TITLE]) for (a, lang), t in titles.items() if t.strip()]
-        self._replace("attribute_titles", schema.ATTRIBUTE_TITLES, rows, ["shop_id"])
+        self._replace("attribute_titles", schema.ATTRIBUTE_TITLES, rows, {"shop_id": shop_id})
         return len(rows)
 
     def rules(self, shop_id: int, lang_id: int) -> list[Rule]:
@@ -65,7 +70,7 @@ class Store:
     def save_rules(self, shop_id: int, lang_id: int, rules: list[Rule]) -> int:
         """Incomplete rules are dropped, lists cleaned; returns how many were kept."""
         kept = [r for r in rules if r.complete]
-        self._replace("synonyms", schema.SYNONYMS, [(shop_id, lang_id, r.kind, r.term.strip(), ", ".join(list_of(r.synonyms)), r.active, i + 1) for i, r in enumerate(kept)], ["shop_id", "lang_id"])
+        self._replace("synonyms", schema.SYNONYMS, [(shop_id, lang_id, r.kind, r.term.strip(), ", ".join(list_of(r.synonyms)), r.active, i + 1) for i, r in enumerate(kept)], {"shop_id": shop_id, "lang_id": lang_id})
         return len(kept)
 
 
@@ -79,6 +84,13 @@ def unused_attributes(attributes: DataFrame, configured: list[str]) -> DataFrame
     return available_attributes(attributes).where(~F.col("id").isin(configured or [""]))
 
 
+def configured_attributes(configured: DataFrame, attributes: DataFrame, object2attribute: DataFrame) -> DataFrame:
+    """The configured attributes in their order, with title (the id if the attribute is gone), roles and sample values."""
+    titles = available_attributes(attributes).select(F.col("id").alias("attr_id"), "title")
+    out = configured.join(titles, "attr_id", "left").join(sample_values(object2attribute), "attr_id", "left")
+    return out.select("attr_id", F.coalesce("title", "attr_id").alias("title"), "facet", "searchable", "display", "sort", F.coalesce("sample", F.lit("")).alias("sample")).orderBy("sort", "attr_id")
+
+
 def sample_values(object2attribute: DataFrame, per_attribute: int = 3, longest: int = 32) -> DataFrame:
     """attr_id, sample: the first distinct values of each attribute, cut and joined."""
     from pyspark.sql import Window
