@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +13,13 @@ from lodestone.functions.text import normalize
 
 
 def searches(events: DataFrame) -> DataFrame:
-    """Events that count: first looks for something that is a term, each once for a request and term."""
-    found = events.where("first_look").withColumn("term", normalize(F.col("term_raw"))).where("term <> ''").where(noise.reason(F.col("term_raw")).isNull())
+    """Events that count: first looks for something that is a term, each once for a request and term.
+
+    Each distinct spelling is normalised and judged once, however often it was searched.
+    """
+    looks = events.where("first_look")
+    spellings = looks.select("term_raw").distinct().where(noise.reason(F.col("term_raw")).isNull()).withColumn("term", normalize(F.col("term_raw"))).where("term <> ''")
+    found = looks.join(spellings, "term_raw")
     return found.groupBy("shop_id", "lang_id", "request_id", "term").agg(F.max_by(F.struct("ts", "term_raw", "hits", "corrected"), F.struct("ts", "term_raw", "hits")).alias("x")).select("shop_id", "lang_id", "term", "x.*")
 
 
@@ -73,6 +78,32 @@ def bars(points: DataFrame) -> DataFrame:
     return points.join(F.broadcast(top)).withColumn("height", height.cast("int")).drop("top")  # one row
 
 
+LIMITS = (10, 25, 50)
+
+
+def report(log: DataFrame, shop_id: int, lang_id: int, period: Period, today: date, limit: int = 25, hide_noise: bool = True) -> dict:
+    """What a report shows: summary with the share of searches without hits, top terms, terms without hits and a chart.
+
+    ``limit`` is one of LIMITS, else the middle one; noise that an older log holds is hidden and its terms counted.
+    """
+    limit = limit if limit in LIMITS else LIMITS[1]
+    rows = within(log, shop_id, lang_id, period.start, period.end)
+    spellings = annotated(rows.select("term_raw").distinct())
+    words = rows.join(spellings.where("reason IS NULL").select("term_raw"), "term_raw", "left_semi") if hide_noise else rows
+    total = summary(words).first()
+    points = bars(series(log, shop_id, lang_id, period, today)).orderBy("bucket")
+    return {
+        **total.asDict(), "zero_share": zero_share(total["searches"], total["zero_searches"]), "noise_terms": spellings.where("reason IS NOT NULL").count(),
+        "top": [r.asDict() for r in top_terms(words, limit).collect()], "without_hits": [r.asDict() for r in zero_hits(words, limit).collect()], "chart": [r.asDict() for r in points.collect()],
+    }
+
+
+def last_days(log: DataFrame, shop_id: int, lang_id: int, days: int, today: date, limit: int = 25) -> dict:
+    """The report of the last ``days`` days, today included."""
+    start = today - timedelta(days=max(1, days) - 1)
+    return report(log, shop_id, lang_id, Period("days", start, today, False, start), today, limit)
+
+
 def annotated(rows: DataFrame) -> DataFrame:
     """Terms with the reason why they are noise, null for words."""
     return rows.withColumn("reason", noise.reason(F.col("term_raw")))

@@ -149,9 +149,16 @@ def has(word: str, field: str = "st") -> str:
 _INDEXES: dict[tuple, DataFrame] = {}
 
 
+def files_of(spark: SparkSession, folder: str) -> tuple:
+    """Name, size and time of the tables in a folder: an index made from others is made anew."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found))
+
+
 def once(spark: SparkSession, name: str, folder: str, settings: Settings, make: Callable[[], DataFrame]) -> DataFrame:
     """A derived table, written when it is first asked for: an index is built once and searched often."""
-    key = (spark.sparkContext.applicationId, name, folder, settings.inherit_attributes)
+    key = (spark.sparkContext.applicationId, name, folder, repr(settings), files_of(spark, folder))
     if key not in _INDEXES:
         _INDEXES[key] = staging.staged(make(), name)
     return _INDEXES[key]
@@ -173,7 +180,8 @@ def rollup_of(spark: SparkSession, folder: str) -> DataFrame:
 def engine(spark: SparkSession, folder: str, rules: list[Rule] | None = None, derived: bool = False, settings: Settings = SETTINGS) -> Engine:
     tables, docs = built(spark, folder, settings)
     links = once(spark, "links", folder, settings, lambda: categories.links(docs, tables["object2category"]))
-    index = Index(docs, rollup_of(spark, folder) if derived else None, links, dictionary_of(spark, folder) if derived else None, rules or [])
+    postings = once(spark, "postings", folder, settings, lambda: documents.postings(docs))
+    index = Index(docs, rollup_of(spark, folder) if derived else None, links, dictionary_of(spark, folder) if derived else None, rules or [], postings)
     return Engine(index, settings)
 
 
@@ -362,7 +370,7 @@ def search_case(name: str, q: SearchQuery, where: str, rules: list[Rule] | None
 
 
 search_case("search_prefix", replace(Q, term="Re"), "contains(boost_text, 're')")
-search_case("search_prefix_long", replace(Q, term="pro gree"), f"{has('pro')} AND {has('gree')}")
+search_case("search_prefix_long", replace(Q, term="pro sma"), f"{has('pro')} AND {has('sma')}")
 search_case("search_phrase", replace(Q, term="low price"), f"({has('economy')} OR {has('cheap')} OR contains(' ' || search_text || ' ', ' low price '))", RULES)
 search_case("search_short_token", replace(Q, term="gr 38 art"), f"contains(boost_text, 'gr') AND contains(boost_text, '38') AND {has('art')}")
 search_case("search_synonym_and_or", replace(Q, term="crimson widget"), f"({has('red')} OR {has('crimson')} OR {has('ruby')}) AND {has('widget')}", RULES)
@@ -378,10 +386,10 @@ def _(spark, folder):
     return engine(spark, folder).matching(replace(Q, term="pro")).agg(F.countDistinct("group_id").alias("total"))
 
 
-@query("postings_prefix", INDEX + f" SELECT id FROM d WHERE {has('gre')}")
+@query("postings_prefix", INDEX + f" SELECT id FROM d WHERE {has('sma')}")
 def _(spark, folder):
     docs = built(spark, folder)[1]
-    return documents.by_postings(docs, documents.postings(docs), "gre").select("id")
+    return documents.by_postings(docs, once(spark, "postings", folder, SETTINGS, lambda: documents.postings(docs)), "sma").select("id")
 
 
 ORDERS = {
@@ -410,16 +418,16 @@ def tf(word: str, field: str) -> str:
 
 
 RELEVANCE_SQL = f"""
-stats AS (SELECT count(*)::DOUBLE AS n, {", ".join(f"sum(({tf(w, f)} > 0)::INT)::DOUBLE AS {f}_{w}" for f in ("bt", "st") for w in ("pro", "gre"))} FROM d),
+stats AS (SELECT count(*)::DOUBLE AS n, {", ".join(f"sum(({tf(w, f)} > 0)::INT)::DOUBLE AS {f}_{w}" for f in ("bt", "st") for w in ("pro", "sma"))} FROM d),
 scored AS (SELECT group_id, sold, round(
-   3 * CASE WHEN {tf('pro', 'bt')} > 0 AND {tf('gre', 'bt')} > 0 THEN {tf('pro', 'bt')} * power(log10(n / bt_pro), 2) + {tf('gre', 'bt')} * power(log10(n / bt_gre), 2) ELSE 0 END
-   + CASE WHEN {tf('pro', 'st')} > 0 AND {tf('gre', 'st')} > 0 THEN {tf('pro', 'st')} * power(log10(n / st_pro), 2) + {tf('gre', 'st')} * power(log10(n / st_gre), 2) ELSE 0 END, 6) AS score
-   FROM d, stats WHERE visible AND {has('pro')} AND {has('gre')})"""
+   3 * CASE WHEN {tf('pro', 'bt')} > 0 AND {tf('sma', 'bt')} > 0 THEN {tf('pro', 'bt')} * power(log10(n / bt_pro), 2) + {tf('sma', 'bt')} * power(log10(n / bt_sma), 2) ELSE 0 END
+   + CASE WHEN {tf('pro', 'st')} > 0 AND {tf('sma', 'st')} > 0 THEN {tf('pro', 'st')} * power(log10(n / st_pro), 2) + {tf('sma', 'st')} * power(log10(n / st_sma), 2) ELSE 0 END, 6) AS score
+   FROM d, stats WHERE visible AND {has('pro')} AND {has('sma')})"""
 
 
 @query("sort_relevance", INDEX + f", {RELEVANCE_SQL} SELECT group_id, max(score) AS score FROM scored GROUP BY group_id ORDER BY max(score) DESC, max(sold) DESC, group_id LIMIT 20")
 def _(spark, folder):
-    return engine(spark, folder).page(replace(Q, term="pro gre", limit=20)).select("group_id", "score")
+    return engine(spark, folder).page(replace(Q, term="pro sma", limit=20)).select("group_id", "score")
 
 
 @query("articles_in_rank_order", INDEX + " SELECT row_number() OVER (ORDER BY max(sold) DESC, group_id) - 1 AS pos, group_id AS id FROM d WHERE visible GROUP BY group_id")
@@ -428,7 +436,10 @@ def _(spark, folder):
 
     docs = built(spark, folder)[1].where("visible")
     best = docs.groupBy("group_id").agg(F.max("sold").alias("sold"))
-    ids = best.select((F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("sold"), "group_id")) - 1).cast("long").alias("pos"), F.col("group_id").alias("id"))
+    # Ranks by value: products that sell alike share a range, and the ranges' sizes, a row for each value, go before.
+    sales = best.groupBy("sold").agg(F.count("*").alias("n"))
+    ahead = sales.alias("x").join(sales.alias("y"), F.col("y.sold") > F.col("x.sold"), "left").groupBy("x.sold").agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("ahead"))
+    ids = best.join(ahead, "sold").select((F.col("ahead") + F.row_number().over(Window.partitionBy("sold").orderBy("group_id")) - 1).cast("long").alias("pos"), F.col("group_id").alias("id"))
     return in_rank_order(ids, docs.select(F.col("group_id").alias("id")).distinct())
 
 
@@ -526,10 +537,10 @@ def typos(words: DataFrame, least: int, most: int) -> DataFrame:
   asked AS (SELECT token FROM typo WHERE token NOT IN (SELECT term FROM dict)),
   pairs AS (SELECT token, term, frequency, damerau_levenshtein(token, term) AS distance FROM asked JOIN dict ON frequency >= 2 AND len BETWEEN length(token) - 1 AND length(token) + 1 AND substr(token, 1, 2) = substr(term, 1, 2)),
   best AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, frequency DESC, term) AS k FROM pairs WHERE distance <= 1)
-  SELECT token, distance::INT AS distance FROM best WHERE k = 1""")
+  SELECT token, term, distance::INT AS distance, frequency FROM best WHERE k = 1""")
 def _(spark, folder):
     d = dictionary_of(spark, folder)
-    return correction.best(typos(d, 4, 6), d, SETTINGS).select("token", "distance")
+    return correction.best(typos(d, 4, 6), d, SETTINGS)
 
 
 @query("correct_budget2")
@@ -538,10 +549,10 @@ def _(spark, folder):
     return correction.best(typos(d, 7, 64), d, SETTINGS)
 
 
-@query("suggest_products", INDEX + f", stats AS (SELECT count(*)::DOUBLE AS n, sum(({tf('gree', 'bt')} > 0)::INT)::DOUBLE AS b, sum(({tf('gree', 'st')} > 0)::INT)::DOUBLE AS s FROM d)"
-       f" SELECT group_id FROM d, stats WHERE visible AND {has('gree')} GROUP BY group_id ORDER BY max(round(3 * {tf('gree', 'bt')} * power(log10(n / b), 2) + {tf('gree', 'st')} * power(log10(n / s), 2), 6)) DESC, max(sold) DESC, group_id LIMIT 6")
+@query("suggest_products", INDEX + f", stats AS (SELECT count(*)::DOUBLE AS n, sum(({tf('larg', 'bt')} > 0)::INT)::DOUBLE AS b, sum(({tf('larg', 'st')} > 0)::INT)::DOUBLE AS s FROM d)"
+       f" SELECT group_id FROM d, stats WHERE visible AND {has('larg')} GROUP BY group_id ORDER BY max(round(3 * {tf('larg', 'bt')} * power(log10(n / b), 2) + {tf('larg', 'st')} * power(log10(n / s), 2), 6)) DESC, max(sold) DESC, group_id LIMIT 6")
 def _(spark, folder):
-    return engine(spark, folder).page(replace(Q, term="gree", limit=6)).select("group_id")
+    return engine(spark, folder).page(replace(Q, term="larg", limit=6)).select("group_id")
 
 
 @query("suggest_categories", f"WITH {shop('categories')} SELECT id, title FROM categories WHERE active AND NOT hidden AND contains(lower(title), 'a') ORDER BY starts_with(lower(title), 'a') DESC, length(title), id LIMIT 7")
@@ -572,14 +583,14 @@ def _(spark, folder):
     return log_of(spark, folder).drop("corrected").withColumn("day", F.col("day").cast("string"))
 
 
-@query("log_top_terms", LOG_SQL + " SELECT term, sum(searches)::BIGINT AS searches, max(hits) AS hits, max(last_seen) AS last_seen FROM part_log GROUP BY term ORDER BY 2 DESC, 1 LIMIT 25")
+@query("log_top_terms", LOG_SQL + " SELECT term, arg_max(term_raw, {'a': last_seen, 'b': term_raw}) AS term_raw, sum(searches)::BIGINT AS searches, max(hits) AS hits, max(last_seen) AS last_seen FROM part_log GROUP BY term ORDER BY 3 DESC, 1 LIMIT 25")
 def _(spark, folder):
-    return reports.top_terms(part_log(spark, folder), 25).drop("term_raw")
+    return reports.top_terms(part_log(spark, folder), 25)
 
 
-@query("log_zero_hits", LOG_SQL + " SELECT term, sum(searches)::BIGINT AS searches, max(last_seen) AS last_seen FROM part_log GROUP BY term HAVING max(day) = max(CASE WHEN hits = 0 THEN day END) ORDER BY 2 DESC, 1 LIMIT 25")
+@query("log_zero_hits", LOG_SQL + " SELECT term, arg_max(term_raw, {'a': last_seen, 'b': term_raw}) AS term_raw, sum(searches)::BIGINT AS searches, max(last_seen) AS last_seen FROM part_log GROUP BY term HAVING max(day) = max(CASE WHEN hits = 0 THEN day END) ORDER BY 3 DESC, 1 LIMIT 25")
 def _(spark, folder):
-    return reports.zero_hits(part_log(spark, folder), 25).drop("term_raw")
+    return reports.zero_hits(part_log(spark, folder), 25)
 
 
 @query("log_summary", LOG_SQL + " SELECT sum(searches)::BIGINT AS searches, count(DISTINCT term) AS terms, sum(CASE WHEN hits = 0 THEN searches END)::BIGINT AS zero_searches, count(DISTINCT CASE WHEN hits = 0 THEN term END) AS zero_terms FROM part_log")
@@ -647,6 +658,67 @@ def _(spark, folder):
     return log_stream.read(spark, f"{place}/log").groupBy("shop_id", F.col("day").cast("string").alias("day")).agg(F.sum("searches").alias("searches"), F.count("*").alias("terms"))
 
 
+@query("log_noise_share", f"SELECT coalesce({noise_sql('raw')}, 'word') AS reason, count(*) AS n FROM (SELECT {RAW.format('html')} AS raw FROM pages) GROUP BY ALL")
+def _(spark, folder):
+    """Whole pages as they are, judged as terms."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select(F.col("html").alias("term_raw"))
+    return reports.annotated(pages).groupBy(F.coalesce("reason", F.lit("word")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+# --- the stored index ------------------------------------------------------------------------------------
+
+
+def stored(spark, folder):
+    """A writer whose live index holds the stand-in's documents."""
+    from lodestone.operators.writer import IndexWriter
+
+    tables, docs = built(spark, folder)
+    writer = IndexWriter(spark, staging.new_path(spark, "index"))
+    writer.begin([(1, 0)])
+    writer.write(docs)
+    writer.commit(tables["object2category"])
+    return writer, tables
+
+
+@query("index_delete", INDEX + f", kept AS (SELECT * FROM docs WHERE id NOT IN (SELECT id FROM docs ORDER BY id LIMIT 5)) SELECT 'documents' AS part, count(*) AS n FROM kept UNION ALL SELECT 'categories', count(*) FROM (SELECT DISTINCT k.group_id, o.cat_id FROM kept k JOIN object2category o ON o.object_id = k.group_id) UNION ALL SELECT 'rollup', count(*) FROM (SELECT DISTINCT k.group_id, f.attr_id, f.value_id FROM kept k JOIN facet f USING (id) WHERE visible)")
+def _(spark, folder):
+    writer, _ = stored(spark, folder)
+    writer.delete([r["id"] for r in writer.index().documents.select("id").orderBy("id").limit(5).collect()])
+    index = writer.index()
+    parts = (("documents", index.documents), ("categories", index.categories), ("rollup", index.rollup))
+    out = None
+    for name, df in parts:
+        n = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query("index_rebuild_categories", INDEX + ", less AS (SELECT * FROM object2category WHERE cat_id <> 'n3') SELECT id, array_to_string(coalesce((SELECT list(cat_id ORDER BY cat_id) FROM less o WHERE o.object_id = docs.group_id), []), ',') AS category_ids FROM docs")
+def _(spark, folder):
+    writer, tables = stored(spark, folder)
+    writer.rebuild_categories(tables["object2category"].where("cat_id <> 'n3'"))
+    return writer.index().documents.select("id", F.array_join("category_ids", ",").alias("category_ids"))
+
+
+@query("index_batches", f"WITH {ALL_SHOP}, {INHERITED_SQL}, n AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM base) SELECT md5(id || '_1_0') AS id FROM n WHERE k <= 300")
+def _(spark, folder):
+    tables, cursor, out = StandIn(spark, folder), "", None
+    for _ in range(3):
+        found, cursor = documents.batch(tables, 1, 0, SETTINGS, NOW, cursor, 100)
+        out = found.select("id") if out is None else out.unionByName(found.select("id"))
+    return out
+
+
+@query("index_scope_count", f"WITH {shop('articles')} SELECT count(*) AS n FROM articles WHERE active = 1 AND (parent_id <> '' OR var_count = 0)")
+def _(spark, folder):
+    return spark.createDataFrame([(documents.scope_count(StandIn(spark, folder)["articles"]),)], "n long")
+
+
+@query("index_assignments", INDEX + " SELECT 1 AS shop_id, 0 AS lang_id, sum(length(category_ids))::BIGINT AS assignments FROM docs")
+def _(spark, folder):
+    return documents.assignments(built(spark, folder)[1])
+
+
 # --- configuration and measuring -------------------------------------------------------------------------
 
 

@@ -1,5 +1,6 @@
 """Index and search end to end on a small catalogue, and what must hold of any answer."""
 
+import math
 import os
 from collections import Counter
 from dataclasses import replace
@@ -15,7 +16,7 @@ from lodestone.operators.agreement import nearest_rank
 from lodestone.operators.search import Engine, NullEngine, ordered
 from lodestone.operators.synonyms import Expander, Rule, covers, exported
 from lodestone.operators.writer import IndexWriter
-from lodestone.plans.model import FacetFilter, SearchQuery, SuggestQuery, category_query, filters_of, query_of, sort_of
+from lodestone.plans.model import FacetFilter, Index, SearchQuery, SuggestQuery, category_query, filters_of, query_of, sort_of
 from lodestone.settings import Settings, active_languages, scopes
 from lodestone.sources.store import Store
 
@@ -220,3 +221,119 @@ def test_log(spark):
     (row,) = reports.counted(events).collect()
     assert (row.term, row.term_raw, row.searches, row.hits) == ("groesse", "GRÖSSE", 2, 0)
     assert reports.zero_hits(reports.counted(events), 5).count() == 1
+
+
+def test_relevance_counts_words_and_not_places(spark):
+    from lodestone.operators import predicate
+
+    rows = [("a", ["red"], ["red", "shoe", "redder"]), ("b", ["blue"], ["blue", "shoe"])]
+    docs = spark.createDataFrame(rows, "id string, boost_tokens array<string>, search_tokens array<string>").selectExpr("*", "1 as shop_id", "0 as lang_id")
+    stats = predicate.statistics(docs, SearchQuery(1, 0), ["red"])
+    got = {r["id"]: r["s"] for r in docs.select("id", predicate.relevance(["red"], stats).alias("s")).collect()}
+    idf = math.log10(2) ** 2
+    assert got == {"a": pytest.approx(3 * idf + 2 * idf, abs=1e-6), "b": 0.0}
+
+
+def test_saving_none_empties_a_scope_alone(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for shop in (1, 2):
+        store.save_attributes(shop, [("a", True, True, "")])
+        store.save_titles(shop, {("a", 0): "A"})
+        store.save_rules(shop, 0, [Rule("both", "a", "b")])
+    assert store.save_attributes(1, []) == store.save_titles(1, {}) == store.save_rules(1, 0, []) == 0
+    assert not store.attributes(1) and not store.titles(1, 0) and not store.rules(1, 0)
+    assert len(store.attributes(2)) == len(store.titles(2, 0)) == len(store.rules(2, 0)) == 1
+    assert store.save_rules(3, 0, []) == 0
+
+
+def documents_of(spark, rows):
+    """Index documents of (shop, lang, group, words)."""
+    from lodestone import schema
+
+    layout = {f.name: f.dataType for f in spark.createDataFrame([], schema.DOCUMENTS).schema}
+    df = spark.createDataFrame([(f"{s}{x}{g}", s, x, g, w, w.split()) for s, x, g, w in rows], "id string, shop_id int, lang_id int, group_id string, search_text string, search_tokens array<string>")
+    df = df.selectExpr("*", "true as visible", "id as article_id", "search_text as title", "search_text as boost_text", "search_tokens as boost_tokens")
+    for name, kind in layout.items():
+        if name not in df.columns:
+            df = df.withColumn(name, F.array().cast(kind) if kind.typeName() == "array" else F.lit(None).cast(kind))
+    return df.select(*layout)
+
+
+def test_parts_of_the_index_change_alone(spark, tmp_path):
+    from lodestone.operators import doctor
+    writer = IndexWriter(spark, str(tmp_path / "index"))
+    links = spark.createDataFrame([("g1", "c1"), ("g2", "c1"), ("g2", "c2")], "object_id string, cat_id string")
+    writer.begin([(1, 0), (2, 0)])
+    writer.write(documents_of(spark, [(s, 0, g, f"red shoe{g}") for s in (1, 2) for g in ("g1", "g2")]))
+    # A commit that breaks off and is done again changes nothing.
+    staged = writer.staging
+    writer._put("rollup", spark.createDataFrame([(1, 0, "x", "a", "v", "l")], "shop_id int, lang_id int, group_id string, attr_id string, value_id string, value string"))
+    writer.resume(staged, [(1, 0), (2, 0)])
+    writer.commit(links)
+    first = writer.live()
+    count = lambda df: sorted((r["shop_id"], r["count"]) for r in df.groupBy("shop_id").count().collect())
+    assert count(writer.index().documents) == [(1, 2), (2, 2)] and count(writer.index().categories) == [(1, 3), (2, 3)]
+    # One document goes: the other scope's parts stay in the version that wrote them.
+    writer.delete(["10g2"])
+    index = writer.index()
+    assert count(index.documents) == [(1, 1), (2, 2)] and count(index.categories) == [(1, 1), (2, 3)]
+    assert writer.manifest()["parts"]["documents"]["2/0"] == first and writer.versions() == {first, writer.live()}
+    assert doctor.vacuum(writer) == [] and writer.delete(["none"]) is None
+    assert {r["token"] for r in index.postings.where("shop_id = 1").collect()} == {"red", "shoeg1"}
+    # New links without a new index; too few are refused, unless forced.
+    few = links.where("cat_id = 'c2'")
+    assert [r.skipped for r in writer.rebuild_categories(few)] == [True, True]
+    assert count(writer.index().categories) == [(1, 1), (2, 3)]
+    assert [r.skipped for r in writer.rebuild_categories(few, force=True)] == [False, False]
+    index = writer.index()
+    assert count(index.categories) == [(2, 1)] and {(r["id"], tuple(r["category_ids"])) for r in index.documents.collect()} == {("10g1", ()), ("20g1", ()), ("20g2", ("c2",))}
+    # A run without assignments keeps the links, one for all scopes nothing else.
+    writer.begin([])
+    writer.write(documents_of(spark, [(2, 0, "g2", "blue")]))
+    writer.commit()
+    assert count(writer.index().documents) == [(2, 1)] and count(writer.index().categories) == [(2, 1)]
+    left = doctor.vacuum(writer, remove=True)
+    assert first in left and doctor.vacuum(writer) == [] and count(writer.index().documents) == [(2, 1)]
+    levels = {f.check: f.level for f in doctor.storage(writer)}
+    assert levels["freshness"] == "ok" and levels["leftovers"] == "ok" and sum(doctor.sizes(writer).values()) > 0
+
+
+def test_postings_give_the_same_search(spark):
+    docs = documents_of(spark, [(1, 0, f"g{i}", w) for i, w in enumerate(["red shoe", "redder shoe", "blue shoe of low price", "low cost price", "ab red"])])
+    rules = [Rule("both", "cheap", "low price")]
+    plain, fast = Engine(Index(docs, rules=rules), Settings()), Engine(Index(docs, rules=rules, postings=documents.postings(docs)), Settings())
+    for term in ("red", "red sho", "cheap", "cheap shoe", "ab", "ab red", "zzz", ""):
+        q = SearchQuery(1, 0, term)
+        assert sorted(r["id"] for r in plain.matching(q).collect()) == sorted(r["id"] for r in fast.matching(q).collect()), term
+        assert plain.search(q).total == fast.search(q).total
+
+
+def test_engines_answers_steps_and_reports(spark):
+    import json
+    from datetime import date
+
+    from lodestone.operators import doctor
+    from lodestone.operators.search import Locator
+    from lodestone.plans import answers
+    from lodestone.plans.model import Correction, Facet, FacetValue, SearchResult, SuggestResult
+
+    docs = documents_of(spark, [(1, 0, f"g{i}", w) for i, w in enumerate(["red shoe", "red hat", "blue hat"])])
+    locator = Locator(Index(docs), lambda shop: Settings(engine={1: "sql", 2: "none", 3: "odd"}[shop]))
+    assert isinstance(locator.engine(1), Engine) and locator.engine(1) is locator.engine(1)
+    assert all(isinstance(locator.engine(s), NullEngine) for s in (2, 3)) and isinstance(Locator(None, lambda s: Settings()).engine(1), NullEngine)
+    measured, agreed = doctor.benchmark({"a": locator.engine(1), "b": locator.engine(1)}, doctor.scenarios(1, 0, ["red", "hat"], "c"), 1)
+    assert {(m["engine"], m["scenario"]) for m in measured} == {(e, s) for e in "ab" for s in ("term red", "term hat", "category c")}
+    assert {r["query"]: (r["shared"], r["same_place"]) for r in agreed.collect()}["term red"] == (2, 2)
+    facet = Facet("size", "Size", (FacetValue("v", "Größe", 2, True),))
+    result = SearchResult(SearchQuery(1, 0), 3, ("g1",), (facet,), Correction("rde", "red", 1, 1, True, 2))
+    told = json.loads(answers.search(result, 1))
+    assert told["facets"][0]["truncated"] and told["facets"][0]["values"][0]["label"] == "Größe" and told["correction"]["corrected"] == "red" and told["ids"] == ["g1"]
+    assert json.loads(answers.facets(result, 5))["facets"][0]["truncated"] is False
+    assert json.loads(answers.suggest(SuggestResult(("red",), ("g1",)), {"g1": "Red"}))["products"] == [{"id": "g1", "title": "Red"}]
+    assert rebuild.next_size(200, 1) == 400 and rebuild.next_size(200, 8) == 100 and rebuild.next_size(60, 100) == 50 and rebuild.progress(50, 100, 10) == (5.0, 10.0) and rebuild.progress(0, 9, 1)[1] is None
+    assert doctor.bytes_text(1536) == "1.5 KiB" and doctor.ms_text(1500) == "1.50 s"
+    rows = [(1, 0, date(2024, 1, d), t, t, n, h, None, None) for d, t, n, h in ((1, "red", 3, 1), (2, "blue", 2, 0), (2, "<b>", 1, 0), (9, "late", 5, 5))]
+    log = spark.createDataFrame(rows, "shop_id int, lang_id int, day date, term string, term_raw string, searches long, hits int, corrected string, last_seen timestamp")
+    found = reports.last_days(log, 1, 0, 2, date(2024, 1, 2), limit=7)
+    assert (found["searches"], found["zero_searches"], found["noise_terms"], found["zero_share"]) == (5, 2, 1, 40.0)
+    assert [r["term"] for r in found["top"]] == ["red", "blue"] and [r["term"] for r in found["without_hits"]] == ["blue"] and len(found["chart"]) == 2
