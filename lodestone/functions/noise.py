@@ -12,19 +12,19 @@ SYMBOLS_FROM, SYMBOL_SHARE = 12, 0.4
 
 # Reasons in the order in which they are asked, with the shapes that make them.
 SHAPES: dict[str, list[str]] = {
-    "markup": [r"(?i)<\s*[a-z!/?]", r"(?i)javascript\s*:", r"(?i)\bon(error|load|click|mouse\w+)\s*=", r"(?i)&#x?[0-9a-f]{2,};"],
+    "markup": [r"(?i)<\s*[a-z!/?]", r"(?i)javascript\s*:", r"(?i)\bon(?:error|load|click|mouse\w+)\s*=", r"(?i)&#x?[0-9a-f]{2,};"],
     "sql": [
         r"(?i)\bunion\b[\s\S]{0,20}\bselect\b",
         r"(?i)\bselect\b[\s\S]{0,40}\bfrom\b",
-        r"(?i)\b(insert\s+into|update\s+\w+\s+set|delete\s+from|drop\s+table)\b",
+        r"(?i)\b(?:insert\s+into|update\s+\w+\s+set|delete\s+from|drop\s+table)\b",
         r"(?i)\binformation_schema\b",
-        r"(?i)\b(sleep|benchmark|extractvalue|updatexml|load_file)\s*\(",
-        r"(?i)['\"]\s*(or|and)\s+(\d+\s*=\s*\d+|'[^']*'\s*=)",
-        r"(--|#|/\*)\s*$",
+        r"(?i)\b(?:sleep|benchmark|extractvalue|updatexml|load_file)\s*\(",
+        r"(?i)(?:'|\")\s*(?:or|and)\s+(?:\d+\s*=\s*\d+|'[^']*'\s*=)",
+        r"(?:--|#|/\*)\s*$",
     ],
-    "path": [r"\.\.[/\\]", r"(?i)/(etc|proc)/[a-z]", r"(?i)\b(php|file|data|expect)://"],
+    "path": [r"\.\.[/\\]", r"(?i)/(?:etc|proc)/[a-z]", r"(?i)\b(?:php|file|data|expect)://"],
     "template": [r"\{\{.*\}\}", r"\$\{.*\}", r"<%.*%>", r"#\{.*\}"],
-    "shell": [r"\$\(.*\)", r"`[^`]+`", r"(?i)[|;&]\s*(curl|wget|nc|bash|sh|python|powershell)\b"],
+    "shell": [r"\$\(.*\)", r"`[^`]+`", r"(?i)[|;&]\s*(?:curl|wget|nc|bash|sh|python|powershell)\b"],
     "url": [r"(?i)\bhttps?://", r"(?i)\bwww\.[a-z0-9-]+\.[a-z]{2,}"],
 }
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
