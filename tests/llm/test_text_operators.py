@@ -255,6 +255,14 @@ def test_similarity_of_texts_without_an_id_or_with_the_same(spark, same):
         assert out.where("leads").select("id_key", "text_key").distinct().count() == n_groups
 
 
+def test_texts_of_one_id_reach_what_each_of_them_links_with(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(3, a), (5, a), (5, b), (4, b + " tail"), (9, b), (None, "n " + a), (None, "m m m m m"), (7, "m m m m m k")]
+    out = similarity.classes(spark.createDataFrame(rows, "doc_id long, text string"), join_ids=True)
+    got = sorted((r.doc_id or 0, r.component) for r in out.collect())
+    assert got[2:] == [(3, 3), (4, 3), (5, 3), (5, 3), (7, 7), (9, 3)] and sorted(c for _, c in got[:2]) == [-(1 << 63), 3]
+
+
 def brute_groups(texts):
     return {c for _, _, c in brute_similarity(list(enumerate(texts)))}
 
