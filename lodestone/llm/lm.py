@@ -201,8 +201,10 @@ def answers(asked: DataFrame, plan: Plan) -> DataFrame:
         if rows:
             yield settle(*group, rows)
 
-    parts = max(1, min(plan.buckets, 4096))
-    return asked.repartition(parts, "n", "bucket").sortWithinPartitions("n", "bucket", "block").mapInArrow(run, ANSWERS)
+    # Dealt in turn, as hashed pairs would put several buckets into some tasks and none into others.
+    parts = max(1, min(plan.order * plan.buckets, 4096))
+    turn = (F.col("bucket") * plan.order + F.col("n") - 1) % parts
+    return asked.repartitionById(parts, turn.cast("int")).sortWithinPartitions("n", "bucket", "block").mapInArrow(run, ANSWERS)
 
 
 JOINT = "block long, kind int, checksum long, payload binary"
