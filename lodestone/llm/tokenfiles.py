@@ -281,7 +281,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = END, r
         _words.release()
 
     n_parts = len(boundaries) + 1
-    done = placed.select("range_id", "id_key", "text", "text_key").repartition(n_parts, "range_id").sortWithinPartitions("range_id", "id_key", "text_key").select("range_id", "id_key", "text").mapInArrow(run, "rows long")
+    # A task for each range: hashed ids would put several into some tasks and none into others.
+    done = placed.select("range_id", "id_key", "text", "text_key").repartitionById(n_parts, "range_id").sortWithinPartitions("range_id", "id_key", "text_key").select("range_id", "id_key", "text").mapInArrow(run, "rows long")
     done.agg(F.sum("rows")).collect()
     return n_parts
 
