@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontamination, lm, mixing, quality, sharding, similarity, substrings, tokencounts, tokenfiles, toxicity
+from lodestone.llm import decontamination, lm, mixing, pieces, quality, sharding, similarity, substrings, tokencounts, tokenfiles, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.query,
     "op9_lm": lm.query,
     "op10_similarity": similarity.query,
+    "op12_pieces": pieces.query,
 }
 
 ORACLES: dict[str, str] = {
