@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontamination, lm, mixing, pieces, quality, sharding, similarity, substrings, tokencounts, tokenfiles, toxicity
+from lodestone.llm import decontamination, lm, mixing, negatives, pieces, quality, sharding, similarity, substrings, tokencounts, tokenfiles, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm": lm.query,
     "op10_similarity": similarity.query,
     "op12_pieces": pieces.query,
+    "op13_negatives": negatives.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op7_substrings": substrings.ORACLE,
     "op8_quality": quality.ORACLE,
     "op10_similarity": similarity.ORACLE,
+    "op13_negatives": negatives.ORACLE,
 }

@@ -61,7 +61,8 @@ def test_heap_and_matrix_agree(vocabulary):
 
 
 def test_ties_merge_from_the_left():
-    assert pieces.symbols("aaaa", {"aa": 0, "aaa": 0}) == ["aa", "aa"]
+    assert pieces.symbols("aaaa", {"aa": 0}) == ["aa", "aa"]
+    assert pieces.symbols("aaaa", {"aa": 0, "aaa": 0}) == ["aaa", "a"]
     assert pieces.symbols("abc", {"ab": 1, "bc": 1}) == ["ab", "c"]
     assert pieces.symbols("abc", {"ab": 1, "bc": 0}) == ["a", "bc"]
 
