@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontamination, lm, mixing, negatives, pieces, quality, sharding, similarity, substrings, tokencounts, tokenfiles, toxicity
+from lodestone.llm import conversations, decontamination, lm, mixing, negatives, pieces, quality, sharding, similarity, substrings, tokencounts, tokenfiles, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.query,
     "op9_lm": lm.query,
     "op10_similarity": similarity.query,
+    "op11_conversations": conversations.query,
     "op12_pieces": pieces.query,
     "op13_negatives": negatives.query,
 }
@@ -29,5 +30,6 @@ ORACLES: dict[str, str] = {
     "op7_substrings": substrings.ORACLE,
     "op8_quality": quality.ORACLE,
     "op10_similarity": similarity.ORACLE,
+    "op11_conversations": conversations.ORACLE,
     "op13_negatives": negatives.ORACLE,
 }
