@@ -148,12 +148,6 @@ def flattened(documents: DataFrame) -> DataFrame:
     return documents.withColumn("facet_ids", field(False)).withColumn("facet_labels", field(True)).withColumn("insert_seconds", keys.insert_seconds(F.col("insert_date")))
 
 
-def postings(documents: DataFrame) -> DataFrame:
-    """token, id, field, tf, sorted by token, so that a prefix reads few row groups at scale."""
-    both = documents.select("shop_id", "lang_id", "id", F.lit("search").alias("field"), F.explode("search_tokens").alias("token")).unionByName(documents.select("shop_id", "lang_id", "id", F.lit("boost").alias("field"), F.explode("boost_tokens").alias("token")))
-    return both.groupBy("shop_id", "lang_id", "field", "token", "id").agg(F.count("*").alias("tf")).repartitionByRange("shop_id", "lang_id", "token").sortWithinPartitions("shop_id", "lang_id", "token")
-
-
 def by_postings(documents: DataFrame, index: DataFrame, word: str, field: str = "search") -> DataFrame:
     """Documents with a token that begins so: the prefix is pushed into the scan of the postings."""
     hits = index.where((F.col("field") == field) & F.col("token").startswith(word)).select("id").distinct()

@@ -77,28 +77,6 @@ def matching(documents: DataFrame, links: DataFrame | None, query: SearchQuery,
     return within_category(documents, links, query).where(_all([base_predicate(query, expander, settings), *filters]))
 
 
-def narrowed(documents: DataFrame, postings: DataFrame | None, query: SearchQuery, expander: Expander, settings: Settings) -> DataFrame:
-    """Documents that the term can match, by the postings: the words' prefixes are pushed into their scan.
-
-    A group of alternatives narrows if each of them has a word that is long enough to be looked up; what is
-    left still has to meet the whole predicate.
-    """
-    if postings is None:
-        return documents
-    scope = postings.where((F.col("shop_id") == query.shop_id) & (F.col("lang_id") == query.lang_id) & (F.col("field") == "search"))
-    for group in expander.expand(tokens_of(query.term, 1)):
-        looked = []
-        for words in group:
-            long = [w for w in words if len(w) >= settings.min_token_size]
-            whole = len(long) == len(words) > 1
-            looked.append((max(long, key=len), whole) if long else None)
-        if looked and all(looked):
-            token = F.col("token")
-            found = scope.where(_any([token == F.lit(w) if whole else F.startswith(token, F.lit(w)) for w, whole in looked])).select("id").distinct()
-            documents = documents.join(found, "id", "left_semi")
-    return documents
-
-
 @dataclass(frozen=True)
 class Statistics:
     """Documents of the scope and, for each word and field, how many hold it as a prefix."""

@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from lodestone.functions import noise
 from lodestone.functions.periods import Period
 from lodestone.functions.text import normalize
+from lodestone.sources import staging
 
 
 def searches(events: DataFrame) -> DataFrame:
     """Events that count: first looks for something that is a term, each once for a request and term.
 
-    Each distinct spelling is normalised and judged once, however often it was searched.
+    Each distinct spelling is normalised and judged once, however often it was searched: what is known of the
+    spellings is written and read again, else Spark would push the judging below the grouping, to every event.
     """
     looks = events.where("first_look")
-    spellings = looks.select("term_raw").distinct().where(noise.reason(F.col("term_raw")).isNull()).withColumn("term", normalize(F.col("term_raw"))).where("term <> ''")
+    judged = looks.select("term_raw").distinct().select("term_raw", normalize(F.col("term_raw")).alias("term"), noise.reason(F.col("term_raw")).alias("reason"))
+    spellings = staging.staged(judged, "spellings").where("reason IS NULL AND term <> ''").drop("reason")
     found = looks.join(spellings, "term_raw")
     return found.groupBy("shop_id", "lang_id", "request_id", "term").agg(F.max_by(F.struct("ts", "term_raw", "hits", "corrected"), F.struct("ts", "term_raw", "hits")).alias("x")).select("shop_id", "lang_id", "term", "x.*")
 

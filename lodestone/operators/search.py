@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import normalized
-from lodestone.operators import correction, facets, predicate, suggest
+from lodestone.operators import correction, facets, postings, predicate, suggest
 from lodestone.operators.synonyms import Expander
 from lodestone.plans.model import Correction, Index, SearchQuery, SearchResult, SuggestQuery, SuggestResult
 from lodestone.settings import Settings
@@ -41,26 +43,44 @@ class Engine:
         return not self.index.documents.where((F.col("shop_id") == shop_id) & (F.col("lang_id") == lang_id)).isEmpty()
 
     def matching(self, query: SearchQuery) -> DataFrame:
-        return predicate.matching(self.narrowed(query), self.index.categories, query, self.expander, self.settings)
+        documents, rest = self.narrowed(query)
+        return predicate.matching(documents, self.index.categories, rest, self.expander, self.settings)
+
+    def narrowed(self, query: SearchQuery, scored: list[str] = ()) -> tuple[DataFrame, SearchQuery]:
+        """(documents that are looked at for a query, what they still have to meet); with a score if words are scored.
 
-    def narrowed(self, query: SearchQuery) -> DataFrame:
-        """The documents that are looked at for a query."""
-        return predicate.narrowed(self.index.documents, self.index.postings, query, self.expander, self.settings)
+        Where the postings answer the whole term, no text of a document is read.
+        """
+        found = postings.matches(self.index, query, self.expander, self.settings, scored) if self.index.postings is not None else None
+        if found is None:
+            return self.index.documents, query
+        hits, sure = found
+        return self.index.documents.join(hits, "id", "inner" if scored else "left_semi"), replace(query, term="") if sure else query
 
     def count(self, query: SearchQuery) -> int:
         return self.matching(query).agg(F.countDistinct("group_id")).first()[0]
 
     def page(self, query: SearchQuery) -> DataFrame:
         words = predicate.scored_words(query.term, self.settings) if query.sort == "relevance" else []
-        score = predicate.relevance(words, predicate.statistics(self.index.documents, query, words)) if words else None
-        return ranked(self.matching(query), query, score).offset(query.offset).limit(query.limit)
+        documents, rest = self.narrowed(query, words)
+        score = None
+        if words:
+            score = F.col("score") if "score" in documents.columns else predicate.relevance(words, predicate.statistics(documents, query, words))
+        return ranked(predicate.matching(documents, self.index.categories, rest, self.expander, self.settings), query, score).offset(query.offset).limit(query.limit)
+
+    def facet_counts(self, query: SearchQuery, unit: str = "groups") -> DataFrame:
+        documents, rest = self.narrowed(query)
+        return facets.counts(documents, self.index.categories, rest, self.expander, self.settings, self.settings.facet_attributes, unit)
+
+    def rollup_counts(self, query: SearchQuery) -> DataFrame:
+        documents, rest = self.narrowed(query)
+        return facets.rollup_counts(documents, self.index.categories, self.index.rollup, rest, self.expander, self.settings, self.settings.facet_attributes)
 
     def facet_rows(self, query: SearchQuery, unit: str = "groups", mode: str = "exact") -> DataFrame:
-        attributes = self.settings.facet_attributes
         if mode == "rollup" and facets.use_rollup(query, self.index.rollup):
-            found = facets.rollup_counts(self.narrowed(query), self.index.categories, self.index.rollup, query, self.expander, self.settings, attributes)
+            found = self.rollup_counts(query)
         else:
-            found = facets.counts(self.narrowed(query), self.index.categories, query, self.expander, self.settings, attributes, unit)
+            found = self.facet_counts(query, unit)
         chosen = {f.attribute: f.values for f in query.used_filters}
         return facets.top_values(found, self.settings.facet_values, chosen)
 

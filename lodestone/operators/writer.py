@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import schema
-from lodestone.operators import categories, dictionary, rollup
-from lodestone.operators import documents as documents_of
+from lodestone.operators import categories, dictionary, postings, rollup
 from lodestone.plans.model import Index
 
-LAYOUT = {"documents": schema.DOCUMENTS, "rollup": schema.ROLLUP, "categories": schema.CATEGORY_LINKS, "dictionary": schema.DICTIONARY, "postings": schema.POSTINGS}
+LAYOUT = {"documents": schema.DOCUMENTS, "rollup": schema.ROLLUP, "categories": schema.CATEGORY_LINKS, "dictionary": schema.DICTIONARY, "postings": schema.POSTINGS, "grams": schema.GRAMS, "sizes": schema.SIZES}
+#: Datasets that an index of an earlier layout lacks; searches then read documents instead.
+LATER = ("grams", "sizes")
 POINTER = "CURRENT"
 
 
@@ -88,7 +89,7 @@ class IndexWriter:
 
     def index(self) -> Index | None:
         found = self.manifest()
-        return Index(**{n: self._parts(n, found["parts"].get(n, {})) for n in LAYOUT}) if found else None
+        return Index(**{n: self._parts(n, found["parts"].get(n, {})) for n in LAYOUT if n in found["parts"] or n not in LATER}) if found else None
 
     def begin(self, scopes: list[tuple[int, int]]) -> None:
         """No scopes stand for all: then nothing of the live index is kept."""
@@ -126,7 +127,9 @@ class IndexWriter:
         staged, before = self._staged("documents"), self.manifest()
         self._put("rollup", rollup.build(rollup.attribute_rows(staged)))
         self._put("dictionary", dictionary.build(staged))
-        self._put("postings", documents_of.postings(staged))
+        self._put("postings", postings.build(staged))
+        self._put("grams", postings.grams(staged))
+        self._put("sizes", postings.sizes(staged))
         outcome: list[categories.RebuildResult] = []
         if object2category is not None:
             outcome = self._links(staged, object2category, before, force)

@@ -158,6 +158,9 @@ class Index:
     rules: list = field(default_factory=list)
     #: Tokens and the documents that hold them; without it every search looks at all documents.
     postings: DataFrame | None = None
+    #: Short parts of the boost text, and the documents of each scope; without them documents are read for both.
+    grams: DataFrame | None = None
+    sizes: DataFrame | None = None
 
 
 def sort_of(order: str | None) -> str:

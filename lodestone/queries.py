@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import color, distance, keys, noise, periods, phonetics, text
-from lodestone.operators import agreement, categories, correction, dictionary, documents, facets, pricing, reports, rollup, suggest
+from lodestone.operators import agreement, categories, correction, dictionary, documents, facets, postings, pricing, reports, rollup, suggest
 from lodestone.operators.search import Engine, in_rank_order
 from lodestone.operators.synonyms import Rule
 from lodestone.plans.model import FacetFilter, Index, SearchQuery
@@ -180,8 +180,8 @@ def rollup_of(spark: SparkSession, folder: str) -> DataFrame:
 def engine(spark: SparkSession, folder: str, rules: list[Rule] | None = None, derived: bool = False, settings: Settings = SETTINGS) -> Engine:
     tables, docs = built(spark, folder, settings)
     links = once(spark, "links", folder, settings, lambda: categories.links(docs, tables["object2category"]))
-    postings = once(spark, "postings", folder, settings, lambda: documents.postings(docs))
-    index = Index(docs, rollup_of(spark, folder) if derived else None, links, dictionary_of(spark, folder) if derived else None, rules or [], postings)
+    stored = [once(spark, name, folder, settings, lambda make=make: make(docs)) for name, make in (("postings", postings.build), ("grams", postings.grams), ("sizes", postings.sizes))]
+    index = Index(docs, rollup_of(spark, folder) if derived else None, links, dictionary_of(spark, folder) if derived else None, rules or [], *stored)
     return Engine(index, settings)
 
 
@@ -389,7 +389,7 @@ def _(spark, folder):
 @query("postings_prefix", INDEX + f" SELECT id FROM d WHERE {has('sma')}")
 def _(spark, folder):
     docs = built(spark, folder)[1]
-    return documents.by_postings(docs, once(spark, "postings", folder, SETTINGS, lambda: documents.postings(docs)), "sma").select("id")
+    return documents.by_postings(docs, once(spark, "postings", folder, SETTINGS, lambda: postings.build(docs)), "sma").select("id")
 
 
 ORDERS = {
@@ -453,20 +453,20 @@ FACET_ROWS = " SELECT facet.attr_id, facet.value_id, facet.value, count(DISTINCT
 @query("facet_counts", INDEX + FACET_ROWS.format("visible AND " + has("pro"), "group_id"))
 def _(spark, folder):
     e = engine(spark, folder)
-    return facets.counts(e.index.documents, e.index.categories, replace(Q, term="pro"), e.expander, SETTINGS, SETTINGS.facet_attributes)
+    return e.facet_counts(replace(Q, term="pro"))
 
 
 @query("facet_counts_documents", INDEX + FACET_ROWS.format("visible AND " + has("pro"), "d.id"))
 def _(spark, folder):
     e = engine(spark, folder)
-    return facets.counts(e.index.documents, e.index.categories, replace(Q, term="pro"), e.expander, SETTINGS, SETTINGS.facet_attributes, "documents")
+    return e.facet_counts(replace(Q, term="pro"), "documents")
 
 
 @query("facet_counts_rollup", INDEX + f", {LABELS_SQL}, roll AS (SELECT DISTINCT docs.group_id, facet.attr_id, facet.value_id, label.value FROM docs JOIN facet USING (id) JOIN label ON label.attr_id = facet.attr_id AND label.value_id = facet.value_id WHERE visible)"
        f" SELECT attr_id, value_id, value, count(*) AS cnt FROM (SELECT DISTINCT group_id FROM d WHERE visible AND {has('pro')}) JOIN roll USING (group_id) GROUP BY ALL")
 def _(spark, folder):
     e = engine(spark, folder, derived=True)
-    return facets.rollup_counts(e.index.documents, e.index.categories, e.index.rollup, replace(Q, term="pro"), e.expander, SETTINGS, SETTINGS.facet_attributes)
+    return e.rollup_counts(replace(Q, term="pro"))
 
 
 SIDEWAYS = " UNION ALL ".join(
@@ -482,7 +482,7 @@ SIDEWAYS = " UNION ALL ".join(
 @query("facet_drill_sideways", INDEX + " " + SIDEWAYS)
 def facet_drill_sideways(spark, folder):
     e = engine(spark, folder)
-    return facets.counts(e.index.documents, e.index.categories, FILTERED, e.expander, SETTINGS, SETTINGS.facet_attributes)
+    return e.facet_counts(FILTERED)
 
 
 CHOSEN = f"((attr_id = 'type' AND value_id IN ({', '.join(map(repr, TYPES))})) OR (attr_id = 'size' AND value_id IN ({', '.join(map(repr, SIZES))})))"
@@ -492,7 +492,7 @@ CHOSEN = f"((attr_id = 'type' AND value_id IN ({', '.join(map(repr, TYPES))})) O
        " SELECT attr_id, value_id, value, cnt, rank::INT AS rank, selected FROM (SELECT *, bool_or(selected) OVER (PARTITION BY attr_id) AS a, sum((cnt > 0 OR selected)::INT) OVER (PARTITION BY attr_id) AS b FROM shown) WHERE a OR b >= 2")
 def _(spark, folder):
     e = engine(spark, folder)
-    found = facets.counts(e.index.documents, e.index.categories, FILTERED, e.expander, SETTINGS, SETTINGS.facet_attributes)
+    found = e.facet_counts(FILTERED)
     return facets.worth_showing(facets.top_values(found, 5, {f.attribute: f.values for f in FILTERED.filters}))
 
 

@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import categories, dictionary, documents, pricing, rebuild, reports, rollup
+from lodestone.operators import categories, dictionary, documents, postings, pricing, rebuild, reports, rollup
 from lodestone.operators.agreement import nearest_rank
 from lodestone.operators.search import Engine, NullEngine, ordered
 from lodestone.operators.synonyms import Expander, Rule, covers, exported
@@ -301,7 +301,7 @@ def test_parts_of_the_index_change_alone(spark, tmp_path):
 def test_postings_give_the_same_search(spark):
     docs = documents_of(spark, [(1, 0, f"g{i}", w) for i, w in enumerate(["red shoe", "redder shoe", "blue shoe of low price", "low cost price", "ab red"])])
     rules = [Rule("both", "cheap", "low price")]
-    plain, fast = Engine(Index(docs, rules=rules), Settings()), Engine(Index(docs, rules=rules, postings=documents.postings(docs)), Settings())
+    plain, fast = Engine(Index(docs, rules=rules), Settings()), Engine(Index(docs, rules=rules, postings=postings.build(docs)), Settings())
     for term in ("red", "red sho", "cheap", "cheap shoe", "ab", "ab red", "zzz", ""):
         q = SearchQuery(1, 0, term)
         assert sorted(r["id"] for r in plain.matching(q).collect()) == sorted(r["id"] for r in fast.matching(q).collect()), term
