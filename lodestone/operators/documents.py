@@ -11,6 +11,7 @@ from lodestone.functions import color, keys, text
 from lodestone.operators import categories, pricing
 from lodestone.schema import ATTRIBUTE
 from lodestone.settings import Settings
+from lodestone.sources import staging
 
 INHERITED = ("title", "artnum", "ean", "mpn", "short_desc", "manufacturer_id")
 
@@ -124,11 +125,39 @@ def scope_count(articles: DataFrame) -> int:
     return searchable_articles(articles).count()
 
 
+#: The catalogue's tables by the column that names an article, its parent or its product.
+OF_ARTICLES = {"articles": "id", "long_desc": "article_id", "object2attribute": "object_id", "object2category": "object_id", "shop_prices": "article_id"}
+OTHERS = ("manufacturers", "attributes", "categories", "discounts")
+
+
+def of_batch(tables, ids: DataFrame) -> dict[str, DataFrame]:
+    """The tables with the rows that some articles (article_id, parent_id: one batch, written) need, their parents' too.
+
+    Every large table is cut to the span of the batch's keys, which its scan can use, and to the keys themselves
+    before anything is grouped or joined.
+    """
+    wanted = ids.select(F.explode(F.array("article_id", "parent_id")).alias("object")).where("object <> ''").distinct()
+    low, high = wanted.agg(F.min("object"), F.max("object")).first()
+
+    def needed(df: DataFrame, key: str) -> DataFrame:
+        inside = df.where(F.col(key).between(F.lit(low), F.lit(high)))
+        # Two keys for each article of a batch at most, and a batch's size is given.
+        return inside.join(F.broadcast(wanted.withColumnRenamed("object", key)), key, "left_semi").select(*df.columns)
+
+    out = {name: needed(tables[name], key) for name, key in OF_ARTICLES.items() if name in tables}
+    out |= {name: tables[name] for name in OTHERS if name in tables}
+    if "object2discount" in tables:
+        links = tables["object2discount"]
+        out["object2discount"] = needed(links.where("kind = 'article'"), "object_id").unionByName(links.where("kind <> 'article'"))
+    return out
+
+
 def batch(tables, shop_id: int, lang_id: int, settings: Settings, now: datetime, after: str = "", size: int = 200) -> tuple[DataFrame, str]:
     """(documents of the next ``size`` articles by id, the last of these ids); an empty batch keeps the cursor."""
-    ids = searchable_articles(tables["articles"]).where(F.col("id") > after).select(F.col("id").alias("article_id")).orderBy("article_id").limit(size)
+    ids = searchable_articles(tables["articles"]).where(F.col("id") > after).select(F.col("id").alias("article_id"), "parent_id").orderBy("article_id").limit(size)
+    ids = staging.staged(ids, "batch")
     last = ids.agg(F.max("article_id")).first()[0] or after
-    built = build(tables, shop_id, lang_id, settings, now)
+    built = build(of_batch(tables, ids), shop_id, lang_id, settings, now)
     return built.where((F.col("article_id") > after) & (F.col("article_id") <= last)), last
 
 

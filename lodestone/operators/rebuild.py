@@ -42,7 +42,8 @@ def tick(writer: IndexWriter, tables, scope: tuple[int, int], state: Tick, setti
         found, last = documents.batch(tables, *scope, settings, now, state.cursor, state.size)
         if last == state.cursor:
             return replace(state, phase="publish")
-        writer.write(found)
+        # Named by where it began: a step whose answer was lost is written over when it is done again.
+        writer.write(found, step=state.cursor)
         # The last batch may be shorter; a batch holds every article between two cursors.
         return replace(state, cursor=last, done=min(state.total, state.done + state.size), size=next_size(state.size, time.perf_counter() - begin))
     writer.commit(tables["object2category"])

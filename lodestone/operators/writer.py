@@ -104,9 +104,17 @@ class IndexWriter:
     def clear(self) -> None:
         self._files().delete(self._path(self.staging), True)
 
-    def write(self, documents: DataFrame) -> None:
+    def write(self, documents: DataFrame, step: str | None = None) -> None:
+        """Adds documents to the run; those of a named step replace what the same step has written before.
+
+        A run is written either in steps or without.
+        """
         if self.staging is None:
             raise RuntimeError("no rebuild is running")
+        if step is not None:
+            named = documents.withColumn("step", F.lit(f"after-{step}"))
+            named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shop_id", "lang_id", "step").parquet(f"{self.folder}/{self.staging}/documents")
+            return
         documents.write.mode("append").partitionBy("shop_id", "lang_id").parquet(f"{self.folder}/{self.staging}/documents")
 
     def _put(self, name: str, df: DataFrame) -> None:
@@ -213,18 +221,20 @@ class IndexWriter:
             self.clear()
             self.staging = None
 
-    def delete(self, document_ids: list[str]) -> None:
-        """Takes documents out of every dataset: only the scopes that hold one are written anew."""
+    def delete(self, document_ids: list[str] | DataFrame) -> None:
+        """Takes documents, by their ids or a table of them (id), out of every dataset: only the scopes that hold one are written anew."""
         index = self.index()
         if index is None:
             return
-        hit = index.documents.where(F.col("id").isin(document_ids)).select("shop_id", "lang_id").distinct().collect()
+        gone = document_ids if isinstance(document_ids, DataFrame) else self.spark.createDataFrame([(i,) for i in document_ids], "id string")
+        gone = gone.select("id").distinct()
+        hit = index.documents.join(gone, "id", "left_semi").select("shop_id", "lang_id").distinct().collect()
         if not hit:
             return
         self.begin([(r["shop_id"], r["lang_id"]) for r in hit])
         try:
             touched = F.concat_ws("/", "shop_id", "lang_id").isin(*(f"{s}/{x}" for s, x in self.scopes))
-            self.write(index.documents.where(touched & ~F.col("id").isin(document_ids)))
+            self.write(index.documents.where(touched).join(gone, "id", "left_anti"))
             self.commit()
         except Exception:
             self.rollback()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import color, distance, keys, noise, periods, phonetics, text
-from lodestone.operators import agreement, categories, correction, dictionary, documents, facets, postings, pricing, reports, rollup, suggest
+from lodestone.operators import agreement, categories, correction, dictionary, documents, facets, postings, pricing, ranking, rebuild, reports, rollup, settings_diff, suggest
 from lodestone.operators.search import Engine, in_rank_order
 from lodestone.operators.synonyms import Rule
 from lodestone.plans.model import FacetFilter, Index, SearchQuery
@@ -236,7 +236,12 @@ def _(spark, folder):
     return spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", keys.insert_date(raw).alias("inserted"), F.coalesce(keys.insert_seconds(keys.insert_date(raw)), F.lit(-1)).alias("seconds"))
 
 
-@query("osa_distance")
+# The bound and the sieve of a pair; DuckDB's distance differs from ours only for letters inserted between swapped ones, beyond these words.
+OSA_SQL = """WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)
+  SELECT a.w, b.w AS v, least(damerau_levenshtein(a.w, b.w), 3)::INT AS distance, levenshtein(a.w, b.w) <= 4 AS sifted FROM w a JOIN w b ON left(a.w, 1) = left(b.w, 1) AND a.w < b.w"""
+
+
+@query("osa_distance", OSA_SQL)
 def _(spark, folder):
     words = spark.read.parquet(f"{folder}/part.parquet").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
     other = words.withColumnRenamed("w", "v")
@@ -244,7 +249,23 @@ def _(spark, folder):
     return pairs.select("w", "v", distance.osa_within("w", "v", F.lit(2)).alias("distance"), distance.may_be_within(F.col("w"), F.col("v"), 2).alias("sifted"))
 
 
-@query("phonetic_codes")
+def sound_sql(w: str) -> str:
+    """The phonetic code of a word."""
+    among = lambda x, letters: f"{x} IN ({', '.join(map(repr, letters))})"
+    cases = []
+    for letters, ahead, follow, code in phonetics.RULES:
+        fits = [among(f"{w}[i]", letters)]
+        if ahead is not None:
+            fits.append(f"i > 1 AND {among(f'{w}[i - 1]', ahead)}" if ahead else f"NOT (i > 1 AND {w}[i - 1] BETWEEN 'a' AND 'z')")
+        if follow is not None:
+            fits.append(f"i < length({w}) AND {among(f'{w}[i + 1]', follow)}")
+        cases.append(f"WHEN {' AND '.join(fits)} THEN '{code}'")
+    raw = f"string_split(array_to_string(list_transform(range(1, length({w}) + 1), lambda i: CASE {' '.join(cases)} ELSE '' END), ''), '')"
+    once = f"list_transform([{raw}], lambda d: array_to_string(list_filter(d, lambda c, k: k = 1 OR d[k - 1] <> c), ''))[1]"
+    return f"list_transform([{once}], lambda s: s[1] || replace(s[2:], '0', ''))[1]"
+
+
+@query("phonetic_codes", f"WITH w AS (SELECT DISTINCT unnest({toks("p_name || ' ' || p_type")}) AS word FROM part) SELECT word, {sound_sql('word')} AS code FROM w")
 def _(spark, folder):
     words = spark.read.parquet(f"{folder}/part.parquet").select(F.explode(text.tokenize(F.concat_ws(" ", "p_name", "p_type"))).alias("word")).distinct()
     return words.select("word", phonetics.encode(F.col("word")).alias("code"))
@@ -432,14 +453,9 @@ def _(spark, folder):
 
 @query("articles_in_rank_order", INDEX + " SELECT row_number() OVER (ORDER BY max(sold) DESC, group_id) - 1 AS pos, group_id AS id FROM d WHERE visible GROUP BY group_id")
 def _(spark, folder):
-    from pyspark.sql import Window
-
     docs = built(spark, folder)[1].where("visible")
     best = docs.groupBy("group_id").agg(F.max("sold").alias("sold"))
-    # Ranks by value: products that sell alike share a range, and the ranges' sizes, a row for each value, go before.
-    sales = best.groupBy("sold").agg(F.count("*").alias("n"))
-    ahead = sales.alias("x").join(sales.alias("y"), F.col("y.sold") > F.col("x.sold"), "left").groupBy("x.sold").agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("ahead"))
-    ids = best.join(ahead, "sold").select((F.col("ahead") + F.row_number().over(Window.partitionBy("sold").orderBy("group_id")) - 1).cast("long").alias("pos"), F.col("group_id").alias("id"))
+    ids = ranking.placed(best, [F.desc("sold"), F.col("group_id")]).select("pos", F.col("group_id").alias("id"))
     return in_rank_order(ids, docs.select(F.col("group_id").alias("id")).distinct())
 
 
@@ -543,7 +559,12 @@ def _(spark, folder):
     return correction.best(typos(d, 4, 6), d, SETTINGS)
 
 
-@query("correct_budget2")
+@query("correct_budget2", INDEX + f""", {DICT_SQL}, typo AS (SELECT DISTINCT substr(term, 1, 2) || substr(term, 4, 1) || substr(term, 3, 1) || substr(term, 5) AS token FROM dict WHERE len >= 7),
+  asked AS (SELECT token, {sound_sql('token')} AS sound FROM typo WHERE token NOT IN (SELECT term FROM dict)),
+  spoken AS (SELECT term, frequency, len, {sound_sql('term')} AS sound FROM dict WHERE frequency >= 2),
+  pairs AS (SELECT token, term, frequency, damerau_levenshtein(token, term) AS distance FROM asked a JOIN spoken d ON len BETWEEN length(token) - 2 AND length(token) + 2 AND (substr(token, 1, 2) = substr(term, 1, 2) OR a.sound = d.sound)),
+  best AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, frequency DESC, term) AS k FROM pairs WHERE distance <= 2)
+  SELECT token, term, distance::INT AS distance, frequency FROM best WHERE k = 1""")
 def _(spark, folder):
     d = dictionary_of(spark, folder)
     return correction.best(typos(d, 7, 64), d, SETTINGS)
@@ -643,16 +664,9 @@ def _(spark, folder):
 @query("log_stream_counts", LOG_SQL + " SELECT shop_id, day::VARCHAR AS day, sum(searches)::BIGINT AS searches, count(*) AS terms FROM log GROUP BY ALL")
 def _(spark, folder):
     """The stream run to its end over what is there, then its newest counters."""
-    import uuid
-
     from lodestone.streaming import log_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp()
-    place = f"{base.rstrip('/')}/log-stream/{uuid.uuid4().hex}"
+    place = staging.new_path(spark, "log-stream")
     StandIn(spark, folder)["search_events"].write.parquet(f"{place}/events")
     log_stream.start(log_stream.events(spark, f"{place}/events"), f"{place}/log", f"{place}/checkpoint").awaitTermination()
     return log_stream.read(spark, f"{place}/log").groupBy("shop_id", F.col("day").cast("string").alias("day")).agg(F.sum("searches").alias("searches"), F.count("*").alias("terms"))
@@ -709,6 +723,22 @@ def _(spark, folder):
     return out
 
 
+@query("index_resumed", INDEX + " SELECT id, article_id, group_id, price::DOUBLE AS price FROM docs")
+def _(spark, folder):
+    """A rebuild in two steps by writers that know no more than the state; every step is done twice, as if its answer was lost."""
+    from lodestone.operators.writer import IndexWriter
+
+    tables, place = StandIn(spark, folder), staging.new_path(spark, "index")
+    state = rebuild.started(IndexWriter(spark, place), tables, (1, 0))
+    while state.phase == "index":
+        step = replace(state, size=-(-state.total // 2))
+        lost = rebuild.tick(IndexWriter(spark, place), tables, (1, 0), step, SETTINGS, NOW)
+        state = rebuild.tick(IndexWriter(spark, place), tables, (1, 0), step, SETTINGS, NOW) if lost.phase == "index" else lost
+    writer = IndexWriter(spark, place)
+    rebuild.tick(writer, tables, (1, 0), state, SETTINGS, NOW)
+    return writer.index().documents.select("id", "article_id", "group_id", F.col("price").cast("double").alias("price"))
+
+
 @query("index_scope_count", f"WITH {shop('articles')} SELECT count(*) AS n FROM articles WHERE active = 1 AND (parent_id <> '' OR var_count = 0)")
 def _(spark, folder):
     return spark.createDataFrame([(documents.scope_count(StandIn(spark, folder)["articles"]),)], "n long")
@@ -722,6 +752,25 @@ def _(spark, folder):
 # --- configuration and measuring -------------------------------------------------------------------------
 
 
+RANKED_SQL = """
+wanted AS (SELECT s_nationkey AS shop_id, setting, s_suppkey AS pos, s_name AS value FROM supplier, (VALUES ('searchable'), ('filterable'), ('sortable')) t(setting)),
+live AS (SELECT shop_id, setting, CASE WHEN setting = 'sortable' OR shop_id % 2 = 1 THEN -pos ELSE pos END AS pos, value FROM wanted WHERE setting <> 'filterable' OR pos % 97 <> 0),
+shaped AS (SELECT side, shop_id, setting, CASE WHEN setting = 'searchable' THEN list(value ORDER BY pos) ELSE list_sort(list_distinct(list(value))) END AS x
+           FROM (SELECT 'live' AS side, * FROM live UNION ALL SELECT 'wanted', * FROM wanted) GROUP BY side, shop_id, setting)"""
+
+
+@query("settings_diff", f"""WITH {RANKED_SQL}, o AS (SELECT * FROM shaped WHERE side = 'live'), n AS (SELECT * FROM shaped WHERE side = 'wanted')
+  SELECT shop_id, setting, coalesce(o.x, []) <> coalesce(n.x, []) AS changed, length(list_filter(coalesce(n.x, []), lambda v: NOT list_contains(coalesce(o.x, []), v))) AS added, length(list_filter(coalesce(o.x, []), lambda v: NOT list_contains(coalesce(n.x, []), v))) AS removed
+  FROM o FULL JOIN n USING (shop_id, setting)""")
+def _(spark, folder):
+    """The suppliers of a nation as the settings of a shop: one ranked list, two sets, compared with an older state."""
+    names = F.explode(F.array(*map(F.lit, ("searchable", "filterable", "sortable")))).alias("setting")
+    wanted = spark.read.parquet(f"{folder}/supplier.parquet").select(F.col("s_nationkey").cast("int").alias("shop_id"), F.lit(0).alias("lang_id"), names, F.col("s_suppkey").cast("long").alias("pos"), F.col("s_name").alias("value"))
+    turned = (F.col("setting") == "sortable") | (F.col("shop_id") % 2 == 1)
+    live = wanted.where("setting <> 'filterable' OR pos % 97 <> 0").withColumn("pos", F.when(turned, -F.col("pos")).otherwise(F.col("pos")))
+    return settings_diff.compared(live, wanted, ("searchable",)).select("shop_id", "setting", "changed", F.col("added").cast("long").alias("added"), F.col("removed").cast("long").alias("removed"))
+
+
 @query("samples_per_attribute", f"WITH {shop('object2attribute')}, v AS (SELECT DISTINCT attr_id, trim(value) AS value FROM object2attribute WHERE trim(value) <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY attr_id ORDER BY value) AS k FROM v) SELECT attr_id, string_agg(substr(value, 1, 32), ' · ' ORDER BY k) AS sample FROM r WHERE k <= 3 GROUP BY attr_id")
 def _(spark, folder):
     return store.sample_values(StandIn(spark, folder)["object2attribute"])
