@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+from array import array
 from collections import defaultdict
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
@@ -40,6 +41,42 @@ SHARE = 1.0
 codecs.register_error("one-for-each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
+class Table:
+    """Rank and merged symbol of pairs, by open addressing: a lookup is one or two reads, whatever the vocabulary."""
+
+    def __init__(self, keys: np.ndarray, ranks: np.ndarray, merged: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(8 * max(1, len(keys))))))
+        size = 1 << self.bits
+        self.keys, self.ranks, self.merged = np.full(size, -1, np.int64), np.full(size, NONE, np.int32), np.zeros(size, np.int32)
+        todo, slot = np.arange(len(keys)), self._slots(keys)
+        while len(todo):
+            at = slot[todo]
+            free = self.keys[at] < 0
+            # Of several keys for one slot the first takes it.
+            _, first = np.unique(at, return_index=True)
+            wins = np.zeros(len(todo), bool)
+            wins[first] = True
+            wins &= free
+            put = todo[wins]
+            self.keys[slot[put]], self.ranks[slot[put]], self.merged[slot[put]] = keys[put], ranks[put], merged[put]
+            todo = todo[~wins]
+            slot[todo] = (slot[todo] + 1) & (size - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slot = self._slots(keys)
+        there = self.keys[slot]
+        far = np.flatnonzero((there != keys) & (there >= 0))
+        while len(far):
+            slot[far] = (slot[far] + 1) & (len(self.keys) - 1)
+            there = self.keys[slot[far]]
+            far = far[(there != keys[far]) & (there >= 0)]
+        # An empty slot ranks NONE.
+        return self.ranks[slot], self.merged[slot]
+
+
 class Vocabulary:
     """Pieces of a merge-type model: what agendas and decoding look up."""
 
@@ -64,6 +101,7 @@ class Vocabulary:
         #: Symbols are numbered with the plain pieces first; pairs that merge are looked up by both numbers.
         self.pairs = Merger(plain)
         self.id_of_symbol = np.array([self.id[p] for p, _ in plain], np.int64)
+        self.found = Table(self.pairs.keys, self.pairs.ranks, self.pairs.merged)
         self.symbol_of = np.full(0x110000, -1, np.int32)
         self.symbol_of[self.pairs.known] = self.pairs.symbol_of
 
@@ -96,6 +134,11 @@ def symbols(word: str, rank: dict[str, int]) -> list[str]:
     return [p for p in part if p is not None]
 
 
+def _pairs(left: np.ndarray, right: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    rank, into = v.found.lookup(np.where((left >= 0) & (right >= 0), left.astype(np.int64) * v.pairs.base + right, (1 << 62) + 1))
+    return rank, into
+
+
 def merged(codes: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, alive) of words of one length, a row each: alive cells hold what all merges leave."""
     n, width = codes.shape
@@ -107,8 +150,7 @@ def merged(codes: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     agenda = np.full(n * step, NONE, np.int32)
     into = np.zeros(n * step, np.int32)
     at = np.flatnonzero(np.arange(n * step) % step < width - 1)
-    agenda[at], place = v.pairs.lookup(cells[at], cells[at + 1])
-    into[at] = v.pairs.merged[place]
+    agenda[at], into[at] = _pairs(cells[at], cells[at + 1], v)
     here = np.arange(n * step, dtype=np.int64)
     ahead, behind = here + 1, here - 1
     behind[::step] += step  # ahead of the first symbol stands the row's wall
@@ -127,8 +169,7 @@ def merged(codes: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         ahead[i], behind[k] = k, i
         agenda[j] = NONE
         left, right = np.concatenate([i, h]), np.concatenate([k, i])
-        rank, place = v.pairs.lookup(cells[left], cells[right])
-        agenda[left], into[left] = rank, v.pairs.merged[place]
+        agenda[left], into[left] = _pairs(cells[left], cells[right], v)
         # The wall never leads a pair.
         agenda[step - 1 :: step] = NONE
     return cells.reshape(n, step)[:, :width], alive
@@ -137,9 +178,11 @@ def merged(codes: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
 class Codec:
     """Encodes and decodes texts; ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, vocabulary: Vocabulary, room: int = 300_000, check: float = 1.0):
+    def __init__(self, vocabulary: Vocabulary, room: int = 450_000, check: float = 1.0):
         self.v, self.room, self.check = vocabulary, room, check
         self.cache: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
+        self.silent = np.array([not b for b in vocabulary.bytes])
         packed = [int(i).to_bytes(4, "little") for i in range(len(vocabulary.bytes))]
         self.ends, self.packed = (packed[vocabulary.begin], packed[vocabulary.end]), packed
         self.library = None
@@ -193,43 +236,47 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, with begin and end."""
         cut = [self._words(t) if t else [] for t in texts]
-        known = self.cache.keys()
-        missing = set().union(*cut) - known
-        if len(known) + len(missing) > self.room:
-            self.cache = {"": b""}
-            missing = set().union(*cut) - {""}
-        self._fill(missing)
+        words = set().union(*cut)
+        missing = words - self.cache.keys()
+        if len(self.cache) + len(missing) > self.room:
+            # The words of the filling before stay at hand, so frequent ones are never merged again.
+            self.before, self.cache, missing = self.cache, {"": b""}, words - {""}
+        found = missing & self.before.keys()
+        self.cache.update((w, self.before[w]) for w in found)
+        self._fill(missing - found)
         begin, end = self.ends
         find = self.cache.__getitem__
-        out = [b"".join([begin, *map(find, words), end]) for words in cut]
-        if self.library:
-            self._checked(texts, out)
-        return out
-
-    def _checked(self, texts: list[str], own: list[bytes]) -> None:
-        turn = max(1, round(1 / self.check))
-        some = list(range(0, len(texts), turn))
-        ids = self.library.encode([texts[i] for i in some], add_bos=True, add_eos=True, num_threads=1)
-        back = self.decode([own[i] for i in some])
-        for i, theirs, mine, text in zip(some, ids, back, self.library.decode(ids), strict=True):
-            if own[i] != np.array(theirs, "<u4").tobytes() or mine != text:
-                raise ValueError(f"the library encodes or decodes a text of {len(texts[i])} characters in another way: {texts[i][:200]!r}")
+        return [b"".join([begin, *map(find, words), end]) for words in cut]
 
     def decode(self, ids: list[bytes]) -> list[str]:
         """Texts of any ids."""
-        piece, marked, out = self.v.bytes, self.v.marked, []
+        piece, out = self.v.bytes.__getitem__, []
         for one in ids:
-            numbers = np.frombuffer(one, "<u4").tolist()
+            packed = np.frombuffer(one, "<u4")
+            numbers = packed.tolist()
             # Begin and end ids end a run of byte pieces; nearly always they stand at the ends alone.
             runs, start = [], 0
-            for k in [k for k, i in enumerate(numbers) if not piece[i]] + [len(numbers)]:
-                runs.append(b"".join([piece[i] for i in numbers[start:k]]))
+            for k in [*np.flatnonzero(self.silent[packed]).tolist(), len(numbers)]:
+                if k > start:
+                    runs.append(b"".join(map(piece, numbers[start:k])).decode("utf-8", "one-for-each-byte"))
                 start = k + 1
-            first = next((i for i in numbers if piece[i]), None)
-            text = "".join([r.decode("utf-8", "one-for-each-byte") for r in runs])
-            out.append(text[1:] if first is not None and marked[first] else text)
+            first = next((i for i in numbers if not self.silent[i]), None)
+            text = "".join(runs)
+            out.append(text[1:] if first is not None and self.v.marked[first] else text)
         return out
 
+    def both(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """Ids and decoded texts, compared with the library's."""
+        ids = self.encode(texts)
+        back = self.decode(ids)
+        if self.library:
+            turn = max(1, round(1 / self.check))
+            theirs = self.library.encode(texts[::turn], add_bos=True, add_eos=True, num_threads=1)
+            for text, own, mine, ids_, decoded in zip(texts[::turn], ids[::turn], back[::turn], theirs, self.library.decode(theirs), strict=True):
+                if own != array("I", ids_).tobytes() or mine != decoded:
+                    raise ValueError(f"the library encodes or decodes a text of {len(text)} characters in another way: {text[:200]!r}")
+        return ids, back
+
 
 def parts(texts: list[str], most: int):
     """(start, end) of stretches of about ``most`` characters; one text is never divided."""
@@ -251,8 +298,7 @@ def _arrow(docs: DataFrame, path: str, check: float, part: int, kinds: str, rows
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, j in parts(texts, part):
-                ids = codec.encode(texts[i:j])
-                columns = rows(codec, ids)
+                columns = rows(*codec.both(texts[i:j]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns.values()], names=["doc_id", *columns])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {kinds}")
@@ -261,10 +307,10 @@ def _arrow(docs: DataFrame, path: str, check: float, part: int, kinds: str, rows
 def encoded(docs: DataFrame, path: str, check: float = SHARE, part: int = 4 << 20) -> DataFrame:
     """doc_id, ids (array of int, with begin and end) and the decoded text of each document."""
 
-    def rows(codec: Codec, ids: list[bytes]) -> dict[str, pa.Array]:
+    def rows(ids: list[bytes], texts: list[str]) -> dict[str, pa.Array]:
         flat = np.frombuffer(b"".join(ids), "<i4")
         offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-        return {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), "decoded": pa.array(codec.decode(ids), pa.string())}
+        return {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), "decoded": pa.array(texts, pa.string())}
 
     return _arrow(docs, path, check, part, "ids array<int>, decoded string", rows)
 
@@ -272,11 +318,11 @@ def encoded(docs: DataFrame, path: str, check: float = SHARE, part: int = 4 << 2
 def digests(docs: DataFrame, path: str, check: float = SHARE, part: int = 4 << 20) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids and of the decoded text: what ``encoded`` gives, without its size."""
 
-    def rows(codec: Codec, ids: list[bytes]) -> dict[str, pa.Array]:
+    def rows(ids: list[bytes], texts: list[str]) -> dict[str, pa.Array]:
         return {
             "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
             "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-            "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in codec.decode(ids)]),
+            "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]),
         }
 
     return _arrow(docs, path, check, part, "n_tokens long, ids_sha256 string, decoded_sha256 string", rows)

@@ -71,7 +71,7 @@ def test_a_wrong_id_is_never_written(vocabulary):
     codec = pieces.Codec(vocabulary, check=1)
     codec.cache["▁hello"] = packed([5])
     with pytest.raises(ValueError, match="hello"):
-        codec.encode(["hello"])
+        codec.both(["hello"])
 
 
 def test_whole_tables(spark, docs, rows, nothing, same, library):
