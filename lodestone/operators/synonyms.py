@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from lodestone.functions.text import list_of, tokens_of
@@ -28,49 +29,55 @@ def _phrase(text: str) -> Words:
     return tuple(tokens_of(text, 1))
 
 
+def _directed(names_of_rules: list[tuple[str, list]]) -> dict:
+    """name -> names that stand for it, in the order of the rules; one-way rules lead from their first name alone.
+
+    Takes (kind, names) pairs. The inner dict serves as a set that keeps its order.
+    """
+    pairs = [(a, b) for kind, names in names_of_rules for a in (names if kind == "both" else names[:1]) for b in names if a != b]
+    out: dict = {a: {} for a, _ in pairs}
+    for a, b in pairs:
+        out[a][b] = None
+    return {a: list(b) for a, b in out.items()}
+
+
+def _in_use(rules: list[Rule]) -> list[Rule]:
+    return [r for r in rules if r.active and r.complete]
+
+
 class Expander:
-    """Groups of alternatives for a token list: every group must match, any alternative of it may."""
+    """Groups of alternatives for a token list: every group must match, any alternative of it may.
+
+    All phrases that some rule knows make one pattern over the joined tokens, those of more words first, so a scan
+    from the left covers the term with the longest known phrases and single words between them.
+    """
 
     def __init__(self, rules: list[Rule]):
-        self.phrases: dict[Words, list[Words]] = {}
-        self.known: set[str] = set()
-        for rule in rules:
-            term = _phrase(rule.term)
-            if not rule.active or not rule.complete or not 0 < len(term) <= LONGEST:
-                continue
-            others = [p for p in map(_phrase, list_of(rule.synonyms)) if 0 < len(p) <= LONGEST]
-            alternatives = list(dict.fromkeys([term, *others]))
-            if len(alternatives) < 2:
-                continue
-            self.known.update(w for a in alternatives for w in a)
-            for trigger in alternatives if rule.kind == "both" else [term]:
-                self.phrases[trigger] = list(dict.fromkeys([*self.phrases.get(trigger, [trigger]), *alternatives]))
+        folded = [(r.kind, _phrase(r.term), [_phrase(x) for x in list_of(r.synonyms)]) for r in _in_use(rules)]
+        fit = [(kind, list(dict.fromkeys(p for p in (term, *others) if 1 <= len(p) <= LONGEST))) for kind, term, others in folded if 1 <= len(term) <= LONGEST]
+        several = [(kind, names) for kind, names in fit if len(names) > 1]
+        self.known = {word for _, names in several for phrase in names for word in phrase}
+        self.others: dict[Words, list[Words]] = _directed(several)
+        longest_first = sorted(self.others, key=len, reverse=True)
+        self.pattern = re.compile("|".join([*(rf"(?<!\S){re.escape(' '.join(p))}(?!\S)" for p in longest_first), r"\S+"]))
 
     def expand(self, tokens: list[str]) -> list[list[Words]]:
-        groups, at = [], 0
-        while at < len(tokens):
-            for n in range(min(LONGEST, len(tokens) - at), 0, -1):
-                phrase = tuple(tokens[at : at + n])
-                if phrase in self.phrases or n == 1:
-                    groups.append(self.phrases.get(phrase, [phrase]))
-                    at += n
-                    break
-        return groups
+        found = (tuple(x.split(" ")) for x in self.pattern.findall(" ".join(tokens)))
+        return [[phrase, *self.others.get(phrase, [])] for phrase in found]
 
 
 def exported(rules: list[Rule]) -> dict[str, list[str]]:
     """Term to replacements, lower-cased only; a two-way rule gives every direction."""
-    out: dict[str, list[str]] = {}
-    for rule in rules:
-        if not rule.active or not rule.complete:
-            continue
-        names = list(dict.fromkeys(x.strip().lower() for x in [rule.term, *list_of(rule.synonyms)]))
-        for name in names if rule.kind == "both" else names[:1]:
-            out[name] = list(dict.fromkeys([*out.get(name, []), *(x for x in names if x != name)]))
-    return {k: v for k, v in out.items() if v}
+    return _directed([(r.kind, [x.strip().lower() for x in (r.term, *list_of(r.synonyms))]) for r in _in_use(rules)])
 
 
 def covers(rules: list[Rule], term: str) -> bool:
     """Does a rule speak of the term: by its own term, or if it is two-way by a synonym."""
-    want = _phrase(term)
-    return any(want == _phrase(r.term) or r.kind == "both" and want in map(_phrase, list_of(r.synonyms)) for r in rules)
+    spoken = {_phrase(x) for r in rules for x in (r.term, *(list_of(r.synonyms) if r.kind == "both" else ()))}
+    return _phrase(term) in spoken
+
+
+def to_edit(rules: list[Rule], handed: str = "") -> list[Rule]:
+    """The rules an editor shows: those there are, and an empty one for a term handed over that none speaks of."""
+    new = handed.strip()
+    return [*rules, Rule("both", new, "")] if new and not covers(rules, new) else list(rules)

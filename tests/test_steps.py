@@ -91,3 +91,14 @@ def test_settings_compare_as_sets_but_for_ranked_lists(spark):
     got = {(r["shop_id"], r["setting"]): tuple(r)[3:] for r in settings_diff.compared(live, wanted, ("ranked",)).collect()}
     assert got == {(1, "ranked"): (True, 0, 0), (1, "set"): (False, 0, 0), (2, "set"): (False, 0, 0), (2, "new"): (True, 1, 0), (3, "ranked"): (False, 0, 0)}
     assert sorted(tuple(r) for r in settings_diff.outdated(live, wanted, ("ranked",)).collect()) == [(1, 0), (2, 0)]
+
+
+def test_the_longest_known_phrases_cover_a_term():
+    from lodestone.operators.synonyms import Expander, Rule, to_edit
+
+    rules = [Rule("both", "low price", "cheap"), Rule("oneway", "low", "small"), Rule("both", "cheap", "bargain bin"), Rule("both", "a b c d e", "f"), Rule("oneway", "same", "SAME")]
+    e = Expander(rules)
+    assert e.expand(["low", "price", "low"]) == [[("low", "price"), ("cheap",)], [("low",), ("small",)]]
+    assert e.expand(["cheap"]) == [[("cheap",), ("low", "price"), ("bargain", "bin")]]
+    assert e.expand(["low", "prices", "f", "same"]) == [[("low",), ("small",)], [("prices",)], [("f",)], [("same",)]] and e.expand([]) == []
+    assert to_edit(rules, " Cheap ") == rules and to_edit(rules, "small") == [*rules, Rule("both", "small", "")] and to_edit(rules) == rules
