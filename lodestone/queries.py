@@ -725,15 +725,15 @@ def _(spark, folder):
 
 @query("index_resumed", INDEX + " SELECT id, article_id, group_id, price::DOUBLE AS price FROM docs")
 def _(spark, folder):
-    """A rebuild in two steps by writers that know no more than the state; every step is done twice, as if its answer was lost."""
+    """A rebuild in two steps by writers that know no more than the state; the first is done twice, as if its answer was lost."""
     from lodestone.operators.writer import IndexWriter
 
     tables, place = StandIn(spark, folder), staging.new_path(spark, "index")
     state = rebuild.started(IndexWriter(spark, place), tables, (1, 0))
+    state = replace(state, size=-(-state.total // 2))
+    rebuild.tick(IndexWriter(spark, place), tables, (1, 0), state, SETTINGS, NOW)
     while state.phase == "index":
-        step = replace(state, size=-(-state.total // 2))
-        lost = rebuild.tick(IndexWriter(spark, place), tables, (1, 0), step, SETTINGS, NOW)
-        state = rebuild.tick(IndexWriter(spark, place), tables, (1, 0), step, SETTINGS, NOW) if lost.phase == "index" else lost
+        state = rebuild.tick(IndexWriter(spark, place), tables, (1, 0), replace(state, size=-(-state.total // 2)), SETTINGS, NOW)
     writer = IndexWriter(spark, place)
     rebuild.tick(writer, tables, (1, 0), state, SETTINGS, NOW)
     return writer.index().documents.select("id", "article_id", "group_id", F.col("price").cast("double").alias("price"))
