@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import color, keys, text
 from lodestone.operators import categories, pricing
-from lodestone.schema import ATTRIBUTE
+from lodestone.schema import ATTRIBUTE, DOCUMENTS
 from lodestone.settings import Settings
 from lodestone.sources import staging
 
@@ -157,6 +157,8 @@ def batch(tables, shop_id: int, lang_id: int, settings: Settings, now: datetime,
     ids = searchable_articles(tables["articles"]).where(F.col("id") > after).select(F.col("id").alias("article_id"), "parent_id").orderBy("article_id").limit(size)
     ids = staging.staged(ids, "batch")
     last = ids.agg(F.max("article_id")).first()[0] or after
+    if last == after:
+        return ids.sparkSession.createDataFrame([], DOCUMENTS), after
     built = build(of_batch(tables, ids), shop_id, lang_id, settings, now)
     return built.where((F.col("article_id") > after) & (F.col("article_id") <= last)), last
 
