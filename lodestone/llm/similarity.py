@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import _components, _shared, _words
@@ -82,31 +82,47 @@ def shingles(chunk: _words.Chunk, size: int = SHINGLE) -> tuple[np.ndarray, np.n
     return owners[new], values[new]
 
 
-def part_keys(owner: np.ndarray, values: np.ndarray, n: int, bands: Bands, shift: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Dealings tried before a part that is empty becomes a key. One in about eighty short sets needs the second, and so on.
+DEALINGS = 8
+
+
+def part_keys(owner: np.ndarray, values: np.ndarray, n: int, bands: Bands, shift: int = 0, dealings: int = DEALINGS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, key) for the parts of each of n sketches in their own band, or the one ``shift`` below, and for each
     sketch how many keys must be shared with other documents; values ascend within an owner.
 
     Parts that are empty in both agree too: a sketch with E of them or fewer may leave them out and needs so many
-    fewer; one with more has keys for them, and then one shared key is all that can be asked for.
+    fewer. One with more needs one shared key. If it links with another and no part that holds something agrees,
+    the parts that hold something differ in both, so the other has more than E empty parts as well: both are dealt
+    again by another hash, and meet there. Only what is left after the last dealing has keys for empty parts.
     """
     sizes = np.bincount(owner, minlength=n)
     q = np.maximum(bands.of(np.maximum(sizes, 1)) - shift, 0)
     use = (sizes > 0) & (bands.apart[q] > 0)
     if shift:
         use &= (bands.of(np.maximum(sizes, 1)) >= shift) & bands.below(np.maximum(sizes, 1))
-    rows = np.flatnonzero(use[owner])
-    o, v = owner[rows], values[rows]
-    part = ((v >> np.uint64(32)) * bands.parts[q[o]].astype(np.uint64)) >> np.uint64(32)
-    lead = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (part[1:] != part[:-1])]) if len(o) else np.zeros(0, np.int64)
-    o, part = o[lead], part[lead]
-    sketch = np.bitwise_xor.reduceat(v, lead) if len(lead) else v
-    place = lambda q, part: _words.mix(q.astype(np.uint64) * np.uint64(1 << 40) + part + np.uint64(1))
-    key = _words.mix(sketch ^ place(q[o], part))
-    empty = np.where(use, bands.parts[q] - np.bincount(o, minlength=n), 0)
-    need = np.where(empty > bands.spare[q], 1, 1 + bands.spare[q] - empty)
+    owners, keys, need, left = [], [], np.ones(n, np.int64), use
+    for turn in range(dealings):
+        rows = np.flatnonzero(left[owner])
+        if turn and not len(rows):
+            break
+        o, v = owner[rows], values[rows]
+        if turn:
+            v = _words.mix(v + np.uint64(turn))
+            order = np.lexsort((v, o))
+            o, v = o[order], v[order]
+        place = lambda q, part, turn=turn: _words.mix(q.astype(np.uint64) * np.uint64(1 << 40) + part + np.uint64(1) + np.uint64(turn << 56))
+        part = ((v >> np.uint64(32)) * bands.parts[q[o]].astype(np.uint64)) >> np.uint64(32)
+        lead = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (part[1:] != part[:-1])]) if len(o) else np.zeros(0, np.int64)
+        o, part = o[lead], part[lead]
+        sketch = np.bitwise_xor.reduceat(v, lead) if len(lead) else v
+        owners.append(o)
+        keys.append(_words.mix(sketch ^ place(q[o], part)))
+        empty = np.where(left, bands.parts[q] - np.bincount(o, minlength=n), 0)
+        if not turn:
+            need = np.where(empty > bands.spare[q], 1, 1 + bands.spare[q] - empty)
+        left = left & (empty > bands.spare[q])
     first = np.searchsorted(o, np.arange(n + 1))
-    owners, keys = [o], [key]
-    for i in np.flatnonzero(empty > bands.spare[q]):
+    for i in np.flatnonzero(left):
         bare = np.setdiff1d(np.arange(bands.parts[q[i]], dtype=np.uint64), part[first[i] : first[i + 1]])
         owners.append(np.full(len(bare), i))
         keys.append(_words.mix(np.uint64(0xE5) ^ place(np.full(len(bare), q[i]), bare)))
@@ -292,9 +308,9 @@ def shared_parts(parts: DataFrame, nodes: DataFrame) -> DataFrame:
     nodes: node, below and need, the number of shared parts without which a document has no link. A document that drops out
     may leave others with too few, so the rest is sifted once more.
     """
-    group = Window.partitionBy("part_key")
     for turn in range(2):
-        shared = parts.withColumn("least", F.min("node").over(group)).withColumn("greatest", F.max("node").over(group)).where("least <> greatest").select("node", "below", "part_key").distinct()
+        several = parts.groupBy("part_key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("part_key")
+        shared = _shared.joined(parts, several, ["part_key"], "left_semi", f"similarity-several-{turn}").select("node", "below", "part_key").distinct()
         shared = _shared.written(shared, f"similarity-shared-{turn}")
         enough = shared.groupBy("node", "below").agg(F.count("*").alias("n")).join(nodes, ["node", "below"]).where("n >= need").select("node", "below")
         parts = _shared.joined(shared, enough, ["node", "below"], "left_semi", "similarity-enough")
@@ -382,8 +398,9 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk_
     parts = schemes.select("node", "below", F.explode("s.part_keys").alias("part_key"))
     groups = shared_parts(parts, schemes.select("node", "below", F.col("s.need").alias("need")).distinct())
     # The least document of each part against all others there.
-    group = Window.partitionBy("part_key")
-    groups = groups.withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group)).withColumn("n", F.count("*").over(group)).where("low <> high")
+    groups = _shared.written(groups.select("part_key", "node"), "similarity-parts")
+    lows = groups.groupBy("part_key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high").drop("high")
+    groups = _shared.joined(groups, lows, ["part_key"], name="similarity-lows")
     groups = _shared.written(groups.select("part_key", "node", "low", "n"), "similarity-groups")
     facts = base.select("node", "id_key", "text_key", "n_shingles", "n_bytes", "sketch")
     facts = _shared.joined(facts, groups.select("node").distinct(), ["node"], "left_semi", "similarity-met").dropDuplicates(["node"])
@@ -396,8 +413,10 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk_
     # Parts whose documents are still apart: all across the components, by sketches.
     found = _components.components(edges)
     known = _shared.joined(groups, found, ["node"], "left").withColumn("component", F.coalesce("root", "node")).drop("root")
-    apart = known.where("n > 2").withColumn("one", F.min("component").over(group)).withColumn("two", F.max("component").over(group)).where("one <> two")
-    apart = _shared.written(apart.select(F.col("part_key").alias("block"), "node", "component"), "similarity-apart")
+    known = _shared.written(known.where("n > 2").select(F.col("part_key").alias("block"), "node", "component"), "similarity-known")
+    split = known.groupBy("block").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one <> two").select("block")
+    apart = _shared.joined(known, split, ["block"], "left_semi", "similarity-split")
+    apart = _shared.written(apart, "similarity-apart")
     if not apart.isEmpty():
         edges = edges.unionByName(across(apart, facts, found, keyed, size, percent, chunk_docs, chunk_bytes))
     if join_ids:

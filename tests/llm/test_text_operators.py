@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -316,3 +317,37 @@ def test_components(spark):
     got = {r.node: r.root for r in _components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
     assert _components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def random_sets(n, least, most, seed):
+    """owner, hash of n random sets of ``least`` to ``most`` shingles, ascending within each."""
+    rng = np.random.default_rng(seed)
+    owner = np.repeat(np.arange(n), rng.integers(least, most + 1, n))
+    values = rng.integers(0, 1 << 63, len(owner)).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, len(owner)).astype(np.uint64)
+    order = np.lexsort((values, owner))
+    return owner, values[order]
+
+
+def test_similarity_parts_of_short_unlinked_sets_are_not_shared():
+    owner, values = random_sets(300_000, 6, 13, 1)
+    for shift in (0, 1):
+        _, keys, _ = similarity.part_keys(owner, values, 300_000, similarity.Bands(), shift)
+        assert np.unique(keys, return_counts=True)[1].max() < 20
+
+
+@pytest.mark.parametrize("dealings", [1, 2, similarity.DEALINGS])
+def test_similarity_short_linked_sets_always_share_enough_parts(dealings):
+    """Pairs at the very threshold, many of them with more empty parts than are spared."""
+    n, rng, bands = 20_000, np.random.default_rng(2), similarity.Bands()
+    whole = [np.sort(rng.integers(1, 1 << 63, k).astype(np.uint64) * np.uint64(2)) for k in rng.integers(7, 30, n)]
+    pairs = [(a, np.delete(a, rng.choice(len(a), rng.integers(1, len(a) * 15 // 100 + 1), replace=False))) for a in whole]
+    flat = [x for pair in pairs for x in pair]
+    owner, values = np.repeat(np.arange(2 * n), [len(x) for x in flat]), np.concatenate(flat)
+    found = np.zeros(n, bool)
+    schemes = [similarity.part_keys(owner, values, 2 * n, bands, shift, dealings) for shift in (0, 1)]
+    for o1, k1, need1 in schemes:
+        left = {(o, k) for o, k in zip(o1.tolist(), k1.tolist(), strict=True) if o % 2 == 0}
+        for o2, k2, need2 in schemes:
+            shared = np.bincount(np.array([o // 2 for o, k in zip(o2.tolist(), k2.tolist(), strict=True) if o % 2 and (o - 1, k) in left], np.int64), minlength=n)
+            found |= (shared > 0) & (shared >= need1[0::2]) & (shared >= need2[1::2])
+    assert found.all()
