@@ -53,7 +53,7 @@ def visible(active: Column, stock: Column, flag: Column, manage_stock: bool = Tr
 def attributes_of(object2attribute: DataFrame, attributes: DataFrame, wanted: tuple[str, ...] = ()) -> DataFrame:
     """object_id, attributes: the values of each article in their order, trimmed, without blanks."""
     rows = object2attribute.where(F.col("attr_id").isin(*wanted)) if wanted else object2attribute
-    rows = rows.withColumn("value", F.trim("value")).where("value <> ''").join(F.broadcast(attributes.select(F.col("id").alias("attr_id"), "title")), "attr_id")
+    rows = rows.withColumn("value", F.trim("value")).where("value <> ''").join(attributes.select(F.col("id").alias("attr_id"), "title"), "attr_id")
     item = F.struct(F.col("pos"), F.struct("attr_id", "title", keys.value_id(F.col("value")).alias("value_id"), "value", F.col("pos").cast("int").alias("pos")).alias("a"))
     return rows.groupBy("object_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["a"]).alias("attributes"))
 

@@ -19,7 +19,7 @@ def applicable(articles: DataFrame, links: DataFrame, discounts: DataFrame, arti
     Three equi-joins, united: a disjunction in one join condition would be a nested loop. Discounts without
     a link apply to nothing.
     """
-    wanted = links.join(F.broadcast(discounts.select(F.col("id").alias("discount_id"))), "discount_id", "left_semi")
+    wanted = links.join(discounts.select(F.col("id").alias("discount_id")), "discount_id", "left_semi")
     to_article = wanted.where("kind = 'article'").select("discount_id", F.col("object_id").alias("key"))
     to_category = wanted.where("kind = 'category'").select("discount_id", F.col("object_id").alias("key"))
     own = articles.select(F.col("id").alias("article_id"), F.col("id").alias("key")).join(to_article, "key")
@@ -36,7 +36,7 @@ def folded(price: Column, steps: Column) -> Column:
 def effective(articles: DataFrame, links: DataFrame, discounts: DataFrame, article_categories: DataFrame, now: datetime) -> DataFrame:
     """article_id, price after all active discounts in their order. Needs id, parent_id, group_id, price."""
     valid = active(discounts, now)
-    pairs = applicable(articles, links, valid, article_categories).join(F.broadcast(valid.select(F.col("id").alias("discount_id"), "amount", F.col("kind"), "sort")), "discount_id")
+    pairs = applicable(articles, links, valid, article_categories).join(valid.select(F.col("id").alias("discount_id"), "amount", F.col("kind"), "sort"), "discount_id")
     steps = pairs.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("sort", "discount_id", "kind", "amount"))).alias("steps"))
     out = articles.select(F.col("id").alias("article_id"), "price").join(steps, "article_id", "left")
     empty = F.array().cast("array<struct<sort:int,discount_id:string,kind:string,amount:double>>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,11 +93,22 @@ def configured_attributes(configured: DataFrame, attributes: DataFrame, object2a
 
 
 def sample_values(object2attribute: DataFrame, per_attribute: int = 3, longest: int = 32) -> DataFrame:
-    """attr_id, sample: the first distinct values of each attribute, cut and joined."""
-    from pyspark.sql import Window
-
-    values = object2attribute.select("attr_id", F.trim("value").alias("value")).where("value <> ''").dropDuplicates(["attr_id", "value"])
-    order = Window.partitionBy("attr_id").orderBy("value")
-    top = values.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_attribute)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: F.substring(x["value"], 1, longest)), " · ")
-    return top.groupBy("attr_id").agg(joined.alias("sample"))
+    """attr_id, sample: the first distinct values of each attribute, cut and joined.
+
+    Each task keeps the first values of an attribute alone, so what is shuffled is attributes times tasks times
+    ``per_attribute`` rows at most, however many values there are and however often one attribute is used.
+    """
+    values = object2attribute.select("attr_id", F.trim("value").alias("value")).where("value <> ''")
+
+    def first(batches):
+        kept: dict[str | None, list[str]] = {}
+        for batch in batches:
+            for attribute, found in batch.groupby("attr_id", dropna=False)["value"].unique().items():
+                name = attribute if isinstance(attribute, str) else None
+                kept[name] = sorted({*kept.get(name, ()), *found})[:per_attribute]
+        rows = [(a, v) for a, found in kept.items() for v in found]
+        yield pd.DataFrame(rows, columns=["attr_id", "value"], dtype=object)
+
+    firsts = values.mapInPandas(first, "attr_id string, value string").groupBy("attr_id").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    cut = F.transform(F.slice("values", 1, per_attribute), lambda v: F.substring(v, 1, longest))
+    return firsts.select("attr_id", F.array_join(cut, " · ").alias("sample"))

@@ -1,6 +1,7 @@
 """Batches that cost a batch, steps that may be done twice, distances over arrays, ranks and settings."""
 
 import random
+from datetime import date, datetime
 
 import numpy as np
 import pytest
@@ -102,3 +103,42 @@ def test_the_longest_known_phrases_cover_a_term():
     assert e.expand(["cheap"]) == [[("cheap",), ("low", "price"), ("bargain", "bin")]]
     assert e.expand(["low", "prices", "f", "same"]) == [[("low",), ("small",)], [("prices",)], [("f",)], [("same",)]] and e.expand([]) == []
     assert to_edit(rules, " Cheap ") == rules and to_edit(rules, "small") == [*rules, Rule("both", "small", "")] and to_edit(rules) == rules
+
+
+def test_stream_batches_are_merged_and_count_the_same(spark, tmp_path):
+    from lodestone.streaming import log_stream
+
+    folder, layout = str(tmp_path), "shop_id int, lang_id int, day date, term string, term_raw string, searches long, hits int, corrected string, last_seen timestamp, batch long"
+    days, at = [date(2024, 1, 1), date(2024, 1, 2)], datetime(2024, 1, 2)
+
+    def put(numbers):
+        rows = [(1, 0, d, t, t.upper(), n + 1, n, "", at, n) for n in numbers for d in days for t in ("a", f"b{n}")]
+        spark.createDataFrame(rows, layout).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(folder)
+
+    def state():
+        return sorted(tuple(r) for r in log_stream.read(spark, folder).select("day", "term", "searches", "hits").collect())
+
+    def parts():
+        return sorted(p.name for p in tmp_path.glob("day=2024-01-01/batch=*"))
+
+    put(range(5))
+    before = state()
+    log_stream.compact(spark, folder, 4, kept=8)
+    assert len(parts()) == 5
+    # Batch 4 may yet be done again, so it stays beside the merged ones.
+    log_stream.compact(spark, folder, 4, kept=2)
+    assert parts() == ["batch=3", "batch=4"] and state() == before
+    put([4])
+    log_stream.compact(spark, folder, 4, kept=2)
+    assert parts() == ["batch=3", "batch=4"] and state() == before
+    assert [r[2] for r in before if r[1] == "a"] == [5, 5] and len(before) == 12
+
+
+def test_samples_without_a_group_in_one_task(spark):
+    from lodestone.sources import store
+
+    rows = [("a", f" v{i:03d} ") for i in range(200)] + [("b", "é"), ("b", "z"), ("b", "z"), ("b", "Z"), ("b", "x" * 40), ("c", " "), ("c", None), (None, "w")]
+    found = store.sample_values(spark.createDataFrame(rows, "attr_id string, value string").repartition(5))
+    assert {r.attr_id: r.sample for r in found.collect()} == {"a": "v000 · v001 · v002", "b": f"Z · {'x' * 32} · z", None: "w"}
+    assert "Window" not in found._jdf.queryExecution().toString()
+    assert store.sample_values(spark.createDataFrame([], "attr_id string, value string")).count() == 0
