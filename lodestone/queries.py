@@ -485,6 +485,14 @@ def _(spark, folder):
     return e.rollup_counts(replace(Q, term="pro"))
 
 
+@query("facet_rows_rollup", INDEX + f", {LABELS_SQL}, roll AS (SELECT DISTINCT docs.group_id, facet.attr_id, facet.value_id, label.value FROM docs JOIN facet USING (id) JOIN label ON label.attr_id = facet.attr_id AND label.value_id = facet.value_id WHERE visible),"
+       f" c AS (SELECT attr_id, value_id, value, count(*) AS cnt FROM (SELECT DISTINCT group_id FROM d WHERE visible AND {has('pro')}) JOIN roll USING (group_id) GROUP BY ALL)"
+       f" SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY attr_id ORDER BY cnt DESC, value, value_id)::INT AS rank, false AS selected FROM c) WHERE rank <= {SETTINGS.facet_values}")
+def _(spark, folder):
+    """The engine's choice of the roll-up: nothing is filtered, so it counts as the roll-up does."""
+    return engine(spark, folder, derived=True).facet_rows(replace(Q, term="pro"), mode="rollup")
+
+
 SIDEWAYS = " UNION ALL ".join(
     f"SELECT facet.attr_id, facet.value_id, facet.value, count(DISTINCT group_id) AS cnt FROM d JOIN facet USING (id) WHERE facet.attr_id IN ({attrs}) AND {BASE_R} AND {where} GROUP BY ALL"
     for attrs, where in (
@@ -512,6 +520,12 @@ def _(spark, folder):
     return facets.worth_showing(facets.top_values(found, 5, {f.attribute: f.values for f in FILTERED.filters}))
 
 
+@query("facet_rows_filtered", INDEX + f", side AS ({SIDEWAYS}), ranked AS (SELECT *, row_number() OVER (PARTITION BY attr_id ORDER BY cnt DESC, value, value_id)::INT AS rank, {CHOSEN} AS selected FROM side) SELECT * FROM ranked WHERE rank <= {SETTINGS.facet_values} OR selected")
+def _(spark, folder):
+    """With filters the engine leaves the roll-up aside and counts exactly."""
+    return engine(spark, folder, derived=True).facet_rows(FILTERED, mode="rollup")
+
+
 # --- dictionary, correction, suggestions -----------------------------------------------------------------
 
 DICT_SQL = f"""
@@ -776,6 +790,17 @@ def _(spark, folder):
     return store.sample_values(StandIn(spark, folder)["object2attribute"])
 
 
+@query("configured_attributes", f"WITH {shop('attributes', 'object2attribute')}, v AS (SELECT DISTINCT attr_id, trim(value) AS value FROM object2attribute WHERE trim(value) <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY attr_id ORDER BY value) AS k FROM v), s AS (SELECT attr_id, string_agg(substr(value, 1, 32), ' · ' ORDER BY k) AS sample FROM r WHERE k <= 3 GROUP BY attr_id)"
+       " SELECT c.attr_id, coalesce(nullif(trim(a.title), ''), c.attr_id) AS title, facet, searchable, display, sort, coalesce(s.sample, '') AS sample"
+       " FROM (VALUES ('type', true, false, 'default', 10), ('colour', true, true, 'groupedcolortile', 20), ('gone', false, true, 'default', 30)) c(attr_id, facet, searchable, display, sort) LEFT JOIN attributes a ON a.id = c.attr_id LEFT JOIN s ON s.attr_id = c.attr_id")
+def _(spark, folder):
+    """An editor's list over the catalogue's attributes; one of them is gone from there."""
+    rows = [("type", True, False, "default", 10), ("colour", True, True, "groupedcolortile", 20), ("gone", False, True, "default", 30)]
+    configured = spark.createDataFrame(rows, "attr_id string, facet boolean, searchable boolean, display string, sort int")
+    tables = StandIn(spark, folder)
+    return store.configured_attributes(configured, tables["attributes"], tables["object2attribute"])
+
+
 @query("available_attributes", f"WITH {shop('attributes')} SELECT id, coalesce(nullif(trim(title), ''), id) AS title FROM attributes")
 def _(spark, folder):
     return store.available_attributes(StandIn(spark, folder)["attributes"])
