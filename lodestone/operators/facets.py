@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import color
-from lodestone.operators import predicate
+from lodestone.operators import cells, predicate
 from lodestone.operators.synonyms import Expander
 from lodestone.plans.model import Facet, FacetValue, Index, SearchQuery
 from lodestone.settings import Settings
@@ -17,27 +17,39 @@ def counts(documents: DataFrame, links: DataFrame | None, query: SearchQuery, ex
 
     A row that fails two filters counts nowhere; one that fails one counts for that facet only. So all
     facets, selected or not, come from a single scan. ``unit`` is groups (products) or documents (variants).
+    Of ``documents`` that are cells, products are counted by the bits of their words.
     """
     base = predicate.within_category(documents, links, query).where(predicate.base_predicate(query, expander, settings))
-    chosen = query.used_filters
+    chosen, numbered = query.used_filters, [c for c in ("word", "mask") if c in documents.columns]
     failed = F.filter(F.array(*(F.when(~predicate.facet_predicate(f.attribute, f.values), F.lit(f.attribute)) for f in chosen)), lambda x: x.isNotNull()) if chosen else F.array().cast("array<string>")
     rows = (
         base.withColumn("failed", failed)
         .where(F.size("failed") <= 1)
-        .select("id", "group_id", "failed", F.explode("attributes").alias("a"))
+        .select("id", "group_id", *numbered, "failed", F.explode("attributes").alias("a"))
         .where(F.col("a.attr_id").isin(*attributes) & ((F.size("failed") == 0) | (F.get("failed", F.lit(0)) == F.col("a.attr_id"))))
-        .select("id", "group_id", F.col("a.attr_id").alias("attr_id"), F.col("a.value_id").alias("value_id"), F.col("a.value").alias("value"))
+        .select("id", "group_id", *numbered, F.col("a.attr_id").alias("attr_id"), F.col("a.value_id").alias("value_id"), F.col("a.value").alias("value"))
     )
-    number = F.countDistinct("group_id") if unit == "groups" else F.countDistinct("id")
-    return rows.groupBy("attr_id", "value_id", "value").agg(number.alias("cnt"))
+    value = ["attr_id", "value_id", "value"]
+    if not numbered:
+        return rows.groupBy(*value).agg(F.countDistinct("group_id" if unit == "groups" else "id").alias("cnt"))
+    if unit == "groups":
+        return cells.merged(rows, *value).groupBy(*value).agg(cells.products().alias("cnt"))
+    # A cell holds each value once.
+    return rows.groupBy(*value).agg(F.count("*").alias("cnt"))
 
 
 def rollup_counts(documents: DataFrame, links: DataFrame | None, rollup: DataFrame, query: SearchQuery, expander: Expander, settings: Settings, attributes: tuple[str, ...]) -> DataFrame:
     """The product path: distinct matching products joined to the materialised roll-up.
 
-    It counts every value of a product, whichever variant matched; ``counts`` is exact.
+    It counts every value of a product, whichever variant matched; ``counts`` is exact. A roll-up by words takes cells for documents.
     """
-    groups = predicate.matching(documents, links, query, expander, settings).select("shop_id", "lang_id", "group_id").distinct()
+    found = predicate.matching(documents, links, query, expander, settings)
+    if "word" in rollup.columns:
+        # Words of products that match, one row for 64 of them, meet the words of each value.
+        hit = cells.merged(found, "shop_id", "lang_id").withColumnRenamed("mask", "hit")
+        both = rollup.where(F.col("attr_id").isin(*attributes)).join(hit, ["shop_id", "lang_id", "word"]).withColumn("mask", F.col("mask").bitwiseAND(F.col("hit"))).where("mask <> 0")
+        return both.groupBy("attr_id", "value_id", "value").agg(cells.products().alias("cnt"))
+    groups = found.select("shop_id", "lang_id", "group_id").distinct()
     return groups.join(rollup.where(F.col("attr_id").isin(*attributes)), ["shop_id", "lang_id", "group_id"]).groupBy("attr_id", "value_id", "value").agg(F.count("*").alias("cnt"))
 
 

@@ -7,8 +7,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import normalized
-from lodestone.operators import correction, facets, postings, predicate, suggest
+from lodestone.functions.text import normalized, tokens_of
+from lodestone.operators import cells, correction, facets, postings, predicate, suggest
 from lodestone.operators.synonyms import Expander
 from lodestone.plans.model import Correction, Index, SearchQuery, SearchResult, SuggestQuery, SuggestResult
 from lodestone.settings import Settings
@@ -57,8 +57,23 @@ class Engine:
         hits, sure = found
         return self.index.documents.join(hits, "id", "inner" if scored else "left_semi"), replace(query, term="") if sure else query
 
+    def counted(self, query: SearchQuery) -> tuple[DataFrame, SearchQuery]:
+        """(what a query's products are counted on, what is still to be met): cells, if the term asks for nothing that only a text can tell."""
+        if self.index.cells is None:
+            return self.narrowed(query)
+        if not self.expander.expand(tokens_of(query.term, 1)):
+            return self.index.cells, replace(query, term="")
+        found = postings.matches(self.index, query, self.expander, self.settings) if self.index.postings is not None else None
+        if found is None or not found[1]:
+            return self.narrowed(query)
+        return self.index.cells.join(found[0], "id", "left_semi"), replace(query, term="")
+
     def count(self, query: SearchQuery) -> int:
-        return self.matching(query).agg(F.countDistinct("group_id")).first()[0]
+        rows, rest = self.counted(query)
+        found = predicate.matching(rows, self.index.categories, rest, self.expander, self.settings)
+        if "word" in found.columns:
+            return cells.merged(found).agg(cells.products()).first()[0] or 0
+        return found.agg(F.countDistinct("group_id")).first()[0]
 
     def page(self, query: SearchQuery) -> DataFrame:
         words = predicate.scored_words(query.term, self.settings) if query.sort == "relevance" else []
@@ -69,12 +84,13 @@ class Engine:
         return ranked(predicate.matching(documents, self.index.categories, rest, self.expander, self.settings), query, score).offset(query.offset).limit(query.limit)
 
     def facet_counts(self, query: SearchQuery, unit: str = "groups") -> DataFrame:
-        documents, rest = self.narrowed(query)
+        documents, rest = self.counted(query)
         return facets.counts(documents, self.index.categories, rest, self.expander, self.settings, self.settings.facet_attributes, unit)
 
     def rollup_counts(self, query: SearchQuery) -> DataFrame:
-        documents, rest = self.narrowed(query)
-        return facets.rollup_counts(documents, self.index.categories, self.index.rollup, rest, self.expander, self.settings, self.settings.facet_attributes)
+        documents, rest = self.counted(query)
+        derived = self.index.words if self.index.words is not None and "word" in documents.columns else self.index.rollup
+        return facets.rollup_counts(documents, self.index.categories, derived, rest, self.expander, self.settings, self.settings.facet_attributes)
 
     def facet_rows(self, query: SearchQuery, unit: str = "groups", mode: str = "exact") -> DataFrame:
         if mode == "rollup" and facets.use_rollup(query, self.index.rollup):

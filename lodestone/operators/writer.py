@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import schema
-from lodestone.operators import categories, dictionary, postings, rollup
+from lodestone.operators import categories, cells, dictionary, postings, rollup
 from lodestone.plans.model import Index
 
-LAYOUT = {"documents": schema.DOCUMENTS, "rollup": schema.ROLLUP, "categories": schema.CATEGORY_LINKS, "dictionary": schema.DICTIONARY, "postings": schema.POSTINGS, "grams": schema.GRAMS, "sizes": schema.SIZES}
+LAYOUT = {"documents": schema.DOCUMENTS, "rollup": schema.ROLLUP, "categories": schema.CATEGORY_LINKS, "dictionary": schema.DICTIONARY, "postings": schema.POSTINGS, "grams": schema.GRAMS, "sizes": schema.SIZES, "cells": schema.CELLS, "words": schema.WORDS}
 #: Datasets that an index of an earlier layout lacks; searches then read documents instead.
-LATER = ("grams", "sizes")
+LATER = ("grams", "sizes", "cells", "words")
 POINTER = "CURRENT"
 
 
@@ -138,6 +138,8 @@ class IndexWriter:
         self._put("postings", postings.build(staged))
         self._put("grams", postings.grams(staged))
         self._put("sizes", postings.sizes(staged))
+        self._put("cells", cells.build(staged))
+        self._put("words", cells.words(self._staged("rollup"), self._staged("cells")))
         outcome: list[categories.RebuildResult] = []
         if object2category is not None:
             outcome = self._links(staged, object2category, before, force)

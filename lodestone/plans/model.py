@@ -161,6 +161,9 @@ class Index:
     #: Short parts of the boost text, and the documents of each scope; without them documents are read for both.
     grams: DataFrame | None = None
     sizes: DataFrame | None = None
+    #: Documents without texts, their products numbered, and the roll-up by these numbers; without them products are told apart by name.
+    cells: DataFrame | None = None
+    words: DataFrame | None = None
 
 
 def sort_of(order: str | None) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import color, distance, keys, noise, periods, phonetics, text
-from lodestone.operators import agreement, categories, correction, dictionary, documents, facets, postings, pricing, ranking, rebuild, reports, rollup, settings_diff, suggest
+from lodestone.operators import agreement, categories, cells, correction, dictionary, documents, facets, postings, pricing, ranking, rebuild, reports, rollup, settings_diff, suggest
 from lodestone.operators.search import Engine, in_rank_order
 from lodestone.operators.synonyms import Rule
 from lodestone.plans.model import FacetFilter, Index, SearchQuery
@@ -181,7 +181,9 @@ def engine(spark: SparkSession, folder: str, rules: list[Rule] | None = None, de
     tables, docs = built(spark, folder, settings)
     links = once(spark, "links", folder, settings, lambda: categories.links(docs, tables["object2category"]))
     stored = [once(spark, name, folder, settings, lambda make=make: make(docs)) for name, make in (("postings", postings.build), ("grams", postings.grams), ("sizes", postings.sizes))]
-    index = Index(docs, rollup_of(spark, folder) if derived else None, links, dictionary_of(spark, folder) if derived else None, rules or [], *stored)
+    numbered = once(spark, "cells", folder, settings, lambda: cells.build(docs))
+    words = once(spark, "words", folder, settings, lambda: cells.words(rollup_of(spark, folder), numbered)) if derived else None
+    index = Index(docs, rollup_of(spark, folder) if derived else None, links, dictionary_of(spark, folder) if derived else None, rules or [], *stored, numbered, words)
     return Engine(index, settings)
 
 

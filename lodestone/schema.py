@@ -14,6 +14,8 @@ CATEGORY_LINKS = "shop_id int, lang_id int, group_id string, cat_id string"
 POSTINGS = "shop_id int, lang_id int, field string, token string, id string, tf long, positions array<int>"
 GRAMS = "shop_id int, lang_id int, gram string, id string"
 SIZES = "shop_id int, lang_id int, documents long"
+CELLS = "shop_id int, lang_id int, id string, group_id string, visible boolean, manufacturer_id string, price decimal(9,2), attributes array<struct<attr_id:string,value_id:string,value:string>>, word long, mask long"
+WORDS = "shop_id int, lang_id int, attr_id string, value_id string, value string, word long, mask long"
 DICTIONARY = "shop_id int, lang_id int, term string, term_raw string, bucket string, phonetic string, length int, frequency long, source string"
 SEARCH_EVENT = "shop_id int, lang_id int, ts timestamp, request_id string, term_raw string, hits int, corrected string, first_look boolean"
 SEARCH_LOG = "shop_id int, lang_id int, day date, term string, term_raw string, searches long, hits int, corrected string, last_seen timestamp"
