@@ -2,9 +2,9 @@
 
 Texts are fingerprinted by winnowing: of the 41 ten-word grams in each window of 50 words the least hash is
 the window's anchor, so equal windows have the same anchor at the same place. Documents are joined on
-anchors that two or more of them hold; from each such seed the match is extended both ways, over all
-alignments of a 50-word window around it whose anchor the seed is, and windows that also start in a document
-of smaller id are marked; what adjacent windows cover are the maximal repeats of at least 50 words.
+anchors that two or more of them hold; around each such seed all alignments of a 50-word window whose anchor the
+seed is are compared by hash, and windows that also start in a document of smaller id are marked. So a match is not
+walked outwards word by word and no maximal repeat is formed as such: its words are those that marked windows cover.
 
 Whole copies go first: of the documents with one word sequence only the smallest id is fingerprinted.
 Before the shuffle by anchor each chunk of texts settles its own repeats and forwards one holder of a
