@@ -21,27 +21,41 @@ def searchable_articles(articles: DataFrame) -> DataFrame:
     return articles.where("active = 1 AND (parent_id <> '' OR var_count = 0)")
 
 
-def inherited(articles: DataFrame, manufacturers: DataFrame, long_desc: DataFrame, shop_prices: DataFrame | None = None, shop_id: int = 1) -> DataFrame:
-    """Each article with what it leaves blank taken from its parent, brand, long text and shop price."""
-    parent = articles.select(F.col("id").alias("p_id"), *(F.col(c).alias(f"p_{c}") for c in INHERITED))
-    a = searchable_articles(articles).join(parent, F.col("parent_id") == F.col("p_id"), "left")
+def parents_of(articles: DataFrame) -> DataFrame:
+    """parent_id of all searchable variants, once each, written: what is small is then sent to every task by Spark's size check."""
+    return staging.staged(searchable_articles(articles).where("parent_id <> ''").select("parent_id").distinct(), "parents")
+
+
+def inherited(articles: DataFrame, manufacturers: DataFrame, long_desc: DataFrame, shop_prices: DataFrame | None = None, shop_id: int = 1, parents: DataFrame | None = None) -> DataFrame:
+    """Each article with what it leaves blank taken from its parent, brand, long text and shop price.
+
+    Articles are dealt by their id once; what a parent lends is gathered first, one row a parent, so that variants
+    are not dealt by the few ids of their parents unless those are too many to be sent to every task.
+    """
+    parents = parents_of(articles) if parents is None else parents
+    texts = long_desc.select("article_id", "long_desc")
+
+    def lent(df: DataFrame, key: str) -> DataFrame:
+        return df.withColumnRenamed(key, "parent_id").join(parents, "parent_id", "left_semi")
+
+    above = parents.join(lent(articles.select("id", *(F.col(c).alias(f"p_{c}") for c in INHERITED)), "id"), "parent_id", "left")
+    above = staging.staged(above.join(lent(texts, "article_id").withColumnRenamed("long_desc", "p_long"), "parent_id", "left"), "above")
+    out = searchable_articles(articles).join(texts.withColumnRenamed("article_id", "id"), "id", "left")
+    if shop_prices is not None:
+        own_price = shop_prices.where(F.col("shop_id") == shop_id).select(F.col("article_id").alias("id"), F.col("price").alias("shop_price"))
+        out = out.join(own_price, "id", "left").withColumn("price", pricing.overridden(F.col("price"), F.col("shop_price"))).drop("shop_price")
+    out = out.join(above, "parent_id", "left")
 
     def own(c: str) -> Column:
         return F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"p_{c}"), F.lit(""))
 
-    out = a.select(
+    out = out.select(
         "id", "parent_id", F.when(F.col("parent_id") != "", F.col("parent_id")).otherwise(F.col("id")).alias("group_id"),
         *(own(c).alias(c) for c in INHERITED), "var_select", "sold", "inserted", "price", "stock", "stock_flag", "active",
+        F.coalesce(F.nullif("long_desc", F.lit("")), "p_long", F.lit("")).alias("long_desc"),
     )
-    out = out.join(manufacturers.select(F.col("id").alias("manufacturer_id"), F.col("title").alias("brand")), "manufacturer_id", "left").withColumn("brand", F.coalesce("brand", F.lit("")))
-    texts = long_desc.select("article_id", "long_desc")
-    out = out.join(texts.withColumnRenamed("article_id", "id"), "id", "left")
-    above = texts.select(F.col("article_id").alias("parent_id"), F.col("long_desc").alias("p_long"))
-    out = out.join(above, "parent_id", "left").withColumn("long_desc", F.coalesce(F.nullif("long_desc", F.lit("")), "p_long", F.lit(""))).drop("p_long")
-    if shop_prices is not None:
-        own_price = shop_prices.where(F.col("shop_id") == shop_id).select(F.col("article_id").alias("id"), F.col("price").alias("shop_price"))
-        out = out.join(own_price, "id", "left").withColumn("price", pricing.overridden(F.col("price"), F.col("shop_price"))).drop("shop_price")
-    return out
+    brands = staging.staged(manufacturers.select(F.col("id").alias("manufacturer_id"), F.col("title").alias("brand")), "brands")
+    return out.join(brands, "manufacturer_id", "left").withColumn("brand", F.coalesce("brand", F.lit("")))
 
 
 def visible(active: Column, stock: Column, flag: Column, manage_stock: bool = True) -> Column:
@@ -86,23 +100,25 @@ def facet_copy(attributes: Column, settings: Settings) -> Column:
 
 
 def build(tables: dict[str, DataFrame], shop_id: int, lang_id: int, settings: Settings, now: datetime) -> DataFrame:
-    """The documents of one scope; every input is one scan, every lookup one join."""
-    rows = inherited(tables["articles"], tables["manufacturers"], tables["long_desc"], tables.get("shop_prices"), shop_id)
-    attributes = attributes_of(tables["object2attribute"], tables["attributes"], wanted_attributes(settings))
+    """The documents of one scope. Joins by article come first; what variants share is gathered, written and joined by product."""
+    parents = parents_of(tables["articles"])
+    rows = inherited(tables["articles"], tables["manufacturers"], tables["long_desc"], tables.get("shop_prices"), shop_id, parents)
+    wanted = wanted_attributes(settings)
+    attributes = attributes_of(tables["object2attribute"], tables["attributes"], wanted)
     none = F.array().cast(f"array<{ATTRIBUTE}>")
     rows = rows.join(attributes.select(F.col("object_id").alias("id"), F.col("attributes").alias("own")), "id", "left").withColumn("own", F.coalesce("own", none))
+    if "discounts" in tables:
+        groups = tables["object2category"].select(F.col("object_id").alias("group_id"), "cat_id")
+        rows = pricing.discounted(rows, tables["object2discount"], tables["discounts"], groups, now, parents)
     if settings.inherit_attributes:
-        above = attributes.select(F.col("object_id").alias("parent_id"), F.col("attributes").alias("above"))
-        rows = rows.join(above, "parent_id", "left").withColumn("own", F.concat(F.coalesce("above", none), "own")).drop("above")
+        of_parents = tables["object2attribute"].join(parents.withColumnRenamed("parent_id", "object_id"), "object_id", "left_semi")
+        above = attributes_of(of_parents, tables["attributes"], wanted).select(F.col("object_id").alias("parent_id"), F.col("attributes").alias("above"))
+        rows = rows.join(staging.staged(above, "above-attributes"), "parent_id", "left").withColumn("own", F.concat(F.coalesce("above", none), "own")).drop("above")
     path = categories.paths(tables["categories"])
     cats = tables["object2category"].join(path.withColumnRenamed("id", "cat_id"), "cat_id", "left").groupBy("object_id").agg(F.array_sort(F.collect_list(F.struct("cat_id", "path"))).alias("x"))
     cats = cats.select(F.col("object_id").alias("group_id"), F.transform("x", lambda c: c["cat_id"]).alias("category_ids"), F.transform(F.filter("x", lambda c: c["path"].isNotNull()), lambda c: c["path"]).alias("category_paths"))
     strings = F.array().cast("array<string>")
-    rows = rows.join(cats, "group_id", "left").withColumn("category_ids", F.coalesce("category_ids", strings)).withColumn("category_paths", F.coalesce("category_paths", strings))
-    if "discounts" in tables:
-        groups = tables["object2category"].select(F.col("object_id").alias("group_id"), "cat_id")
-        prices = pricing.effective(rows.select("id", "parent_id", "group_id", "price"), tables["object2discount"], tables["discounts"], groups, now)
-        rows = rows.drop("price").join(prices.withColumnRenamed("article_id", "id"), "id")
+    rows = rows.join(staging.staged(cats, "product-categories"), "group_id", "left").withColumn("category_ids", F.coalesce("category_ids", strings)).withColumn("category_paths", F.coalesce("category_paths", strings))
     searchable = only(F.col("own"), settings.searchable_attributes) if settings.searchable_attributes else F.col("own")
     boost = text.boost_text(F.col("title"), F.col("brand"), F.col("var_select"), F.col("artnum"), F.col("ean"), F.col("mpn"))
     rows = rows.withColumn("boost", boost)
