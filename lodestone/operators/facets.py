@@ -105,6 +105,6 @@ def vanished_labels(index: Index, query: SearchQuery, wanted: list[tuple[str, st
     """Labels of selected values (twenty times fifty at most) that no row shows: by the roll-up, else by the documents."""
     asked = index.documents.sparkSession.createDataFrame(wanted, "attr_id string, value_id string")
     scope = (F.col("shop_id") == query.shop_id) & (F.col("lang_id") == query.lang_id)
-    rows = index.rollup if index.rollup is not None else index.documents.select("shop_id", "lang_id", F.explode("attributes").alias("a")).select("shop_id", "lang_id", "a.attr_id", "a.value_id", "a.value")
+    rows = index.part("rollup") if index.has("rollup") else index.documents.select("shop_id", "lang_id", F.explode("attributes").alias("a")).select("shop_id", "lang_id", "a.attr_id", "a.value_id", "a.value")
     found = rows.where(scope).join(F.broadcast(asked), ["attr_id", "value_id"]).groupBy("attr_id", "value_id").agg(F.min("value").alias("value")).collect()
     return {(r["attr_id"], r["value_id"]): r["value"] for r in found}

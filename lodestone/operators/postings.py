@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.color import let
 from lodestone.functions.text import tokens_of
 from lodestone.operators.synonyms import Expander, Words
 from lodestone.plans.model import Index, SearchQuery
@@ -25,12 +26,30 @@ WEIGHTS = (("boost", 3), ("search", 1))
 
 
 def build(documents: DataFrame) -> DataFrame:
-    """shop_id, lang_id, field, token, id, tf, positions; sorted by token, so that a prefix reads few row groups."""
+    """shop_id, lang_id, field, token, id, tf, positions; sorted by token, so that a prefix reads few row groups.
+
+    A document's tokens are counted in its own row; only the sorting moves them.
+    """
+
+    def entries(tokens: Column, places: bool) -> Column:
+        """The runs of equal tokens once they are sorted, with the places of each."""
+
+        def runs(x: Column) -> Column:
+            same = lambda i: F.get(x, i)["token"].eqNullSafe(F.get(x, i - 1)["token"])
+            starts = F.filter(F.transform(x, lambda _, i: i), lambda i: (i == 0) | ~same(i))
+
+            def run(begins: Column, begin: Column, k: Column) -> Column:
+                length = F.coalesce(F.get(begins, k + 1), F.size(x)) - begin
+                at = F.transform(F.slice(x, begin + 1, length), lambda e: e["at"]) if places else F.lit(None).cast("array<int>")
+                return F.struct(F.get(x, begin)["token"].alias("token"), length.cast("long").alias("tf"), at.alias("positions"))
+
+            return let(starts, lambda begins: F.transform(begins, lambda begin, k: run(begins, begin, k)))
+
+        return let(F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("at")))), runs)
 
     def words(field: str, places: bool) -> DataFrame:
-        exploded = documents.select("shop_id", "lang_id", "id", F.posexplode(f"{field}_tokens").alias("at", "token"))
-        found = F.array_sort(F.collect_list("at")) if places else F.lit(None).cast("array<int>")
-        return exploded.groupBy("shop_id", "lang_id", F.lit(field).alias("field"), "token", "id").agg(F.count("*").alias("tf"), found.alias("positions"))
+        found = documents.select("shop_id", "lang_id", "id", F.explode(entries(F.col(f"{field}_tokens"), places)).alias("e"))
+        return found.select("shop_id", "lang_id", F.lit(field).alias("field"), "e.token", "id", "e.tf", "e.positions")
 
     return _sorted(words("search", True).unionByName(words("boost", False)), "field", "token")
 
@@ -46,7 +65,8 @@ def grams(documents: DataFrame) -> DataFrame:
 
 
 def _sorted(df: DataFrame, *keys: str) -> DataFrame:
-    order = ["shop_id", "lang_id", *keys]
+    # The id last: a token that most documents hold is spread over many ranges.
+    order = ["shop_id", "lang_id", *keys, "id"]
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
@@ -120,13 +140,15 @@ def looked_up(groups: list[list[Words]], settings: Settings, with_grams: bool) -
     return Lookup(rows, sums, reduce(lambda a, b: a & b, parts), exact) if parts else None
 
 
-def rows_of(index: Index, query: SearchQuery, wanted: list[Column], with_grams: bool) -> DataFrame:
+def rows_of(index: Index, query: SearchQuery, wanted: list[Column], with_tokens: bool, with_grams: bool) -> DataFrame:
     """The stored rows of the scope that answer any atom."""
     scope = (F.col("shop_id") == query.shop_id) & (F.col("lang_id") == query.lang_id)
-    columns = ["field", "token", "id", "tf", "positions"]
-    found = index.postings.where(scope).select(*columns)
+    parts = []
+    if with_tokens:
+        parts.append(index.part("postings").where(scope).select("field", "token", "id", "tf", "positions"))
     if with_grams:
-        found = found.unionByName(index.grams.where(scope).select(F.lit("gram").alias("field"), F.col("gram").alias("token"), "id", F.lit(1).cast("long").alias("tf"), F.lit(None).cast("array<int>").alias("positions")))
+        parts.append(index.part("grams").where(scope).select(F.lit("gram").alias("field"), F.col("gram").alias("token"), "id", F.lit(1).cast("long").alias("tf"), F.lit(None).cast("array<int>").alias("positions")))
+    found = reduce(DataFrame.unionByName, parts)
     return found.where(reduce(lambda a, b: a | b, wanted))
 
 
@@ -139,7 +161,7 @@ def matches(index: Index, query: SearchQuery, expander: Expander, settings: Sett
 
     The score is 3 * boost + text, each the sum of tf * idf squared if every scored word is in the field, rounded.
     """
-    look = looked_up(expander.expand(tokens_of(query.term, 1)), settings, index.grams is not None)
+    look = looked_up(expander.expand(tokens_of(query.term, 1)), settings, index.has("grams"))
     if look is None:
         return None
     rows, sums = dict(look.rows), dict(look.sums)
@@ -147,14 +169,15 @@ def matches(index: Index, query: SearchQuery, expander: Expander, settings: Sett
         for field, _ in WEIGHTS:
             row = _is(field, F.startswith(F.col("token"), F.lit(w)))
             rows[_tf(field, i)], sums[_tf(field, i)] = row, F.coalesce(F.sum(F.when(row, F.col("tf"))), F.lit(0))
-    hits = rows_of(index, query, list(rows.values()), any(name.startswith("g ") for name in rows)).groupBy("id").agg(*(c.alias(name) for name, c in sums.items()))
+    of_grams = [name.startswith("g ") for name in rows]
+    hits = rows_of(index, query, list(rows.values()), not all(of_grams), any(of_grams)).groupBy("id").agg(*(c.alias(name) for name, c in sums.items()))
     if not scored:
         return hits.where(look.condition).select("id"), look.exact
     held = {(f, i): f"df {f} {i}" for f, _ in WEIGHTS for i in range(len(scored))}
     # One row: for each word and field the documents that hold it; the grouped rows are shuffled once for both.
     counts = hits.agg(*(F.sum((F.col(f"`{_tf(*k)}`") > 0).cast("long")).alias(name) for k, name in held.items()))
     scope = (F.col("shop_id") == query.shop_id) & (F.col("lang_id") == query.lang_id)
-    size = (index.sizes.where(scope).agg(F.sum("documents").alias("n")) if index.sizes is not None else index.documents.where(scope).agg(F.count("*").alias("n")))
+    size = (index.part("sizes").where(scope).agg(F.sum("documents").alias("n")) if index.has("sizes") else index.documents.where(scope).agg(F.count("*").alias("n")))
     both = hits.where(look.condition).join(F.broadcast(counts.join(F.broadcast(size))))
     total = F.lit(0.0)
     for field, weight in WEIGHTS:

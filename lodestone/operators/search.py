@@ -44,14 +44,14 @@ class Engine:
 
     def matching(self, query: SearchQuery) -> DataFrame:
         documents, rest = self.narrowed(query)
-        return predicate.matching(documents, self.index.categories, rest, self.expander, self.settings)
+        return predicate.matching(documents, self.index.part("categories"), rest, self.expander, self.settings)
 
     def narrowed(self, query: SearchQuery, scored: list[str] = ()) -> tuple[DataFrame, SearchQuery]:
         """(documents that are looked at for a query, what they still have to meet); with a score if words are scored.
 
         Where the postings answer the whole term, no text of a document is read.
         """
-        found = postings.matches(self.index, query, self.expander, self.settings, scored) if self.index.postings is not None else None
+        found = postings.matches(self.index, query, self.expander, self.settings, scored) if self.index.has("postings") else None
         if found is None:
             return self.index.documents, query
         hits, sure = found
@@ -59,18 +59,18 @@ class Engine:
 
     def counted(self, query: SearchQuery) -> tuple[DataFrame, SearchQuery]:
         """(what a query's products are counted on, what is still to be met): cells, if the term asks for nothing that only a text can tell."""
-        if self.index.cells is None:
+        if not self.index.has("cells"):
             return self.narrowed(query)
         if not self.expander.expand(tokens_of(query.term, 1)):
-            return self.index.cells, replace(query, term="")
-        found = postings.matches(self.index, query, self.expander, self.settings) if self.index.postings is not None else None
+            return self.index.part("cells"), replace(query, term="")
+        found = postings.matches(self.index, query, self.expander, self.settings) if self.index.has("postings") else None
         if found is None or not found[1]:
             return self.narrowed(query)
-        return self.index.cells.join(found[0], "id", "left_semi"), replace(query, term="")
+        return self.index.part("cells").join(found[0], "id", "left_semi"), replace(query, term="")
 
     def count(self, query: SearchQuery) -> int:
         rows, rest = self.counted(query)
-        found = predicate.matching(rows, self.index.categories, rest, self.expander, self.settings)
+        found = predicate.matching(rows, self.index.part("categories"), rest, self.expander, self.settings)
         if "word" in found.columns:
             return cells.merged(found).agg(cells.products()).first()[0] or 0
         return found.agg(F.countDistinct("group_id")).first()[0]
@@ -81,19 +81,19 @@ class Engine:
         score = None
         if words:
             score = F.col("score") if "score" in documents.columns else predicate.relevance(words, predicate.statistics(documents, query, words))
-        return ranked(predicate.matching(documents, self.index.categories, rest, self.expander, self.settings), query, score).offset(query.offset).limit(query.limit)
+        return ranked(predicate.matching(documents, self.index.part("categories"), rest, self.expander, self.settings), query, score).offset(query.offset).limit(query.limit)
 
     def facet_counts(self, query: SearchQuery, unit: str = "groups") -> DataFrame:
         documents, rest = self.counted(query)
-        return facets.counts(documents, self.index.categories, rest, self.expander, self.settings, self.settings.facet_attributes, unit)
+        return facets.counts(documents, self.index.part("categories"), rest, self.expander, self.settings, self.settings.facet_attributes, unit)
 
     def rollup_counts(self, query: SearchQuery) -> DataFrame:
         documents, rest = self.counted(query)
-        derived = self.index.words if self.index.words is not None and "word" in documents.columns else self.index.rollup
-        return facets.rollup_counts(documents, self.index.categories, derived, rest, self.expander, self.settings, self.settings.facet_attributes)
+        derived = self.index.part("words") if self.index.has("words") and "word" in documents.columns else self.index.part("rollup")
+        return facets.rollup_counts(documents, self.index.part("categories"), derived, rest, self.expander, self.settings, self.settings.facet_attributes)
 
     def facet_rows(self, query: SearchQuery, unit: str = "groups", mode: str = "exact") -> DataFrame:
-        if mode == "rollup" and facets.use_rollup(query, self.index.rollup):
+        if mode == "rollup" and facets.use_rollup(query, self.index.part("rollup")):
             found = self.rollup_counts(query)
         else:
             found = self.facet_counts(query, unit)
@@ -111,7 +111,7 @@ class Engine:
 
     def search(self, query: SearchQuery) -> SearchResult:
         total = self.count(query)
-        if query.term and query.allow_correction and self.settings.correct and total <= self.settings.correct_up_to_hits and self.index.dictionary is not None:
+        if query.term and query.allow_correction and self.settings.correct and total <= self.settings.correct_up_to_hits and self.index.has("dictionary"):
             better = self.corrected(query, total)
             if better is not None:
                 return better
@@ -123,7 +123,7 @@ class Engine:
 
     def corrected(self, query: SearchQuery, total: int) -> SearchResult | None:
         """The corrected search if it finds more; applied or only suggested by setting."""
-        found = correction.correct(self.index.dictionary, query.shop_id, query.lang_id, query.term, self.settings, self.expander.known)
+        found = correction.correct(self.index.part("dictionary"), query.shop_id, query.lang_id, query.term, self.settings, self.expander.known)
         if found is None or found.corrected == query.term:
             return None
         changed = query.corrected(found.corrected)
@@ -144,11 +144,11 @@ class Engine:
             return SuggestResult()
         search = SearchQuery(query.shop_id, query.lang_id, term, limit=query.products)
         terms: list[str] = []
-        if self.index.dictionary is not None:
-            terms = suggest.completed(self.index.dictionary, query.shop_id, query.lang_id, term, query.terms)
+        if self.index.has("dictionary"):
+            terms = suggest.completed(self.index.part("dictionary"), query.shop_id, query.lang_id, term, query.terms)
             if not terms and self.settings.correct:
-                found = correction.correct(self.index.dictionary, query.shop_id, query.lang_id, term, self.settings, self.expander.known)
-                terms = suggest.completed(self.index.dictionary, query.shop_id, query.lang_id, found.corrected, query.terms) if found else []
+                found = correction.correct(self.index.part("dictionary"), query.shop_id, query.lang_id, term, self.settings, self.expander.known)
+                terms = suggest.completed(self.index.part("dictionary"), query.shop_id, query.lang_id, found.corrected, query.terms) if found else []
         total = self.count(search)
         products = tuple(r["group_id"] for r in self.page(search).collect()) if total else ()
         # Categories are looked for by what was typed, not by its normal form.

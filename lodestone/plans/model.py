@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -164,6 +165,16 @@ class Index:
     #: Documents without texts, their products numbered, and the roll-up by these numbers; without them products are told apart by name.
     cells: DataFrame | None = None
     words: DataFrame | None = None
+    #: Parts that are not there yet, each made when a search first asks for it.
+    later: dict[str, Callable[[], DataFrame]] = field(default_factory=dict)
+
+    def has(self, name: str) -> bool:
+        return name in self.later or getattr(self, name) is not None
+
+    def part(self, name: str) -> DataFrame | None:
+        if getattr(self, name) is None and name in self.later:
+            setattr(self, name, self.later[name]())
+        return getattr(self, name)
 
 
 def sort_of(order: str | None) -> str:

@@ -179,12 +179,15 @@ def rollup_of(spark: SparkSession, folder: str) -> DataFrame:
 
 def engine(spark: SparkSession, folder: str, rules: list[Rule] | None = None, derived: bool = False, settings: Settings = SETTINGS) -> Engine:
     tables, docs = built(spark, folder, settings)
-    links = once(spark, "links", folder, settings, lambda: categories.links(docs, tables["object2category"]))
-    stored = [once(spark, name, folder, settings, lambda make=make: make(docs)) for name, make in (("postings", postings.build), ("grams", postings.grams), ("sizes", postings.sizes))]
-    numbered = once(spark, "cells", folder, settings, lambda: cells.build(docs))
-    words = once(spark, "words", folder, settings, lambda: cells.words(rollup_of(spark, folder), numbered)) if derived else None
-    index = Index(docs, rollup_of(spark, folder) if derived else None, links, dictionary_of(spark, folder) if derived else None, rules or [], *stored, numbered, words)
-    return Engine(index, settings)
+    make = {
+        "categories": lambda: categories.links(docs, tables["object2category"]), "postings": lambda: postings.build(docs), "grams": lambda: postings.grams(docs),
+        "sizes": lambda: postings.sizes(docs), "cells": lambda: cells.build(docs),
+    }
+    later = {name: lambda name=name: once(spark, name, folder, settings, make[name]) for name in make}
+    if derived:
+        later |= {"rollup": lambda: rollup_of(spark, folder), "dictionary": lambda: dictionary_of(spark, folder)}
+        later["words"] = lambda: once(spark, "words", folder, settings, lambda: cells.words(rollup_of(spark, folder), later["cells"]()))
+    return Engine(Index(docs, rules=rules or [], later=later), settings)
 
 
 def groups(found: DataFrame) -> DataFrame:

@@ -1,10 +1,16 @@
-"""No wide row is dealt by the few ids of parents."""
+"""What is shuffled and held by a task grows with the rows: no wide row is dealt by the few ids of parents, no token row is grouped, no part is made unasked."""
 
 from datetime import datetime
 
-from lodestone.operators import documents, pricing
+from pyspark.sql import functions as F
+
+from lodestone.operators import documents, postings, pricing
+from lodestone.operators.search import Engine
+from lodestone.plans.model import FacetFilter, Index, SearchQuery
 from lodestone.settings import Settings
 
+from test_engine import documents_of
+
 NOW = datetime(2026, 1, 1)
 
 
@@ -12,6 +18,29 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tokens_are_counted_in_their_rows(spark):
+    texts = ["red shoe red red", "", "b", "shoe a shoe", "red"]
+    docs = documents_of(spark, [(s, 0, f"g{i}", t) for s in (1, 2) for i, t in enumerate(texts)])
+    built = postings.build(docs)
+    plan = plan_of(built)
+    assert "Aggregate" not in plan and plan.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in plan, plan
+    found = {(r["shop_id"], r["field"], r["token"], r["id"]): (r["tf"], r["positions"]) for r in built.collect()}
+    wanted = {}
+    for s in (1, 2):
+        for i, t in enumerate(texts):
+            words = t.split()
+            for w in set(words):
+                at = [k for k, x in enumerate(words) if x == w]
+                wanted[s, "search", w, f"{s}0g{i}"], wanted[s, "boost", w, f"{s}0g{i}"] = (len(at), at), (len(at), None)
+    assert found == wanted and built.count() == len(wanted)
+
+
+def test_a_token_of_all_documents_is_spread(spark):
+    docs = documents_of(spark, [(1, 0, f"g{i:04d}", "ware") for i in range(400)])
+    for built in (postings.build(docs), postings.grams(docs)):
+        assert ", id#" in plan_of(built).split("Exchange rangepartitioning(")[1].split("),")[0]
+
+
 def catalogue(spark, variants=40):
     articles = [(f"v{i}", f"g{i % 2}", "" if i % 3 else f"t{i}", "", "", "", "", "", "", 1, "", 10.0, 1.0, 1, 1, 0) for i in range(variants)] + [(f"g{k}", "", f"parent {k}", "", "", "", "", "m1", "", 0, "", 5.0, 0.0, 1, 1, 9) for k in range(2)]
     names = "id string, parent_id string, title string, artnum string, ean string, mpn string, short_desc string, manufacturer_id string, var_select string, sold int, inserted string, price double, stock double, stock_flag int, active int, var_count int"
@@ -41,3 +70,26 @@ def test_a_discount_applies_once(spark):
     rows = documents.inherited(t["articles"], t["manufacturers"], t["long_desc"])
     prices = pricing.effective(rows, t["object2discount"], t["discounts"], t["object2category"].withColumnRenamed("object_id", "group_id"), NOW)
     assert {r["article_id"]: r["price"] for r in prices.collect()} == {f"v{i}": 9.0 if i % 2 == 0 else 8.0 for i in range(40)}
+
+
+def test_parts_are_made_when_they_are_asked_for(spark):
+    docs = documents_of(spark, [(1, 0, f"g{i}", t) for i, t in enumerate(["red shoe", "blue shoe", "red hat"])])
+    asked = []
+
+    def part(name, make):
+        return lambda: asked.append(name) or make(docs)
+
+    from lodestone.operators import cells
+
+    later = {"postings": part("postings", postings.build), "grams": part("grams", postings.grams), "sizes": part("sizes", postings.sizes), "cells": part("cells", cells.build)}
+    engine = lambda: Engine(Index(docs, later=dict(later)), Settings(facet_attributes=("size",)))
+    for query, parts in (
+        (SearchQuery(1, 0, manufacturer="m1"), []), (SearchQuery(1, 0, "red"), ["postings"]), (SearchQuery(1, 0, "r"), ["grams"]), (SearchQuery(1, 0, "re shoe"), ["grams", "postings"]),
+    ):
+        asked.clear()
+        assert engine().matching(query).count() == Engine(Index(docs), Settings()).matching(query).count() and sorted(asked) == parts, query
+    asked.clear()
+    found = engine()
+    found.facet_counts(SearchQuery(1, 0, "", filters=(FacetFilter("size", ("v",)),))).collect()
+    found.facet_counts(SearchQuery(1, 0, "")).collect()
+    assert asked == ["cells"]
