@@ -21,7 +21,7 @@ def build(documents: DataFrame) -> DataFrame:
     """Rows of ``CELLS``, one a document, in the order of their products' numbers.
 
     The variants of a product and the products of a word lie side by side, so most words are whole in one task. An attribute that a document
-    repeats stands once. Numbers are dense in each scope.
+    repeats stands once. Numbers are dense in each scope; products deleted later leave theirs free.
     """
     products = documents.select(*SCOPE, "group_id").distinct()
     numbers = ranking.placed(products, [F.col(c) for c in (*SCOPE, "group_id")], "number")

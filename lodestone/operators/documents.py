@@ -99,8 +99,11 @@ def facet_copy(attributes: Column, settings: Settings) -> Column:
     return color.let(F.transform(only(attributes, settings.facet_attributes), recolored), first_only)
 
 
-def build(tables: dict[str, DataFrame], shop_id: int, lang_id: int, settings: Settings, now: datetime) -> DataFrame:
-    """The documents of one scope. Joins by article come first; what variants share is gathered, written and joined by product."""
+def build(tables: dict[str, DataFrame], shop_id: int, lang_id: int, settings: Settings, now: datetime, gather: bool = True) -> DataFrame:
+    """The documents of one scope. Joins by article come first; what variants share is gathered, written and joined by product.
+
+    The categories of few products (``gather`` unset) are joined as they are.
+    """
     parents = parents_of(tables["articles"])
     rows = inherited(tables["articles"], tables["manufacturers"], tables["long_desc"], tables.get("shop_prices"), shop_id, parents)
     wanted = wanted_attributes(settings)
@@ -118,7 +121,8 @@ def build(tables: dict[str, DataFrame], shop_id: int, lang_id: int, settings: Se
     cats = tables["object2category"].join(path.withColumnRenamed("id", "cat_id"), "cat_id", "left").groupBy("object_id").agg(F.array_sort(F.collect_list(F.struct("cat_id", "path"))).alias("x"))
     cats = cats.select(F.col("object_id").alias("group_id"), F.transform("x", lambda c: c["cat_id"]).alias("category_ids"), F.transform(F.filter("x", lambda c: c["path"].isNotNull()), lambda c: c["path"]).alias("category_paths"))
     strings = F.array().cast("array<string>")
-    rows = rows.join(staging.staged(cats, "product-categories"), "group_id", "left").withColumn("category_ids", F.coalesce("category_ids", strings)).withColumn("category_paths", F.coalesce("category_paths", strings))
+    cats = staging.staged(cats, "product-categories") if gather else cats
+    rows = rows.join(cats, "group_id", "left").withColumn("category_ids", F.coalesce("category_ids", strings)).withColumn("category_paths", F.coalesce("category_paths", strings))
     searchable = only(F.col("own"), settings.searchable_attributes) if settings.searchable_attributes else F.col("own")
     boost = text.boost_text(F.col("title"), F.col("brand"), F.col("var_select"), F.col("artnum"), F.col("ean"), F.col("mpn"))
     rows = rows.withColumn("boost", boost)
@@ -141,6 +145,8 @@ def scope_count(articles: DataFrame) -> int:
     return searchable_articles(articles).count()
 
 
+#: Batches up to this size join the categories of their products without writing them first.
+SMALL_BATCH = 2000
 #: The catalogue's tables by the column that names an article, its parent or its product.
 OF_ARTICLES = {"articles": "id", "long_desc": "article_id", "object2attribute": "object_id", "object2category": "object_id", "shop_prices": "article_id"}
 OTHERS = ("manufacturers", "attributes", "categories", "discounts")
@@ -175,7 +181,7 @@ def batch(tables, shop_id: int, lang_id: int, settings: Settings, now: datetime,
     last = ids.agg(F.max("article_id")).first()[0] or after
     if last == after:
         return ids.sparkSession.createDataFrame([], DOCUMENTS), after
-    built = build(of_batch(tables, ids), shop_id, lang_id, settings, now)
+    built = build(of_batch(tables, ids), shop_id, lang_id, settings, now, gather=size > SMALL_BATCH)
     return built.where((F.col("article_id") > after) & (F.col("article_id") <= last)), last
 
 

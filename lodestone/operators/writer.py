@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from lodestone import schema
 from lodestone.operators import categories, cells, dictionary, postings, rollup
 from lodestone.plans.model import Index
+from lodestone.sources import staging
 
 LAYOUT = {"documents": schema.DOCUMENTS, "rollup": schema.ROLLUP, "categories": schema.CATEGORY_LINKS, "dictionary": schema.DICTIONARY, "postings": schema.POSTINGS, "grams": schema.GRAMS, "sizes": schema.SIZES, "cells": schema.CELLS, "words": schema.WORDS}
 #: Datasets that an index of an earlier layout lacks; searches then read documents instead.
@@ -111,34 +113,54 @@ class IndexWriter:
         """
         if self.staging is None:
             raise RuntimeError("no rebuild is running")
+        if len(self.scopes) == 1:
+            # Of a step, a folder of its own beside the others.
+            self._into_scope("documents", documents, "overwrite" if step is not None else "append", f"step={quote(f'after-{step}', safe='')}" if step is not None else None)
+            return
         if step is not None:
             named = documents.withColumn("step", F.lit(f"after-{step}"))
             named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shop_id", "lang_id", "step").parquet(f"{self.folder}/{self.staging}/documents")
             return
         documents.write.mode("append").partitionBy("shop_id", "lang_id").parquet(f"{self.folder}/{self.staging}/documents")
 
+    def _into_scope(self, name: str, df: DataFrame, mode: str, below: str | None = None) -> None:
+        """Rows of a run for one scope go straight to its folder, in the order they have: wide rows are not sorted by a scope they share."""
+        shop, lang = self.scopes[0]
+        own = (F.col("shop_id") == shop) & (F.col("lang_id") == lang)
+        # Another scope's rows would be published as this one's. In a column, not a filter: Spark would try a filter on partitions that others leave out.
+        first = next(c for c in df.columns if c not in ("shop_id", "lang_id"))
+        checked = df.withColumn(first, F.when(own, F.col(first)).otherwise(F.raise_error(F.lit(f"rows outside of scope {shop}/{lang}")))).drop("shop_id", "lang_id")
+        parts = [self.staging, name, f"shop_id={shop}", f"lang_id={lang}", *([below] if below else [])]
+        checked.write.mode(mode).option("compression", "zstd").parquet("/".join((self.folder, *parts)))
+        # A scope without rows has no partition.
+        if self._staged(name).isEmpty():
+            self._files().delete(self._path(*parts[:3]), True)
+
     def _put(self, name: str, df: DataFrame) -> None:
         """Derived rows replace those of their scopes: a commit that is done twice changes nothing."""
+        if len(self.scopes) == 1:
+            self._into_scope(name, df, "overwrite")
+            return
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shop_id", "lang_id").parquet(f"{self.folder}/{self.staging}/{name}")
 
     def _own(self, staged: DataFrame) -> list[tuple[int, int]]:
         """The scopes of the run, by the staged documents if it is for all."""
         return self.scopes or sorted((r["shop_id"], r["lang_id"]) for r in staged.select("shop_id", "lang_id").distinct().collect())
 
-    def commit(self, object2category: DataFrame | None = None, force: bool = False) -> list[categories.RebuildResult]:
+    def commit(self, object2category: DataFrame | None = None, force: bool = False, kept: dict[str, DataFrame] | None = None) -> list[categories.RebuildResult]:
         """Roll-up, links, dictionary and postings of the staged documents; then the pointer moves.
 
-        Without assignments the live links stay, for the products that are still there.
+        Without assignments the live links stay, for the products that are still there. Datasets in ``kept`` are written as they are given.
         """
         if self.staging is None:
             raise RuntimeError("no rebuild is running")
-        staged, before = self._staged("documents"), self.manifest()
+        staged, before, kept = self._staged("documents"), self.manifest(), kept or {}
         self._put("rollup", rollup.build(rollup.attribute_rows(staged)))
         self._put("dictionary", dictionary.build(staged))
-        self._put("postings", postings.build(staged))
-        self._put("grams", postings.grams(staged))
+        self._put("postings", kept["postings"] if "postings" in kept else postings.build(staged))
+        self._put("grams", kept["grams"] if "grams" in kept else postings.grams(staged))
         self._put("sizes", postings.sizes(staged))
-        self._put("cells", cells.build(staged))
+        self._put("cells", kept["cells"] if "cells" in kept else cells.build(staged))
         self._put("words", cells.words(self._staged("rollup"), self._staged("cells")))
         outcome: list[categories.RebuildResult] = []
         if object2category is not None:
@@ -176,7 +198,8 @@ class IndexWriter:
             else:
                 refused.add(f"{scope[0]}/{scope[1]}")
             outcome.append(categories.RebuildResult(new.get(scope, 0), old.get(scope, 0), not good))
-        self._put("categories", found.where(taken))
+        if len(refused) < len(outcome):
+            self._put("categories", found.where(taken))
         self.refused = frozenset(refused)
         return outcome
 
@@ -229,15 +252,20 @@ class IndexWriter:
         if index is None:
             return
         gone = document_ids if isinstance(document_ids, DataFrame) else self.spark.createDataFrame([(i,) for i in document_ids], "id string")
-        gone = gone.select("id").distinct()
+        # Written, so that a short list is sent to every task and no document is shuffled for it.
+        gone = staging.staged(gone.select("id").distinct(), "gone")
         hit = index.documents.join(gone, "id", "left_semi").select("shop_id", "lang_id").distinct().collect()
         if not hit:
             return
         self.begin([(r["shop_id"], r["lang_id"]) for r in hit])
         try:
             touched = F.concat_ws("/", "shop_id", "lang_id").isin(*(f"{s}/{x}" for s, x in self.scopes))
-            self.write(index.documents.where(touched).join(gone, "id", "left_anti"))
-            self.commit()
+            rest = lambda df: df.where(touched).join(gone, "id", "left_anti").select(*df.columns)
+            self.write(rest(index.documents))
+            # What is stored by document only loses rows; numbers of products that are gone stay free until a rebuild. Several scopes are
+            # sorted into their folders, so their postings are made anew.
+            by_document = {"postings": index.postings, "grams": index.grams, "cells": index.cells} if len(self.scopes) == 1 else {}
+            self.commit(kept={name: rest(df) for name, df in by_document.items() if df is not None})
         except Exception:
             self.rollback()
             raise

@@ -93,3 +93,36 @@ def test_parts_are_made_when_they_are_asked_for(spark):
     found.facet_counts(SearchQuery(1, 0, "", filters=(FacetFilter("size", ("v",)),))).collect()
     found.facet_counts(SearchQuery(1, 0, "")).collect()
     assert asked == ["cells"]
+
+
+def test_a_scope_is_written_without_sorting_and_loses_rows_alone(spark, tmp_path):
+    import pytest
+
+    from lodestone.operators import writer as module
+
+    writer = module.IndexWriter(spark, str(tmp_path / "index"))
+    docs = documents_of(spark, [(1, 0, f"g{i:02d}", "red shoe" if i % 2 else "blue hat b") for i in range(20)])
+    writer.begin([(1, 0)])
+    writer.write(docs)
+    writer.commit(spark.createDataFrame([(f"g{i:02d}", "c1") for i in range(20)], "object_id string, cat_id string"))
+    made = []
+    build, module.postings.build = module.postings.build, lambda df: made.append(df) or build(df)
+    try:
+        writer.delete([f"10g{i:02d}" for i in (1, 2)])
+    finally:
+        module.postings.build = build
+    assert not made
+    index = writer.index()
+    ids = {f"10g{i:02d}" for i in range(20) if i not in (1, 2)}
+    for name in ("documents", "postings", "grams", "cells"):
+        assert {r["id"] for r in getattr(index, name).select("id").collect()} == ids, name
+    left = lambda df: sorted(map(str, df.collect()))
+    assert left(index.postings) == left(postings.build(index.documents).select(*index.postings.columns))
+    assert index.categories.count() == 18 and index.sizes.first()["documents"] == 18
+    # A whole scope that is deleted has no partition left; rows of another scope are refused.
+    writer.delete(index.documents.select("id"))
+    assert writer.manifest()["parts"]["documents"] == {} and writer.index().documents.count() == 0
+    writer.begin([(2, 0)])
+    with pytest.raises(Exception, match="outside of scope"):
+        writer.write(docs)
+    writer.rollback()
