@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import _components, _shared, _words
@@ -306,12 +306,13 @@ def shared_parts(parts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of ``parts`` (node, below, part_key) that two documents agree in, of documents that share enough of them.
 
     nodes: node, below and need, the number of shared parts without which a document has no link. A document that drops out
-    may leave others with too few, so the rest is sifted once more.
+    may leave others with too few, so the rest is sifted once more. Parts are by far the most rows there are, so each sifting
+    shuffles them once, however many are shared: no join with the shared ones. A part of very many documents is as many short rows.
     """
+    alike = Window.partitionBy("part_key")
     for turn in range(2):
-        several = parts.groupBy("part_key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("part_key")
-        shared = _shared.joined(parts, several, ["part_key"], "left_semi", f"similarity-several-{turn}").select("node", "below", "part_key").distinct()
-        shared = _shared.written(shared, f"similarity-shared-{turn}")
+        several = parts.withColumn("low", F.min("node").over(alike)).withColumn("high", F.max("node").over(alike)).where("low <> high")
+        shared = _shared.written(several.select("node", "below", "part_key").distinct(), f"similarity-shared-{turn}")
         enough = shared.groupBy("node", "below").agg(F.count("*").alias("n")).join(nodes, ["node", "below"]).where("n >= need").select("node", "below")
         parts = _shared.joined(shared, enough, ["node", "below"], "left_semi", "similarity-enough")
     return parts

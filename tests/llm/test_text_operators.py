@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.llm import _components, _words, decontamination, quality, similarity, substrings
+from lodestone.llm import _components, _shared, _words, decontamination, quality, similarity, substrings
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -351,3 +351,21 @@ def test_similarity_short_linked_sets_always_share_enough_parts(dealings):
             shared = np.bincount(np.array([o // 2 for o, k in zip(o2.tolist(), k2.tolist(), strict=True) if o % 2 and (o - 1, k) in left], np.int64), minlength=n)
             found |= (shared > 0) & (shared >= need1[0::2]) & (shared >= need2[1::2])
     assert found.all()
+
+
+def test_similarity_parts_are_shuffled_once_however_many_are_shared(spark, monkeypatch):
+    rows = [(i, f"w{i % 7} w{i % 5} " + " ".join(f"v{(i // 4) * j}" for j in range(40))) for i in range(60)]
+    wanted = {tuple(r) for r in similarity.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component").collect()}
+    monkeypatch.setattr(_shared, "MOST_IDS", 0)
+    plans, written = {}, _shared.written
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        return written(df, name)
+
+    monkeypatch.setattr(_shared, "written", noted)
+    got = {tuple(r) for r in similarity.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component").collect()}
+    assert got == wanted
+    # The tables that hold no more than what is shared may be shuffled, the parts once.
+    first = [plan for name, plan in plans.items() if name in ("similarity-several-0", "similarity-shared-0")]
+    assert sum(plan.count("Exchange hashpartitioning(part_key") for plan in first) == 1
