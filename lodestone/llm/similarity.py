@@ -399,9 +399,8 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk_
     parts = schemes.select("node", "below", F.explode("s.part_keys").alias("part_key"))
     groups = shared_parts(parts, schemes.select("node", "below", F.col("s.need").alias("need")).distinct())
     # The least document of each part against all others there.
-    groups = _shared.written(groups.select("part_key", "node"), "similarity-parts")
-    lows = groups.groupBy("part_key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high").drop("high")
-    groups = _shared.joined(groups, lows, ["part_key"], name="similarity-lows")
+    alike = Window.partitionBy("part_key")
+    groups = groups.withColumn("low", F.min("node").over(alike)).withColumn("high", F.max("node").over(alike)).withColumn("n", F.count("*").over(alike)).where("low <> high")
     groups = _shared.written(groups.select("part_key", "node", "low", "n"), "similarity-groups")
     facts = base.select("node", "id_key", "text_key", "n_shingles", "n_bytes", "sketch")
     facts = _shared.joined(facts, groups.select("node").distinct(), ["node"], "left_semi", "similarity-met").dropDuplicates(["node"])

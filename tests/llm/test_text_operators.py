@@ -369,3 +369,5 @@ def test_similarity_parts_are_shuffled_once_however_many_are_shared(spark, monke
     # The tables that hold no more than what is shared may be shuffled, the parts once.
     first = [plan for name, plan in plans.items() if name in ("similarity-several-0", "similarity-shared-0")]
     assert sum(plan.count("Exchange hashpartitioning(part_key") for plan in first) == 1
+    # Once for each sifting, once to find the least document of each.
+    assert sum(plan.count("Exchange hashpartitioning(part_key") for plan in plans.values()) == 3
